@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import problems
+from tideline.plans import bars, problems
 
-MODULES = (problems,)
+MODULES = (problems, bars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

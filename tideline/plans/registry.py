@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import bars, problems
+from tideline.plans import bars, pit, problems
 
-MODULES = (problems, bars)
+MODULES = (problems, bars, pit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

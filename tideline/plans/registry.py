@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import bars, pit, problems
+from tideline.plans import bars, pit, problems, streams
 
-MODULES = (problems, bars, pit)
+MODULES = (problems, bars, pit, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,7 +33,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start
                 key = tuple(None if v is None or v != v else v for v in values[: len(keys)])
                 if key != current:
                     current, state = key, start()
-                state, told = step(state, values[len(keys) :])
+                state, told = step(state, values[len(keys) : len(keys) + len(columns)])
                 if told is not None:
                     rows.append((*key, *told))
             yield pd.DataFrame(rows, columns=[*keys, *names])

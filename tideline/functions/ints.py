@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 PPM = 1_000_000
 WIDE = "decimal(38,0)"
+ROOT_LIMIT = (2**62) ** 2  # the Newton step adds two numbers of the root's size
 
 
 def _c(x: Column | str | int) -> Column:
@@ -36,6 +37,13 @@ def trunc_div(n: Column | str | int, d: Column | str | int) -> Column:
     return _div(wide(n), wide(d))
 
 
+def wide_div(n: Column | str | int, d: Column | str | int) -> Column:
+    """Quotient toward zero as a wide integer of up to 32 digits; ``div`` itself ends at 64 bits."""
+    a, b = wide(n), wide(d)
+    safe = F.when(b != 0, b)
+    return ((a - a % safe) / safe).cast(WIDE)
+
+
 def floor_div(n: Column | str | int, d: Column | str | int) -> Column:
     """Quotient toward minus infinity."""
     a, b = wide(n), wide(d)
@@ -85,7 +93,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def isqrt(x: Column | str) -> Column:
-    """Floor of the square root of a wide non-negative integer, exact: a double guess, one Newton step, a step either way. Negative gives null."""
+    """Floor of the square root of a wide non-negative integer, exact: a double guess, one Newton step, a step either way. Negative values and roots beyond 64 bits give null."""
 
     def settle(v: Column, g: Column) -> Column:
         down = F.when(g * g > v, g - 1).otherwise(g)
@@ -95,7 +103,7 @@ def isqrt(x: Column | str) -> Column:
         guess = F.floor(F.sqrt(v.cast("double"))).cast(WIDE)
         return let(guess, lambda g: let(F.when(g > 0, _div(g + _div(v, g), F.lit(2).cast(WIDE))).otherwise(g.cast("long")).cast("decimal(19,0)"), lambda h: settle(v, h)))
 
-    return let(wide(x), lambda v: F.when(v >= 0, newton(v)))
+    return let(wide(x), lambda v: F.when((v >= 0) & (v <= F.lit(str(ROOT_LIMIT)).cast(WIDE)), newton(v)))
 
 
 def zscore_ppm(x: Column | str, n: Column, total: Column, squares: Column) -> Column:

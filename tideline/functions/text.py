@@ -39,7 +39,7 @@ def alias_keys(x: Column | str) -> Column:
 
 def delimited(x: Column | str, sep: str = ";", most: int | None = None) -> Column:
     """Parts of a delimited list without empty ones; at most ``most`` where given."""
-    parts = F.filter(F.transform(F.split(_c(x), re.escape(sep)), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_c(x), re.escape(sep)), lambda p: F.trim(p)), lambda p: p != "")
     return F.slice(parts, 1, most) if most else parts
 
 

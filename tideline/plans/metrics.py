@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.hashing import economic_hash, hash_bucket, hash_chain, sequence_hash
-from tideline.functions.ints import SIGMOID_PPM, floor_div, half_away_div, half_even_div, isqrt, micro_units, mul_div, sigmoid_ppm, step_lookup, trunc_div, wide
+from tideline.functions.ints import SIGMOID_PPM, floor_div, half_away_div, half_even_div, isqrt, micro_units, mul_div, sigmoid_ppm, step_lookup, trunc_div, wide, wide_div
 from tideline.operators.quantiles import cume_share, lower_rank
 from tideline.session import table
 
@@ -143,7 +143,7 @@ def paired_mean_interval(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", (F.round(F.col("value") * 100).cast("long") - F.get_json_object("props", "$.k").cast("long")).alias("x"))
     g = e.groupBy("event_type").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(wide("x") * wide("x")).alias("q"))
     mean = trunc_div("s", "n")
-    err = isqrt(trunc_div(wide("n") * wide("q") - wide("s") * wide("s"), wide("n") * wide("n") * wide(F.col("n") - 1)))
+    err = isqrt(wide_div(wide("n") * wide("q") - wide("s") * wide("s"), wide("n") * wide("n") * wide(F.col("n") - 1)))
     return g.select("event_type", "n", mean.alias("mean"), err.alias("standard_error")).withColumn("upper", F.col("mean") + 2 * F.col("standard_error"))
 
 

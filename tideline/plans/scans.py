@@ -90,17 +90,17 @@ def scan_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_journal(spark: SparkSession, d: str) -> DataFrame:
-    """Framed binary segments of supplier rows, one segment cut and one spoiled, by state; segments come from a small table."""
+    """Framed binary segments of the 25 nations, one segment cut and one spoiled."""
     p = _place(spark, "journal")
-    names = table(spark, d, "supplier").select("s_suppkey", "s_name").where("s_suppkey < 40").orderBy("s_suppkey").collect()
+    names = [r[0] for r in table(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]
     segments = []
-    for k in range(4):
-        data = bytearray(feeds.journal_bytes([r[1].encode() for r in names[k * 10 : k * 10 + 10]], k * 10))
+    for k in range(5):
+        data = bytearray(feeds.journal_bytes([x.encode() for x in names[k * 5 : k * 5 + 5]], k * 5))
         if k == 2:
             data = data[:-5]
         if k == 3:
             data[-1] ^= 1
-        segments.append((f"seg-{k}", bytearray(data)))
+        segments.append((f"seg-{k}", data))
     fs, _ = sinks._fs(spark, p)
     for name, data in segments:
         out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/{name}"), True)
@@ -244,8 +244,9 @@ SQL = {
     "scan_facts": "select l_returnflag as taxonomy, l_linestatus as concept, 'U' || (l_linenumber % 2) as unit, count(*) as n, cast(sum(l_quantity) as bigint) as total, strftime(max(l_shipdate), '%Y-%m-%d') as last_end from lineitem group by 1, 2, 3",
     "scan_vintages": "select cast(year(o_orderdate) as integer) as year, count(*) as n, count(*) filter (o_orderkey % 9 <> 0) as present, cast(sum(case when o_orderkey % 9 <> 0 then cast(round(o_totalprice * 100) as bigint) end) as bigint) as cents, strftime(max(o_orderdate) + interval 30 day, '%Y-%m-%d') as last_known from orders group by 1",
     "scan_csv": "select s_suppkey, s_name, s_nationkey from supplier",
-    "scan_symbols": "with s as (select distinct trim(symbol) as s from minute_readings) select case when regexp_full_match(s, '[A-Z][A-Z0-9.]{0,9}') then 'OK' else 'INVALID' end as state, count(*) as symbols from s group by 1",
-    "scan_journal": "select 'seg-' || k as segment, k * 10 + i as sequence, case when k = 2 and i = 9 then 'TORN' when k = 3 and i = 9 then 'BAD_CHECKSUM' else 'OK' end as state from (select unnest(range(4)) as k), (select unnest(range(10)) as i)",
+    "scan_symbols": """with s as (select trim(symbol) as s, count(*) as n, regexp_full_match(trim(symbol), '[A-Z][A-Z0-9.]{0,9}') as ok from (select distinct symbol from minute_readings) group by 1)
+select case when ok then 'OK' else 'INVALID' end as state, count(*) as symbols from s group by 1 union all select 'DUPLICATE', count(*) from s where ok and n > 1 having count(*) > 0""",
+    "scan_journal": "select 'seg-' || k as segment, k * 5 + i as sequence, case when k = 2 and i = 4 then 'TORN' when k = 3 and i = 4 then 'BAD_CHECKSUM' else 'OK' end as state from (select unnest(range(5)) as k), (select unnest(range(5)) as i)",
     "scan_verified": "select event_id, user_id from events where user_id < 10",
     "synthetic_source": "select unnest(['AAA', 'BBB']) as symbol, 10::bigint as sessions, 300::bigint as minutes, 0::bigint as broken",
     "dated_universe": "select symbol, strftime(day, '%Y-%m-%d') as day from (select distinct upper(trim(source_ticker)) as symbol from session_summaries), (select unnest(generate_series(timestamp '2011-01-01', timestamp '2011-02-15', interval 1 day)) as day) where isodow(day) < 6",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.ints import isqrt, mul_div, trunc_div, wide
+from tideline.functions.ints import isqrt, mul_div, trunc_div, wide, wide_div
 from tideline.functions.hashing import sampled_every
 from tideline.operators import folds
 from tideline.operators.temporal import forward_asof, sequence_state
@@ -66,7 +66,7 @@ def event_return_volatility(spark: SparkSession, d: str) -> DataFrame:
     e = e.withColumn("r", F.coalesce(r, F.lit(0)))
     w = _user().rangeBetween(-SPAN, 0)
     e = e.withColumn("s", F.sum(wide("r") * wide("r")).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
-    return e.select("event_id", "r", isqrt(trunc_div("s", "n")).alias("volatility_ppm"))
+    return e.select("event_id", "r", isqrt(wide_div("s", "n")).alias("volatility_ppm"))
 
 
 def event_flow_imbalance(spark: SparkSession, d: str) -> DataFrame:

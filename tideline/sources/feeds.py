@@ -86,11 +86,11 @@ def replay_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Frame of a journal: length, ordinal, CRC-32 of the body, then the body. The chain is SHA-256 over previous digest and body.
-_HEAD = struct.Struct("<IQI")
+_HEAD = "<IQI"
 
 
 def journal_bytes(bodies: list[bytes], first: int = 0) -> bytes:
-    return b"".join(_HEAD.pack(len(b), first + i, zlib.crc32(b)) + b for i, b in enumerate(bodies))
+    return b"".join(struct.pack(_HEAD, len(b), first + i, zlib.crc32(b)) + b for i, b in enumerate(bodies))
 
 
 def journal(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,17 +107,17 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
                 at, digest, rows = 0, b"", []
                 name = path.rsplit("/", 1)[-1]
                 while at < len(data):
-                    if at + _HEAD.size > len(data):
+                    if at + struct.calcsize(_HEAD) > len(data):
                         rows.append((name, None, None, "TORN", None))
                         break
-                    n, seq, crc = _HEAD.unpack_from(data, at)
-                    body = bytes(data[at + _HEAD.size : at + _HEAD.size + n])
+                    n, seq, crc = struct.unpack_from(_HEAD, data, at)
+                    body = bytes(data[at + struct.calcsize(_HEAD) : at + struct.calcsize(_HEAD) + n])
                     if len(body) < n:
                         rows.append((name, seq, None, "TORN", None))
                         break
                     digest = hashlib.sha256(digest + body).digest()
                     rows.append((name, seq, body.decode("utf-8", "replace"), "OK" if zlib.crc32(body) == crc else "BAD_CHECKSUM", digest.hex()))
-                    at += _HEAD.size + n
+                    at += struct.calcsize(_HEAD) + n
                 yield pd.DataFrame(rows, columns=["segment", "sequence", "body", "state", "chain"]).astype({"sequence": "Int64"})
 
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(decode, "segment string, sequence long, body string, state string, chain string")

@@ -15,8 +15,13 @@ from tideline.session import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 16) -> DataFrame:
-    """A folder of files as a stream, so many files to a micro-batch."""
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
+    """A folder of files, or one file, as a stream, so many files to a micro-batch."""
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hpath).isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).load(folder)
+    return reader.load(path)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

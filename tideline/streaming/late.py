@@ -52,7 +52,7 @@ class PeriodTree:
 
 
 def fold(pdf: pd.DataFrame, state: PeriodTree) -> tuple[pd.DataFrame, list[tuple[int, tuple]]]:
-    """Feed rows (row_key, event, arrival, value) in order of arrival; the rows' verdicts and the periods that closed."""
+    """Feed rows (row_key, event, arrival, value, absent) in order of arrival; the rows' verdicts and the periods that closed."""
     pdf = pdf.sort_values(["arrival", "row_key"], kind="stable", ignore_index=True)
     arrival, event = pdf["arrival"].to_numpy(np.int64), pdf["event"].to_numpy(np.int64)
     start = event - event % state.period
@@ -62,7 +62,7 @@ def fold(pdf: pd.DataFrame, state: PeriodTree) -> tuple[pd.DataFrame, list[tuple
     key = np.stack([slice_[order], start[order]], 1)
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.zeros(0, int)
     last = np.r_[first[1:], len(key)]
-    value = pdf["value"].to_numpy(dtype=object)[order]
+    value, present = pdf["value"].to_numpy(np.int64)[order], ~pdf["absent"].to_numpy(bool)[order]
     verdict = np.empty(len(pdf), object)
     closed: list[tuple[int, tuple]] = []
     now = None
@@ -72,8 +72,8 @@ def fold(pdf: pd.DataFrame, state: PeriodTree) -> tuple[pd.DataFrame, list[tuple
             closed += state.advance(s * state.period)
             now = s
         late = s * state.period >= p + state.period
-        present = [int(x) for x in value[a:b] if x is not None and x == x]
-        part = (int(b - a), int(b - a) if late else 0, sum(present), min(present, default=None), max(present, default=None))
+        said = value[a:b][present[a:b]].tolist()
+        part = (int(b - a), int(b - a) if late else 0, sum(said), min(said, default=None), max(said, default=None))
         kept = state.add(p, part)
         verdict[order[a:b]] = (CORRECTS if late else ON_TIME) if kept else DROPPED
     return pdf.assign(period_start_ns=start, verdict=verdict), closed
@@ -113,6 +113,11 @@ def first_arrivals(df: DataFrame, key: Column, event: str, arrival: str, value:
     )
 
 
+def _typed(rows: DataFrame) -> DataFrame:
+    """A null in a bigint column would reach Python as floats, so absence is a column of its own."""
+    return rows.select("stream", "row_key", "event", "arrival", F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"), F.col("value").isNull().alias("absent"))
+
+
 def late_events(rows: DataFrame, period: int = HOUR, cutoff: int = CUTOFF, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Aggregates per stream and period, and every late row with what became of it.
 
@@ -130,7 +135,7 @@ def late_events(rows: DataFrame, period: int = HOUR, cutoff: int = CUTOFF, group
     """
     if cutoff % period:
         raise ValueError("the cut-off must be a whole number of periods")
-    rows = rows.select("stream", "row_key", "event", "arrival", "value")
+    rows = _typed(rows)
     width = bucket_width(rows, ["stream"], "event", group_rows)
     width = max(period, width // period * period)
     stretch = floor_to("event", width).alias("stretch")
@@ -176,5 +181,5 @@ def late_events_stream(rows: DataFrame, period: int = HOUR, cutoff: int = CUTOFF
         state.update((pickle.dumps(tree),))
         yield _rows(key[0], told, closed)
 
-    part = F.pmod(F.xxhash64("row_key"), F.lit(parts)).alias("part")
-    return rows.groupBy("stream", part).applyInPandasWithState(run, OUT, "tree binary", "append", GroupStateTimeout.NoTimeout)
+    typed = _typed(rows).withColumn("part", F.pmod(F.xxhash64("row_key"), F.lit(parts)))
+    return typed.groupBy("stream", "part").applyInPandasWithState(run, OUT, "tree binary", "append", GroupStateTimeout.NoTimeout)

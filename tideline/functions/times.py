@@ -17,7 +17,7 @@ def rfc3339_ns(value: Column | str) -> Column:
     v = _col(value)
     whole = F.try_to_timestamp(F.regexp_replace(v, r"\.[0-9]+", ""))
     fraction = F.rpad(F.regexp_extract(v, r"\.([0-9]{1,9})", 1), 9, "0")
-    return F.unix_seconds(whole) * F.lit(SECOND) + F.coalesce(F.try_to_number(fraction, F.lit("999999999")).cast("long"), F.lit(0))
+    return F.unix_seconds(whole) * F.lit(SECOND) + fraction.cast("long")
 
 
 def instant_ns(value: Column | str) -> Column:

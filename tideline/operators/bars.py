@@ -20,7 +20,8 @@ BUCKETS = 8
 def ticks(price: Column | str, per_unit: int = 100) -> Column:
     """A price in whole ticks; null where it lies between two."""
     p = (F.col(price) if isinstance(price, str) else price) * per_unit
-    return F.when(F.abs(p - F.round(p)) < 1e-6, F.round(p).cast("long"))
+    whole = F.rint(p)
+    return F.when(F.abs(p - whole) < 1e-6, whole.cast("long"))
 
 
 def canonicalise(raw: DataFrame) -> DataFrame:
@@ -41,8 +42,7 @@ def canonicalise(raw: DataFrame) -> DataFrame:
         ((h < o) | (h < c) | (h < l) | (l > o) | (l > c), "BAD_RANGE"),
         (F.col("volume") < 0, "BAD_VOLUME"),
     ]
-    reasons = F.filter(F.array(*(F.when(cond, name) for cond, name in bad)), lambda x: x.isNotNull())
-    return b.withColumn("reasons", reasons).select(
+    return b.withColumn("reasons", F.concat_ws(",", *(F.when(cond, name) for cond, name in bad))).select(
         "bar_id",
         *SERIES,
         F.col("t").alias("minute_ns"),
@@ -53,23 +53,21 @@ def canonicalise(raw: DataFrame) -> DataFrame:
         "volume",
         "source_object_id",
         "local_receipt_time_ns",
-        F.when(F.size("reasons") > 0, "REJECTED").otherwise("VALID").alias("state"),
-        F.array_join("reasons", ",").alias("reasons"),
+        F.when(F.col("reasons") != "", "REJECTED").otherwise("VALID").alias("state"),
+        "reasons",
         hash_bucket(F.concat_ws("|", "symbol", "market_id"), BUCKETS).alias("bucket"),
     )
 
 
 def canonical_minutes(raw: DataFrame) -> DataFrame:
     """One valid row per series and minute: copies fall together, the smallest bar_id stands for them."""
-    keep = ["bar_id", "o_ticks", "h_ticks", "l_ticks", "c_ticks", "volume", "local_receipt_time_ns", "bucket"]
-    return (
-        canonicalise(raw)
-        .where("state = 'VALID'")
-        .groupBy(*SERIES, "minute_ns")
-        .agg(F.min_by(F.struct(*keep), "bar_id").alias("x"))
-        .select(*SERIES, "minute_ns", "x.*")
-        .withColumn("m", F.expr(f"minute_ns div {MINUTE}"))
-    )
+    needed = raw.select("bar_id", *SERIES, "t", *"ohlc", "v", "source_object_id", "local_receipt_time_ns")
+    #: One shuffle by series serves the choice among copies and all later frames of a series.
+    bars = canonicalise(needed.repartition(*SERIES))
+    #: Valid copies rank first, so the filter can stay above the window: pushed below, it would work out all reasons twice.
+    w = Window.partitionBy(*SERIES, "minute_ns").orderBy(F.col("reasons") != "", "bar_id")
+    kept = bars.withColumn("rn", F.row_number().over(w)).where("rn = 1 and reasons = ''")
+    return kept.select(*SERIES, "minute_ns", "bar_id", "o_ticks", "h_ticks", "l_ticks", "c_ticks", "volume", "local_receipt_time_ns", "bucket", F.expr(f"minute_ns div {MINUTE}").alias("m"))
 
 
 def by_minute() -> Window:

@@ -53,6 +53,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the cores where the input has fewer splits than there are cores; a larger input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a DataFrame once into the shared folder and read it back.
 

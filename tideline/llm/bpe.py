@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tideline.session import spread
+
 DEFAULT_VOCABULARY = os.environ.get("TIDELINE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 #: The split of text into pieces that belongs to this vocabulary (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -269,4 +271,4 @@ def token_text(ids: Column | str, path: str = DEFAULT_VOCABULARY) -> Column:
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """One row per row of the corpus: key and ids. A map without a shuffle; extra columns are dropped, repeated rows stay."""
-    return documents.select(key, token_ids(F.col(text).cast("string"), path).alias("ids"))
+    return spread(documents.select(key, F.col(text).cast("string").alias("__text"))).select(key, token_ids("__text", path).alias("ids"))

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import spread
+
 SEED, LEAST, PER_EDIT = 5, 20, 8
 #: Words of the items in one block: at most 24 MB as Python objects, and below the 16-bit limit of word ids.
 BLOCK_WORDS = 60_000
@@ -220,7 +222,7 @@ def leaked(documents: DataFrame, items: DataFrame, text: str = "text", block_wor
     """
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, verbatim_words int, stretch_words int, edits int"
-    docs = documents.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    docs = spread(documents.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
     parts = []
 
     def search(block: Block) -> DataFrame:

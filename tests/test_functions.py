@@ -48,10 +48,10 @@ def test_isqrt_gcd_sigmoid(spark):
 
 
 def test_times(spark):
-    rows = [("2011-01-03T14:30:00Z",), ("2011-01-03T14:30:00.000000007Z",), ("2011-01-03T08:30:00-06:00",), ("bad",), (None,)]
+    rows = [("2011-01-03T14:30:00Z",), ("2011-01-03T14:30:00.000000007Z",), ("2011-01-03T08:30:00-06:00",), ("2011-01-03t14:30:00z",), (" 2011-01-03T14:30:00+00:00 ",), ("bad",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(times.rfc3339_ns("t")).collect()]
     base = 1_294_065_000 * 10**9
-    assert got == [base, base + 7, base, None, None]
+    assert got == [base, base + 7, base, base, base, None, None]
     u = [r[0] for r in spark.createDataFrame([(base,), (base // 1000,), (base // 10**6,), (base // 10**9,), (None,)], "t long").select(times.instant_ns("t")).collect()]
     assert u == [base] * 4 + [None]
     assert spark.createDataFrame([(-1,)], "t long").select(times.floor_to("t", 60)).first()[0] == -60

@@ -14,7 +14,7 @@ def _col(c: Column | str) -> Column:
 
 def rfc3339_ns(value: Column | str) -> Column:
     """RFC 3339 text to nanoseconds, up to nine fractional digits and any offset; null where it can't be read."""
-    v = _col(value)
+    v = F.upper(F.trim(_col(value)))
     whole = F.try_to_timestamp(F.regexp_replace(v, r"\.[0-9]+", ""))
     fraction = F.rpad(F.regexp_extract(v, r"\.([0-9]{1,9})", 1), 9, "0")
     return F.unix_seconds(whole) * F.lit(SECOND) + fraction.cast("long")

@@ -172,6 +172,7 @@ RESIDUE = [
     'Home | Terms | Help\n{"error": {"status": 404, "title": "Gone", "detail": "nothing here"}}',
     "Too Many Requests!\nTraceback (most recent call last):\n  File \"x.py\", line 3\nXError: rate limit exceeded, slow down",
     "Please enable JavaScript to view this page.",
+    "<html><head><title>{{headline}} - News</title></head><body><p>Halt lifted at 14:21.</p></body></html>",
     "<noscript>Veuillez activer JavaScript pour afficher cette page!</noscript>",
 ]
 CONTENT = [

@@ -55,6 +55,7 @@ def words(text: str | None) -> list[str]:
         return []
     if "&" in text:
         text = html.unescape(text)
+        text = html.unescape(text) if "&" in text else text  # markup that was escaped twice
     if "<" in text:
         text = TAG.sub(" ", INLINE.sub("", text))
     if not text.isascii():

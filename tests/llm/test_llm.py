@@ -207,6 +207,16 @@ def test_unknown_companion_must_recur(spark):
     assert {r.doc_id for r in residue.residue_documents(d).collect()} == {0, 1, 2, 3, 4}
 
 
+def test_messages_without_a_trigger_word(spark):
+    """Every sentence is classified and may recur, whatever words it has."""
+    texts = ["404 Not Found\nIt may have been deleted.", "Algo salió mal", "El artículo no está disponible", "The host timed out", "Resumen pendiente"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    rows += [(10 + i, f"502 Bad Gateway\nKindly ring our bureau {i}.", f"s{i}") for i in range(4)]
+    rows += [(20, "502 Bad Gateway\nThe bank held its rate.", "s0"), (21, "The bank held its rate.", "s1"), (22, "The host timed out\na\tb\tc", "s2")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in residue.residue_documents(d).collect()} == {0, 1, 2, 3, 4, 10, 11, 12, 13}
+
+
 def test_trigger_is_a_superset():
     """What a rule accepts passes the cheap test that comes first."""
     for t in RESIDUE:

@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Numbers, dates' digits, addresses and identifiers of the sentences that could be
-residue are masked; equal masked messages are grouped across documents and
-sources by hash; every distinct message is then classified once, by rules on
+Numbers, dates' digits, addresses and identifiers of all sentences are masked;
+equal masked messages are grouped across documents and sources by hash; every
+distinct message is then classified once, by rules on
 placeholders and phrases; and the classes decide on the documents.
 
 A document is residue if one of its messages has an unfilled placeholder or empty
@@ -206,7 +206,16 @@ FURNITURE = re.compile(
 )
 
 
+#: Every placeholder and every ASCII empty value has one of these.
+PLACEHOLDER_HINT = re.compile(r"[{<$%@_\[#«]")
+EMPTY_HINTS = ("undefined", "null", "nan", "none", "nil")
+
+
 def _placeholder(s: str) -> bool:
+    if s.isascii() and not PLACEHOLDER_HINT.search(s):
+        low = s.lower()
+        if not any(h in low for h in EMPTY_HINTS):
+            return False
     for m in (*PLACEHOLDER.finditer(s), *EMPTY.finditer(s)):
         a, b = m.span()
         before, after = s[:a], s[b:]
@@ -253,13 +262,13 @@ def classify(message: str) -> str:
     if ERROR.fullmatch(s):
         return "residue"
     #: A furniture tail on the same line: an identifier after the message.
-    cut = re.sub(r"[.:,;!]* *(?:(?:reference|request|ray|trace|incident)(?: (?:id|no))?[:# ]*)?(?:req-)?0$", "", s)
+    cut = re.sub(r"[.:,;!]* *(?:(?:reference|request|ray|trace|incident)(?: (?:id|no))?[:# ]*)?(?:req-)?0$", "", s) if s.endswith("0") else s
     if cut != s and cut and (SCRIPT.fullmatch(cut) or ERROR.fullmatch(cut)):
         return "residue"
     return "content"
 
 
-#: Characters and words, a superset of what the rules accept; a sentence without any of them is content.
+#: Characters and words that hint at a rule. Not a superset of what the rules accept, so nothing is dropped by them.
 MARKS = re.compile(r"[{}<>\[\]«»@#$%_|©]")
 WORD = re.compile(r"[^\W\d_]+")
 TRIGGERS = frozenset(
@@ -283,23 +292,24 @@ def may_be(sentence: str) -> bool:
 
 
 def sift(doc_text: str) -> tuple[list[str], int]:
-    """Masked messages that a rule could accept, and how many sentences none could."""
-    maybe: list[str] = []
+    """The masked messages, and how many rows of data the text has besides."""
+    said: list[str] = []
     n = 0
     for s, data in segments(doc_text):
-        if not data and may_be(s):
-            maybe.append(mask(s))
-        else:
+        if data:
             n += 1
-    return maybe, n
+        else:
+            said.append(mask(s))
+    return said, n
 
 
 def residue_messages(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(messages of the documents, distinct messages with counts and class).
 
-    Only sentences that a rule could accept are shuffled, not the corpus; a
-    document's other sentences travel as a number. The classes are worked out once
-    per distinct message, and written to the shared folder, as two joins read them.
+    Every sentence is a message, as recurrence may decide on any; rows of data travel
+    as a number. Messages are counted by hash and source before they are shuffled. The
+    classes are worked out once per distinct message, and written to the shared folder,
+    as two joins read them.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col(text).cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull()
@@ -310,8 +320,8 @@ def residue_messages(documents: DataFrame, text: str = "text") -> tuple[DataFram
         for batch in batches:
             rows = []
             for i, source, t in zip(batch["doc_id"], batch["source"], batch["text"]):
-                maybe, n = sift(t)
-                rows += [(i, source, m, n) for m in set(maybe)]
+                messages, n = sift(t)
+                rows += [(i, source, m, n) for m in set(messages)]
             yield pd.DataFrame(rows, columns=["doc_id", "source", "message", "rest"]).astype({"doc_id": "int64", "rest": "int32"})
 
     said = durable(docs.mapInPandas(run, "doc_id long, source string, message string, rest int").withColumn("hash", F.xxhash64("message")), "messages")

@@ -207,6 +207,14 @@ def test_unknown_companion_must_recur(spark):
     assert {r.doc_id for r in residue.residue_documents(d).collect()} == {0, 1, 2, 3, 4}
 
 
+def test_any_number_of_unknown_companions(spark):
+    page = "\n".join(["502 Bad Gateway", *(f"Line {w} of the site's own" for w in "one two three four five six seven eight nine ten".split())])
+    short = "404 Not Found\nLine ten of the site's own"
+    rows = [(i, page, f"s{i}") for i in range(4)] + [(10, short, "s1"), (11, page + "\nA word of news.", "s2")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in residue.residue_documents(d).collect()} == {0, 1, 2, 3, 10}
+
+
 def test_messages_without_a_trigger_word(spark):
     """Every sentence is classified and may recur, whatever words it has."""
     texts = ["404 Not Found\nIt may have been deleted.", "Algo salió mal", "El artículo no está disponible", "The host timed out", "Resumen pendiente"]

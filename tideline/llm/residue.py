@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ from tideline.session import durable, spread
 
 #: Documents and sources in which an unknown message must recur beside residue, and its share of such documents among all.
 RECURS, PURE = 3, 0.9
-#: Unknown messages that a document of mere residue has at most.
-UNKNOWN = 6
 #: Copies of each distinct message in the join back, so that a message that fills a third of the corpus is spread.
 SALTS = 16
 
@@ -46,15 +45,19 @@ LINES = re.compile("[\r\n\u2028\u2029\x0b\x0c\x85]+")
 SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+")
 ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+", re.I)
 IDENT = re.compile(r"\b(?:req-)?(?=[0-9a-f]*[0-9])[0-9a-f]{7,}\b|\breq-\d+\b", re.I)
+DIGIT = re.compile(r"\d")
 DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
 def mask(sentence: str) -> str:
     """Numbers, identifiers and addresses as 0 and one word; case and marks stay."""
-    s = ADDRESS.sub("address", sentence)
-    s = IDENT.sub("0", s)
-    return " ".join(DIGITS.sub("0", s).split())
+    s = sentence
+    if "@" in s or "://" in s or "www." in s.lower():
+        s = ADDRESS.sub("address", s)
+    if DIGIT.search(s):
+        s = DIGITS.sub("0", IDENT.sub("0", s))
+    return " ".join(s.split())
 
 
 def fold(s: str) -> str:
@@ -316,15 +319,19 @@ def residue_messages(documents: DataFrame, text: str = "text") -> tuple[DataFram
     )
     docs = spread(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, source, t in zip(batch["doc_id"], batch["source"], batch["text"]):
+            at, said, rest = [], [], []
+            for k, t in enumerate(batch.column(2).to_pylist()):
                 messages, n = sift(t)
-                rows += [(i, source, m, n) for m in set(messages)]
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "message", "rest"]).astype({"doc_id": "int64", "rest": "int32"})
+                messages = set(messages)
+                said += messages
+                at += [k] * len(messages)
+                rest += [n] * len(messages)
+            own = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(said, pa.string()), pa.array(rest, pa.int32())], names=["doc_id", "source", "message", "rest"])
 
-    said = durable(docs.mapInPandas(run, "doc_id long, source string, message string, rest int").withColumn("hash", F.xxhash64("message")), "messages")
+    said = durable(docs.mapInArrow(run, "doc_id long, source string, message string, rest int").withColumn("hash", F.xxhash64("message")), "messages")
 
     @F.pandas_udf("string")
     def label(messages: pd.Series) -> pd.Series:
@@ -356,18 +363,20 @@ def residue_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     slim = said.select("doc_id", "source", "hash", "rest", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt"))
     joined = slim.join(classes, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s")), "left")
     has = lambda c: F.max((F.col("class") == c).cast("int"))
-    unknown = F.col("class").isNull()
     per_doc = joined.groupBy("doc_id").agg(
         has("placeholder").alias("placeholder"),
         has("residue").alias("residue"),
         F.max("source").alias("source"),
         F.max("rest").alias("rest"),
-        F.sum(unknown.cast("long")).alias("content"),
-        F.slice(F.array_sort(F.collect_set(F.when(unknown & (F.col("rest") == 0), F.col("hash")))), 1, UNKNOWN + 1).alias("unknown"),
+        F.count_if(F.col("class").isNull()).alias("content"),
     )
     reason = F.when(F.col("placeholder") == 1, "placeholder").when((F.col("residue") == 1) & (F.col("rest") == 0) & (F.col("content") == 0), "residue")
     judged = durable(per_doc.withColumn("reason", reason).where("reason is not null or (residue = 1 and rest = 0)"), "judged")
-    rest = judged.where(f"reason is null and size(unknown) <= {UNKNOWN}").select("doc_id", "source", F.explode("unknown").alias("u"))
+    #: All unknown messages of the documents that hang on them.
+    open_docs = judged.where("reason is null").select(F.col("doc_id").alias("i"), F.col("source").alias("by"))
+    told = said.join(open_docs, F.col("doc_id") == F.col("i")).select("doc_id", F.col("by").alias("source"), F.col("hash").alias("u"))
+    known = distinct.where("class <> 'content'").select(F.col("hash").alias("u"))
+    rest = durable(told.join(known, "u", "left_anti").select("doc_id", "source", "u").distinct(), "unknown")
     companions = rest.groupBy("u", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("u").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
     recurring = (
         companions.where(f"n >= {RECURS} and k >= {RECURS}")

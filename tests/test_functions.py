@@ -199,3 +199,35 @@ def test_option_round_trip():
     assert np.allclose(back, vol, atol=1e-6)
     up = values(call, spot + 1e-4, strike, years, rate, div, vol)["price"]
     assert np.allclose((up - v["price"]) / 1e-4, v["delta"], atol=1e-4)
+
+
+def test_novelty_against_brute_force(spark):
+    import re
+    from collections import OrderedDict
+
+    from tideline.operators.novelty import novelty
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)] + ["Ünï", "STRASSE", "straße"]
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(200)]), " ".join(rng.choices(words, k=rng.randrange(9)))) for k in range(400)]
+    rows += [(400 + k, "c", 300 + k, rows[k * 7][3]) for k in range(20)] + [(900, "a", 350, None), (901, "b", 351, "...")]
+    rows += [(1000, "a", 1000, "one near copy of some length"), *((1001 + k, "b", 1001 + k, f"other{k} text{k}") for k in range(70)), (1100, "c", 1100, "One near copy, of same length")]
+
+    def brute(capacity):
+        index, out = OrderedDict(), {}
+        for i, _, _, text in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+            text = text or ""
+            tokens = frozenset(re.findall("[a-z0-9]+", text.casefold()))
+            out[i] = 1_000_000 - max((len(tokens & o) * 1_000_000 // len(tokens | o) for o in index.values() if tokens | o), default=0)
+            index.pop(text, None)
+            while len(index) >= capacity:
+                index.popitem(last=False)
+            index[text] = tokens
+        return out
+
+    d = spark.createDataFrame(rows, "doc_id long, source string, t long, text string").withColumn("received_at", F.timestamp_seconds("t"))
+    for capacity, run in ((4096, 4096), (4096, 50), (40, 64), (1, 7), (90, 13)):
+        got = novelty(d, capacity, run).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.novelty_ppm for r in got} == brute(capacity)
+    assert brute(4096)[1100] == 1_000_000 - 5 * 1_000_000 // 7
+    assert novelty(d.limit(0)).count() == 0

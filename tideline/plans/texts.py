@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as X
 from tideline.functions.hashing import canonical_json, fnv1a
-from tideline.operators.folds import ordered_fold
+from tideline.operators import novelty as history
 from tideline.session import table
 
 #: Kinds of event by the first pattern that occurs (fixed values).
@@ -129,20 +129,9 @@ def stable_hashes(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", fnv1a("text").alias("fnv"))
 
 
-def _novel(state, row):
-    """Row: (doc_id, text). Keeps the word sets of the last 64 documents of the key."""
-    from collections import deque
-
-    state = deque(maxlen=64) if state is None else state
-    ws = frozenset((row[1] or "").lower().split())
-    best = max((len(ws & o) / len(ws | o) for o in state if ws or o), default=0.0)
-    state.append(ws)
-    return state, (int(row[0]), int((1 - best) * 1_000_000))
-
-
 def novelty(spark: SparkSession, d: str) -> DataFrame:
-    """One minus the greatest word overlap with the source's last 64 documents, in ppm: a fold with bounded state."""
-    return ordered_fold(_docs(spark, d).where("received_at is not null"), ["source"], ["received_at", "doc_id"], lambda: None, _novel, ["doc_id", "text"], "doc_id long, novelty_ppm long")
+    """One minus the greatest word overlap with the last 4096 documents of all sources, in ppm."""
+    return history.novelty(_docs(spark, d))
 
 
 QUERIES = {

@@ -180,13 +180,13 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     doubled = _stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return live.run_to_table(live.deduplicated(doubled, ["event_id"]).select("event_id", "user_id"), "dedup")
+    return live.run_to_table(live.deduplicated(doubled, ["event_id"], None).select("event_id", "user_id"), "dedup")
 
 
 def stream_reordered(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's rows numbered, some lost; in sequence again, with the gaps told."""
-    rows = _stream(spark, d).where("event_id % 50 <> 7").select((F.col("event_id") % 4).alias("channel"), F.expr("event_id div 4").alias("sequence"), F.col("event_type").alias("payload"))
-    return live.run_to_table(live.reordered(rows, 8), "reordered")
+    """Rows of four channels, some lost, as they came by their time; in sequence again, with the gaps told."""
+    rows = _stream(spark, d).where("event_id % 50 <> 7").select((F.col("event_id") % 4).alias("channel"), F.expr("event_id div 4").alias("sequence"), F.col("event_type").alias("payload"), "ts")
+    return live.run_to_table(live.reordered(rows, arrival=["ts"]), "reordered")
 
 
 QUERIES = {

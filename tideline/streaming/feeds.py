@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from bisect import bisect_right
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,42 +44,63 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", lateness: str = "1
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "ticks")
 
 
-def deduplicated(events: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFrame:
-    """The first row of each key; keys are forgotten once the watermark has passed them."""
+def deduplicated(events: DataFrame, keys: list[str], lateness: str | None = "1 hour") -> DataFrame:
+    """The first row of each key; keys are forgotten once the watermark has passed them, and rows behind it dropped.
+
+    Where rows may come in any order of time, as from the files of a folder, give
+    no ``lateness``: no row is late then, and the state keeps every key.
+    """
+    if lateness is None:
+        return events.dropDuplicates(keys)
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
 REORDERED = "channel long, sequence long, payload string, state string"
 
 
-def reordered(rows: DataFrame, hold: int = 32) -> DataFrame:
+def reordered(rows: DataFrame, hold: int = 32, arrival: Sequence[str] = ()) -> DataFrame:
     """Rows of (channel, sequence, payload) in sequence per channel.
 
-    Out-of-order rows wait, at most ``hold`` of them; beyond that the missing range is
-    told as one GAP row and the sequence goes on. Duplicates are dropped. State is
-    the next number and the waiting rows.
+    A micro-batch's rows of a channel are taken in order of the columns
+    ``arrival``, then by sequence; a shuffle keeps no order of its own. A channel
+    starts at the smallest number of its first micro-batch. Out-of-order rows wait,
+    at most ``hold`` of them; beyond that the missing range is told as one GAP row
+    and the sequence goes on. A row below the sequence that was never given comes
+    out as LATE; duplicates are dropped. Rows that wait when the stream stops stay
+    in the state. State is the next number, the waiting rows and the open gaps; a
+    channel's rows of one micro-batch must fit a task.
     """
+    order = [*arrival, "sequence"]
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        expected, waiting = json.loads(state.get[0]) if state.exists else (None, {})
+        expected, waiting, gaps = json.loads(state.get[0]) if state.exists else (None, {}, [])
         waiting = {int(k): v for k, v in waiting.items()}
         out: list[tuple] = []
-        for pdf in batches:
-            for seq, payload in sorted(zip(pdf["sequence"], pdf["payload"])) if expected is None else zip(pdf["sequence"], pdf["payload"]):
-                seq = int(seq)
-                expected = seq if expected is None else expected
-                if seq < expected or seq in waiting:
-                    continue
-                waiting[seq] = payload
-                while expected in waiting or len(waiting) > hold:
-                    if expected in waiting:
-                        out.append((key[0], expected, waiting.pop(expected), "OK"))
-                        expected += 1
-                    else:
-                        nxt = min(waiting)
-                        out.append((key[0], expected, str(nxt - expected), "GAP"))
-                        expected = nxt
-        state.update((json.dumps([expected, waiting]),))
+        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
+        if expected is None:
+            expected = int(pdf["sequence"].min())
+            gaps = [[-(2**63), expected - 1]]
+        for seq, payload in zip(pdf["sequence"], pdf["payload"]):
+            seq = int(seq)
+            if seq < expected:
+                k = bisect_right(gaps, seq, key=lambda g: g[0]) - 1
+                if k >= 0 and seq <= gaps[k][1]:
+                    out.append((key[0], seq, payload, "LATE"))
+                    gaps[k : k + 1] = [g for g in ([gaps[k][0], seq - 1], [seq + 1, gaps[k][1]]) if g[0] <= g[1]]
+                continue
+            if seq in waiting:
+                continue
+            waiting[seq] = payload
+            while expected in waiting or len(waiting) > hold:
+                if expected in waiting:
+                    out.append((key[0], expected, waiting.pop(expected), "OK"))
+                    expected += 1
+                else:
+                    nxt = min(waiting)
+                    out.append((key[0], expected, str(nxt - expected), "GAP"))
+                    gaps.append([expected, nxt - 1])
+                    expected = nxt
+        state.update((json.dumps([expected, waiting, gaps]),))
         yield pd.DataFrame(out, columns=["channel", "sequence", "payload", "state"])
 
     return rows.groupBy("channel").applyInPandasWithState(run, REORDERED, "s string", "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,6 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Numbers, dates' digits, addresses and identifiers of all sentences are masked;
+Numbers, dates, addresses and identifiers of all sentences are masked;
 equal masked messages are grouped across documents and sources by hash; every
 distinct message is then classified once, by rules on
 placeholders and phrases; and the classes decide on the documents.
@@ -47,16 +47,40 @@ ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+", re.I)
 IDENT = re.compile(r"\b(?:req-)?(?=[0-9a-f]*[0-9])[0-9a-f]{7,}\b|\breq-\d+\b", re.I)
 DIGIT = re.compile(r"\d")
 DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
+WORD = re.compile(r"[^\W\d_]+")
+#: Months and weekdays in English, Spanish and French; those that are other words too only with a capital.
+MONTHS = """january february march april june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec
+    enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre ene abr ago dic
+    janvier février fevrier mars avril mai juin juillet août aout septembre octobre novembre décembre decembre janv févr fevr avr juil déc""".split()
+DAYS = """monday tuesday wednesday thursday friday saturday sunday lunes martes miércoles miercoles jueves viernes sábado sabado domingo
+    lundi mardi mercredi jeudi vendredi samedi dimanche tue tues thu thur thurs fri""".split()
+CAPITAL = frozenset(["may", "mon", "wed", "sat", "sun"])
+#: Marks that stand around a month's or weekday's name while a sentence is masked.
+DATE_NAMES = dict.fromkeys([*MONTHS, "may"], "\x01") | dict.fromkeys([*DAYS, "mon", "wed", "sat", "sun"], "\x03")
+UNMARKED = dict.fromkeys((1, 2, 3))
+_MONTH, _DAY, _DAY_NO, _OF, _THE = r"\x01\w+\x02\.?", r"\x03\w+\x02\.?", r"\b0(?:st|nd|rd|th|er|º|o)?\b", "(?:de|of|del|DE|OF|DEL)", "(?:the|el|le|THE|EL|LE)"
+DATE = re.compile(
+    rf"(?:{_DAY},? (?:{_THE} )?)?(?:{_DAY_NO}[ /-](?:{_OF} )?{_MONTH}(?:(?:,? (?:{_OF} )?|[/-])0\b)?|{_MONTH}[ /-](?:{_OF} )?{_DAY_NO}(?:,? 0\b)?)(?:,? {_DAY})?|{_DAY},? (?:{_THE} )?{_DAY_NO}|{_DAY_NO},? {_DAY}"
+)
 INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
+def _marked(m: re.Match[str]) -> str:
+    word = m[0]
+    low = word.lower()
+    kind = DATE_NAMES.get(low)
+    return word if kind is None or (low in CAPITAL and word[0].islower()) else f"{kind}{word}\x02"
+
+
 def mask(sentence: str) -> str:
-    """Numbers, identifiers and addresses as 0 and one word; case and marks stay."""
+    """Numbers, identifiers, addresses and dates, with names of months and weekdays beside a number, as 0 and one word; case and marks stay."""
     s = sentence
     if "@" in s or "://" in s or "www." in s.lower():
         s = ADDRESS.sub("address", s)
     if DIGIT.search(s):
-        s = DIGITS.sub("0", IDENT.sub("0", s))
+        s = " ".join(DIGITS.sub("0", IDENT.sub("0", s)).split())
+        if any(w in DATE_NAMES for w in WORD.findall(s.lower())):
+            s = DATE.sub("0", WORD.sub(_marked, s.translate(UNMARKED))).translate(UNMARKED)
     return " ".join(s.split())
 
 
@@ -273,7 +297,6 @@ def classify(message: str) -> str:
 
 #: Characters and words that hint at a rule. Not a superset of what the rules accept, so nothing is dropped by them.
 MARKS = re.compile(r"[{}<>\[\]«»@#$%_|©]")
-WORD = re.compile(r"[^\W\d_]+")
 TRIGGERS = frozenset(
     """undefined null nan none nil error errors erreur http traceback file retry reference request requests ray trace incident session expired sorry page document origin upstream server gateway
     rate slow try come back service site system website wrong permission access blocked denied refused sign log found gone forbidden unavailable unauthorized unauthorised timeout moved exist exists available

@@ -146,6 +146,23 @@ def test_leaks(spark):
     assert leakage.leaked(d.limit(0), t).count() == 0 and leakage.leaked(d, t.limit(0)).count() == 0
 
 
+def test_an_item_longer_than_a_block(spark):
+    long = [f"k{n}" for n in range(70_000)]
+    other = [f"o{n}" for n in range(30)]
+    docs = {
+        1: ["x", *long[66_000:66_040], "x"],
+        2: long[100:112] + ["zz"] + long[113:130],
+        3: [long[65_535 + k] if k % 2 else long[k] for k in range(40)],  # equal only in 16 bits
+        4: ["y", *other],
+        5: long[40:59],
+        6: long[59_980:60_030],
+    }
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string")
+    t = spark.createDataFrame([(7, " ".join(other)), (8, " ".join(long)), (9, " ".join(other))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.stretch_words, r.edits) for r in leakage.leaked(d, t).collect()}
+    assert got == {(1, 8): (40, 0), (2, 8): (30, 1), (4, 7): (30, 0), (4, 9): (30, 0), (6, 8): (50, 0)}
+
+
 def test_no_stretch_is_missed_by_the_seed():
     """Any 20 or more words with at most one edit in eight keep a verbatim run of the seed's length."""
     for n in range(20, 400):

@@ -10,7 +10,8 @@ A stretch of n >= 20 words with at most n/8 edits holds a verbatim run of at lea
 six words ((n - e) / (e + 1) >= 6 for e <= n/8), so a seed of five misses none.
 
 Items are worked off in blocks, each a pass over the corpus, so what is
-broadcast is bounded by ``BLOCK_WORDS`` whatever the number of items.
+broadcast is bounded by ``BLOCK_WORDS``, or one longer item, whatever the number
+of items.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tideline.session import spread
 
 SEED, LEAST, PER_EDIT = 5, 20, 8
-#: Words of the items in one block: at most 24 MB as Python objects, and below the 16-bit limit of word ids.
+#: Words of the items in one block: at most 24 MB as Python objects. A longer item is a block of its own.
 BLOCK_WORDS = 60_000
 #: Documents that a shard's suffix array covers at most, and words after which a shard is closed.
 SHARD_WORDS = 1_000_000
@@ -86,9 +87,14 @@ def make_block(items: list[tuple[int, list[str]]]) -> Block:
     return Block([i for i, _ in items], seqs, vocabulary, starts, flat, np.repeat(np.arange(len(seqs)), np.diff(starts)))
 
 
+def _short(ids: np.ndarray) -> np.ndarray:
+    """Word ids in 16 bits. Only a block of one long item has more; its ids share numbers, and hits are checked on the ids themselves."""
+    return np.where(ids > 0, (ids - 1) % 65_535 + 1, 0)
+
+
 def _pack(flat: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
     """Four words from position + skip on as one 64-bit number."""
-    padded = np.r_[flat, np.zeros(8, np.int64)].astype(np.uint64)
+    padded = np.r_[_short(flat), np.zeros(8, np.int64)].astype(np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(4):
         out = (out << np.uint64(16)) | padded[skip + j : skip + j + n]
@@ -160,9 +166,11 @@ def reach(a: list[int], b: list[int], edits: int) -> list[int]:
 
 def grown(item: list[int], doc: list[int], i: int, j: int, n: int) -> tuple[int, int]:
     """The longest stretch of the item's words through the match item[i:i+n] = doc[j:j+n], and its edits, that keeps to one edit in ``PER_EDIT``."""
-    most = len(item) // PER_EDIT
-    right = reach(item[i + n :], doc[j + n : j + n + len(item) + most], most)
-    left = reach(item[:i][::-1], doc[max(0, j - len(item) - most) : j][::-1], most)
+    #: A stretch covers no more words than the document has, and its edits, so these are at most a seventh of the document's words.
+    most = min(len(item) // PER_EDIT, len(doc) // (PER_EDIT - 1))
+    wide = len(doc) + most
+    right = reach(item[i + n : i + n + wide], doc[j + n : j + n + len(item) + most], most)
+    left = reach(item[max(0, i - wide) : i][::-1], doc[max(0, j - len(item) - most) : j][::-1], most)
     best = (0, 0)
     for x, r in enumerate(right):
         for y, s in enumerate(left):
@@ -177,11 +185,14 @@ def search_shard(doc_ids: list[int], docs: list[np.ndarray], block: Block) -> It
     begin = np.cumsum([0, *(len(x) + 1 for x in docs)])
     index = SuffixArray(flat)
     n = len(block.keys)
-    lo, hi = index.search(_pack(block.keys, n), np.r_[block.keys[4:], np.zeros(4, np.int64)])
+    lo, hi = index.search(_pack(block.keys, n), np.r_[_short(block.keys[4:]), np.zeros(4, np.int64)])
     hi = np.where((np.lib.stride_tricks.sliding_window_view(np.r_[block.keys, np.zeros(SEED - 1, np.int64)], SEED) > 0).all(1), hi, lo)
     count = hi - lo
     test = np.repeat(np.arange(n), count)
     place = index.at[np.repeat(lo, count) + np.arange(len(test)) - np.repeat(np.cumsum(count) - count, count)]
+    if len(block.vocabulary) > 65_535:
+        same = np.all([block.keys[test + j] == flat[place + j] for j in range(SEED)], axis=0)
+        test, place = test[same], place[same]
     #: A hit whose predecessor words agree too lies inside a longer match.
     inner = (test > 0) & (place > 0) & (block.keys[test - 1] == flat[place - 1]) & (block.keys[test - 1] > 0)
     test, place = test[~inner], place[~inner]
@@ -215,7 +226,7 @@ def leaked(documents: DataFrame, items: DataFrame, text: str = "text", block_wor
     shard of the corpus; a document isn't shuffled.
 
     Null, empty and blank texts leak nothing, and items of fewer than 20 words
-    can't be leaked. Rows without an id are passed over. Repeated documents or
+    can't be leaked; an item of any length is searched whole. Rows without an id are passed over. Repeated documents or
     items count each by their own id; a repeated id gives one row, the longest
     stretch. No documents or no items give no rows. Extra columns are ignored.
 
@@ -261,11 +272,9 @@ def leaked(documents: DataFrame, items: DataFrame, text: str = "text", block_wor
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).dropna()
     for i, t in ((r[0], r[1]) for r in rows.toLocalIterator()):
         ws = words(t)
-        if len(ws) < LEAST or len(ws) > block_words:
-            if len(ws) > block_words:
-                raise ValueError(f"item {i} has more than {block_words} words")
+        if len(ws) < LEAST:
             continue
-        if size + len(ws) > block_words:
+        if block and size + len(ws) > block_words:
             parts.append(search(make_block(block)))
             block, size = [], 0
         block.append((i, ws))

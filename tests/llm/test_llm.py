@@ -242,12 +242,53 @@ def test_messages_without_a_trigger_word(spark):
     assert {r.doc_id for r in residue.residue_documents(d).collect()} == {0, 1, 2, 3, 4, 10, 11, 12, 13}
 
 
-def test_trigger_is_a_superset():
-    """What a rule accepts passes the cheap test that comes first."""
-    for t in RESIDUE:
-        for s, data in residue.segments(t):
-            if not data and residue.classify(residue.mask(s)) != "content":
-                assert residue.may_be(s), s
+def test_hints_lose_no_rule():
+    """What the placeholder and filler rules accept passes the cheap tests that come first."""
+    forms = ["{{a}}", "{{ a|b('c') }}", "{% a %}", "<%= a %>", "[% a %]", "[[a]]", "<<a>>", "((a))", "${a}", "#{a}", "@{a}", "%{a}", "$(a)", "$[a]", "*|A|*", "@@a@@", "%%a%%", "##a##", "$$a$$", "~~a~~", "||a||", "::a::", "!!a!!", "^^a^^", "++a++",
+             "#ABC#", "%ABC%", "$ABC$", "@ABC@", "~ABC~", "^ABC^", "%(a)s", "%s", "%1$s", "%.2f", "__a_b__", "{0}", "{name}", "<TICKER>", "<company_name>", "(company_name)", "(companyName)", "$company_name", "COMPANY_NAME", "<insert city>", "(insert city)", "[insert city]",
+             "[city here]", "[Su City aquí]", "[à compléter : x]", "[votre nom]", "[company_name]", "[COMPANY NAME]", "[Company Name]", "« ISSUER »", "[tbd]", "(TBC)", "[●]", "____", "XX.X", "$XX", "XX million", "DD/MM/YYYY", "JJ/MM/AAAA", "YYYY-MM-DD",
+             "undefined", "null", "NaN", "NaT", "None", "N/A", "#REF!", "#N/A", "#ERROR!", "#####", "[object Object]", "Invalid Date", "<NA>", "(null)"]
+    for form in forms:
+        for s in (f"Shares of {form} rose by noon.", f"{form} rose", f"Está en {form}.", form.upper() if form.isalpha() else form):
+            assert residue.classify(residue.mask(s)) == "placeholder", s
+    for s in ("xxxx xxxx test", "bla blah add facts", "headline to come, body copy here", "asdf hjkl", "todo fill in the body", "[body] more to come"):
+        assert residue.classify(s) == "residue", s
+        assert any(h in s for h in residue.RUN_HINTS)
+
+
+def _site(unknown: str, n: int, start: int = 0, k: int = 5) -> list[tuple[int, str, str]]:
+    """Documents of a site: an unknown message of 20 kinds of filler case, some with known furniture."""
+    tails = ("", "\n© 2020 Some Bank req-12345678", "\nHome | Terms | Help", "!", "...")
+    return [(start + i, f"{unknown}{tails[i % 5]}\n" + "\n" * (i % 3) + ("Home | Help | Terms" if i % 2 else ""), f"s{i % k}") for i in range(n)]
+
+
+def test_unknown_message_that_stands_alone(spark):
+    """No rule knows the words; that it recurs alone, in different texts, decides."""
+    site = "Kindly await the gatekeeper's nod before you proceed"
+    news = [(100 + i, f"The bank held its rate.\nA clerk from ward{'abcdefghijkl'[i]} counted crates.", f"s{i % 5}") for i in range(12)]
+    alone = [(200, "The bank held its rate.", "s1")]
+    copies = [(300 + i, "A tender lapsed on Monday.\nTwo mills shut.", f"s{i % 5}") for i in range(40)]
+    rows = _site(site, 20) + news + alone + copies + [(400, site + "\nA clerk lost a ledger.", "s3"), (401, site + "\na\tb\tc", "s3")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert residue.classify(residue.mask(site)) == "content"
+    got = {r.doc_id: r.reason for r in residue.residue_documents(d).collect()}
+    assert got == dict.fromkeys(range(20), "recurring")
+
+
+def test_unknown_furniture(spark):
+    """A line that no rule knows and that keeps to the edges counts as furniture."""
+    line = "Kept by the night desk of ours"
+    news = [(100 + i, f"A clerk from ward{'abcdefghijklmnopqrst'[i]} counted crates.\n{line}", f"s{i % 5}") for i in range(20)]
+    rows = [(0, f"404 Not Found\n{line}", "s1"), (1, f"Lorem ipsum dolor.\n{line}", "s2"), (2, line, "s3")]
+    d = spark.createDataFrame(rows + news, "doc_id long, text string, source string")
+    assert {r.doc_id for r in residue.residue_documents(d).collect()} == {0, 1}
+
+
+def test_hot_message_is_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(residue, "HOT", 4)
+    rows = [(i, "404 Not Found", f"s{i % 4}") for i in range(60)] + [(100 + i, f"Ward {'abcdefgh'[i]} shut\nXX.X million", "s") for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert residue.residue_documents(d).count() == 68
 
 
 def test_mask():

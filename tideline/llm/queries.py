@@ -36,7 +36,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_messages(spark: SparkSession, d: str) -> DataFrame:
     """The recurring messages, with how many documents and sources hold them, and their class."""
     _, distinct = residue_messages(table(spark, d, "documents"))
-    return distinct.where("n_sources > 1 and class <> 'content'").select("message", "class", F.col("n_documents"), F.col("n_sources"))
+    return distinct.where("n_sources > 1 and class <> 'content'").select("message", "class", F.col("n_rows").alias("n_documents"), F.col("n_sources"))
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,15 @@ placeholders and phrases; and the classes decide on the documents.
 
 A document is residue if one of its messages has an unfilled placeholder or empty
 value where words belong, or if it has residue messages and, apart from site
-furniture, nothing else. A message that no rule knows counts as residue too if it
-recurs, in at least ``RECURS`` documents and sources, as good as only beside residue.
+furniture, nothing else.
+
+Messages that no rule knows are judged by how they recur. A message is *wide* if it
+stands in at least ``RECURS`` documents and sources; a text is *closed* if it has no
+row of data and no message that is neither known nor wide. Sentences of articles
+recur beside sentences that don't; messages of a site stand alone. So a wide message
+is residue too, without any rule on its words, if it stands in ``WIDE`` different
+texts of which a share of ``PURE`` is closed, or as good as only beside residue;
+and one that keeps to the first and last lines of its texts is furniture.
 """
 
 from __future__ import annotations
@@ -21,15 +28,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.session import durable, spread
 
-#: Documents and sources in which an unknown message must recur beside residue, and its share of such documents among all.
-RECURS, PURE = 3, 0.9
-#: Copies of each distinct message in the join back, so that a message that fills a third of the corpus is spread.
-SALTS = 16
+#: Documents and sources in which a message recurs; different texts from which on recurrence alone decides; shares of closed texts, of documents with other residue, and of edges.
+RECURS, WIDE, PURE, BESIDE, EDGE = 3, 8, 0.7, 0.9, 0.95
+#: A message in more than one of this many rows is joined from a broadcast of at most as many messages, all others by a shuffle.
+HOT = 2_000
 
 # --- Segments -----------------------------------------------------------------
 
@@ -44,9 +51,9 @@ BLOCK = re.compile(
 LINES = re.compile("[\r\n\u2028\u2029\x0b\x0c\x85]+")
 SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+")
 ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+", re.I)
-IDENT = re.compile(r"\b(?:req-)?(?=[0-9a-f]*[0-9])[0-9a-f]{7,}\b|\breq-\d+\b", re.I)
+#: Numbers, and identifiers of at least seven hexadecimal digits or after req-.
+NUMBER = re.compile(r"\b(?:req-)?[0-9a-fA-F]{7,}\b|\breq-\d+\b|\d+(?:[.,:]\d+)*")
 DIGIT = re.compile(r"\d")
-DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 WORD = re.compile(r"[^\W\d_]+")
 #: Months and weekdays in English, Spanish and French; those that are other words too only with a capital.
 MONTHS = """january february march april june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec
@@ -55,21 +62,23 @@ MONTHS = """january february march april june july august september october nove
 DAYS = """monday tuesday wednesday thursday friday saturday sunday lunes martes miércoles miercoles jueves viernes sábado sabado domingo
     lundi mardi mercredi jeudi vendredi samedi dimanche tue tues thu thur thurs fri""".split()
 CAPITAL = frozenset(["may", "mon", "wed", "sat", "sun"])
-#: Marks that stand around a month's or weekday's name while a sentence is masked.
-DATE_NAMES = dict.fromkeys([*MONTHS, "may"], "\x01") | dict.fromkeys([*DAYS, "mon", "wed", "sat", "sun"], "\x03")
-UNMARKED = dict.fromkeys((1, 2, 3))
-_MONTH, _DAY, _DAY_NO, _OF, _THE = r"\x01\w+\x02\.?", r"\x03\w+\x02\.?", r"\b0(?:st|nd|rd|th|er|º|o)?\b", "(?:de|of|del|DE|OF|DEL)", "(?:the|el|le|THE|EL|LE)"
-DATE = re.compile(
-    rf"(?:{_DAY},? (?:{_THE} )?)?(?:{_DAY_NO}[ /-](?:{_OF} )?{_MONTH}(?:(?:,? (?:{_OF} )?|[/-])0\b)?|{_MONTH}[ /-](?:{_OF} )?{_DAY_NO}(?:,? 0\b)?)(?:,? {_DAY})?|{_DAY},? (?:{_THE} )?{_DAY_NO}|{_DAY_NO},? {_DAY}"
-)
+DATE_NAMES = frozenset([*MONTHS, *DAYS, *CAPITAL])
+#: The names as a sentence's words show them, with the mark that follows.
+DATE_WORDS = frozenset(name + mark for name in DATE_NAMES for mark in ("", ",", "."))
+BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]{3,10})(\.?,?[ /-](?:(?:de|of|del|the|el|le) )?)0(?![\w])(?:st|nd|rd|th|er|º)?", re.I)
+AFTER = re.compile(r"\b0(?:st|nd|rd|th|er|º|o)?,?[ /-](?:(?:de|of|del) )?([^\W\d_]{3,10})(?![^\W\d_])\.?", re.I)
+SEVERAL = re.compile(r"\b0(?:st|nd|rd|th|er|º|o)?(?:(?:,? (?:(?:de|of|del) )?|[/-])0\b)+", re.I)
 INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
-def _marked(m: re.Match[str]) -> str:
-    word = m[0]
-    low = word.lower()
-    kind = DATE_NAMES.get(low)
-    return word if kind is None or (low in CAPITAL and word[0].islower()) else f"{kind}{word}\x02"
+def _number(m: re.Match[str]) -> str:
+    return "0" if DIGIT.search(m[0]) else m[0]
+
+
+def _dated(m: re.Match[str]) -> str:
+    name = m[1]
+    low = name.lower()
+    return "0" if low in DATE_NAMES and not (low in CAPITAL and name[0].islower()) else m[0]
 
 
 def mask(sentence: str) -> str:
@@ -78,9 +87,9 @@ def mask(sentence: str) -> str:
     if "@" in s or "://" in s or "www." in s.lower():
         s = ADDRESS.sub("address", s)
     if DIGIT.search(s):
-        s = " ".join(DIGITS.sub("0", IDENT.sub("0", s)).split())
-        if any(w in DATE_NAMES for w in WORD.findall(s.lower())):
-            s = DATE.sub("0", WORD.sub(_marked, s.translate(UNMARKED))).translate(UNMARKED)
+        s = " ".join(NUMBER.sub(_number, s).split())
+        if not DATE_WORDS.isdisjoint(s.lower().replace("-", " ").replace("/", " ").split()):
+            s = SEVERAL.sub("0", AFTER.sub(_dated, BEFORE.sub(_dated, s)))
     return " ".join(s.split())
 
 
@@ -92,6 +101,28 @@ def fold(s: str) -> str:
     return s.casefold().strip(" \t.!?…*_~-:;>")
 
 
+#: A unit of words over and over, and what programs put before and around an error's text.
+AGAIN = re.compile(r"(.{2,80}?)(?:[ ,.;:!?]+\1)+")
+RAISED = re.compile(r"\b\w+(?:error|exception)\b")
+FILE = re.compile(r"[\w/\\.-]+\.(?:py|js|java|php|rb|go|html?|aspx?)\b")
+
+
+def _repeats(s: str) -> bool:
+    """Whether most of a text's words are repetitions, so that it may be one unit over and over."""
+    ws = s.split()
+    return len(ws) > 2 and 2 * len(set(ws)) <= len(ws) + 1
+
+
+def key(message: str) -> str:
+    """The form in which messages are compared across documents and sources: folded, one unit for its repetitions, names of errors and files as one word."""
+    s = fold(message)
+    if _repeats(s) and (unit := AGAIN.fullmatch(s)):
+        s = unit[1]
+    if "error" in s or "exception" in s:
+        s = RAISED.sub("error", s)
+    return FILE.sub("file", s) if "." in s else s
+
+
 def is_data(line: str) -> bool:
     """Whether a line is a row of a data snippet: tab- or comma-separated, or JSON that is no error message."""
     if line.count("\t") >= 2:
@@ -108,64 +139,74 @@ def is_data(line: str) -> bool:
     return len(cells) >= 4 and all(len(c.split()) <= 2 for c in cells) and sum(bool(re.search(r"\d", c)) for c in cells) * 2 >= len(cells) and not re.search(r"[{%$#@<\[]", s)
 
 
-def segments(text: str) -> Iterator[tuple[str, bool]]:
-    """(sentence, is data) of a text; markup is resolved, a page's title counts only if it has a placeholder."""
+def segments(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """(sentence, is data, is in the first or last of several lines or sentences) of a text; markup is resolved, a page's title counts only if it has a placeholder."""
     if "<" in text:
         for m in PAGE_TITLE.finditer(text):
             if _placeholder(title := " ".join(html.unescape(m[1]).split())):
-                yield title, False
+                yield title, False, False
         text = TITLE.sub("\n", text)
         text = BLOCK.sub("\n", INLINE.sub("", text))
     if "&" in text:
         text = html.unescape(text)
     text = INVISIBLE.sub("", text.replace("\xa0", " "))
-    for line in LINES.split(text):
-        line = line.strip()
-        if not line:
-            continue
+    lines = [line for line in map(str.strip, LINES.split(text)) if line]
+    for k, line in enumerate(lines):
+        edge = k == 0 or k == len(lines) - 1
         if is_data(line):
-            yield line, True
+            yield line, True, False
         elif line[0] == "{" and line[-1] == "}" and re.search(r'"errors?"\s*:', line):
-            yield line, False
+            yield line, False, edge
         else:
-            for s in SENTENCES.split(line):
-                if s.strip():
-                    yield s.strip(), False
+            said = [s for s in map(str.strip, SENTENCES.split(line)) if s]
+            for i, s in enumerate(said):
+                yield s, False, edge and (len(lines) > 1 or i in (0, len(said) - 1))
 
 
 # --- Rules --------------------------------------------------------------------
 
 NAME = r"[A-Za-z][\w.]*(?: [\w.]+){0,3}"
-#: Unfilled placeholders by their delimiters (fixed forms of common template languages and editors' notes).
+#: What may stand between doubled or mixed delimiters: a name, a path, a filter or a helper call.
+INSIDE = r"[#/^&>!=-]?\s*[A-Za-z][\w .:|'\"()\[\]-]{0,60}?"
+#: A name as programs write it: with underscores, or in camel case.
+CODED = r"[A-Za-z]+(?:_[A-Za-z0-9]+)+|[a-z]+(?:[A-Z][a-z]+)+"
+_PAIRS = [(r"\{\{", r"\}\}"), (r"\{%", r"%\}"), (r"<%[=-]?", r"%>"), (r"\[%", r"%\]"), (r"\[\[", r"\]\]"), (r"<<", r">>"), (r"\(\(", r"\)\)"), (r"\*\|", r"\|\*")]
+_PAIRS += [(rf"{mark}\{{", r"\}") for mark in (r"\$", "#", "@", "%", r"\*")] + [(r"\$\(", r"\)"), (r"\$\[", r"\]")]
+_DOUBLED = [r"@@", "%%", "##", r"\$\$", "~~", r"\|\|", "::", "!!", r"\^\^", r"\+\+"]
+_SINGLE = ["#", "%", r"\$", "@", "~", r"\^"]
+#: Unfilled placeholders by their delimiters (forms of common template languages and editors' notes).
 PLACEHOLDER = re.compile(
     "|".join(
         (
-            rf"\{{\{{\s*{NAME}\s*\}}\}}",
-            rf"\{{%\s*{NAME}\s*%\}}",
-            rf"<%[=-]?\s*{NAME}\s*%>",
-            rf"\$\{{\s*{NAME}\s*\}}",
+            *(rf"{opening}\s*{INSIDE}\s*{closing}" for opening, closing in _PAIRS),
+            *(rf"{mark}\s*{NAME}\s*{mark}" for mark in _DOUBLED),
+            *(rf"(?<![\w{mark}]){mark}[A-Z][A-Z_.]{{2,}}{mark}(?!\w)" for mark in _SINGLE),
             r"%\([A-Za-z][\w.]*\)[sdf]",
-            rf"@@\s*{NAME}\s*@@",
+            r"(?<![\w%])%(?:\d\$)?(?:\.\d)?[sdf](?!\w)",
             r"__[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)*__",
-            rf"\[\[\s*{NAME}\s*\]\]",
-            r"(?<![\w#])#[A-Z][A-Z_.]{2,}#(?!\w)",
-            r"(?<![\w%])%[A-Z][A-Z_.]{2,}%(?!\w)",
             r"(?<![\w{$\\])\{(?:\d{1,2}|[A-Za-z][\w.]*)\}(?!\})",
             r"<(?!(?:HTML|HEAD|BODY|DIV|SPAN|TABLE|TITLE|PRE|CODE|IMG)>)[A-Z][A-Z_. ]{2,}>",
-            rf"(?i:<insert {NAME}>)",
+            rf"[<(|](?:{CODED})[>)|]",
+            rf"(?<![\w$])\$(?:{CODED})\b",
+            r"\b[A-Z]+(?:_[A-Z]+)+\b",
+            rf"(?i:[<(](?:insert|your|enter|add) {NAME}[>)])",
             rf"(?i:\[(?:insert|your|enter|add|add your) {NAME}\])",
             rf"(?i:\[{NAME} here\])",
             rf"(?i:\[(?:su|tu|inserte|insertar) {NAME} aqu[ií]\])",
             rf"(?i:\[(?:inserte|insertar|poner|completar) {NAME}\])",
             rf"(?i:\[(?:à|a) (?:compléter|completer|remplir|préciser)(?: ?: ?{NAME})?\])",
             rf"(?i:\[(?:votre|insérer|inserer) {NAME}(?: ici)?\])",
+            rf"\[(?:{CODED}|(?!SIC\])[A-Z][A-Z_. ]{{2,}}|[A-Z][a-z]+(?:[ _][A-Z][a-z]+)+)\]",
             r"«\s?[A-Z][A-Z_.]{2,}\s?»",
-            r"(?i:\[(?:tbd|tbc|tk|xx+)\])",
+            r"(?i:[\[(<](?:tbd|tbc|tba|tk|xx+|blank|empty|missing|n/a|no value)[\])>])",
+            r"\[\s?[●•*_]\s?\]|(?<!_)_{3,}(?!\w)",
+            r"\bX{1,3}(?:[.,]X{1,3})+\b|[$€£]X{1,3}\b|\bX{2,3} ?(?:%|(?:million|billion|millones|millions|percent|per cent)\b)",
+            r"\b(?:DD|MM|JJ)[/.-](?:MM|DD)[/.-](?:YYYY|AAAA|YY|AA)\b|\bYYYY-MM-DD\b",
         )
     )
 )
 #: Values that a program left for a missing one.
-EMPTY = re.compile(r"#(?:REF!|N/A\b|VALUE!|DIV/0!|NAME\?|NUM!|NULL!)|\[object Object\]|(?<![\w\"'-])(?:undefined|null|NaN|None|NULL|UNDEFINED|NAN|NONE|nil)(?![\w\"'-])", re.I)
+EMPTY = re.compile(r"#(?:REF!|N/A\b|VALUE!|DIV/0!|NAME\?|NUM!|NULL!|ERROR!)|#{4,}|\[object Object\]|\bInvalid Date\b|<NA>|(?<![\w\"'-])(?:undefined|null|NaN|NaT|None|nil|N/A)(?![\w\"'-])", re.I)
 #: Before or after such a mark: it is spoken of, not left over.
 SPOKEN_BEFORE = re.compile(
     r"(?:\b(?:tokens?|placeholders?|markers?|variables?|tags?|literals?|literally|marked|written|reading|typed|syntax|merge fields?|spelled|says?|saying|entered|shown|labell?ed)"
@@ -225,25 +266,35 @@ RUN = re.compile(
     rf"(?:\b(?:x{{3,}}|bla+h?|test(?:ing)?|(?:asdf|qwer|zxcv|hjkl)\w*|more to (?:follow|come)|(?:todo|tbd|fixme)(?: (?:write|add|fill|complete|check|finish)(?: in| out)?(?: the| a)?(?: {_P}))?)\b|\[{_P}\]"
     rf"|\b(?:the |your |my )?(?:{_P} ){{0,2}}{_P} (?:to come|to follow|goes here|will (?:appear|go) here|here)\b|\b(?:add|insert|place|put|write|enter|check|replace|update) (?:the |a |your |this )?(?:{_P}|{_P}s|figures|numbers|facts|names?|sources?)(?: (?:here|later|below|above|again))?\b)[ ,.;:!?-]*"
 )
-#: One unit over and over.
-AGAIN = re.compile(r"(.{2,80}?)(?:[ ,.;:]+\1)+")
+#: Each alternative of RUN has one of these.
+RUN_HINTS = ("xxx", "bla", "test", "asdf", "qwer", "zxcv", "hjkl", "more to ", "todo", "tbd", "fixme", "[", " here", " to come", " to follow", "add ", "insert ", "place ", "put ", "write ", "enter ", "check ", "replace ", "update ")
 FURNITURE = re.compile(
     r"(?:©|\(c\)|copyright\b) ?.{0,80}|all rights reserved|todos los derechos reservados|tous droits reserves|distributed by .{0,60}|figures are unaudited|.{0,40} newsroom|\[[\w-]+ 0\]|source: .{0,60}|.{0,40} / internal use / .{0,20}|rev(?:\. ?0)?|reproduction needs leave .{0,40}"
     r"|cookies help us .{0,40}|.{0,12}page not found\? .{0,40}|our page not found|write to the help ?desk|(?:home|terms|privacy|contact|help|search|subscribe|log in|sign in|menu|sitemap|back to top|share|print|skip to content)|powered by .{0,40}|(?:read|see) more|advertisement"
 )
 
 
-#: Every placeholder and every ASCII empty value has one of these.
-PLACEHOLDER_HINT = re.compile(r"[{<$%@_\[#«]")
-EMPTY_HINTS = ("undefined", "null", "nan", "none", "nil")
+#: Every placeholder has one of these; every empty value one of the words.
+PLACEHOLDER_HINT = re.compile(r"[{<$@_\[#«*|~^]|%(?:[^\s.,;:)?!]|\.\d)|\(\(|\([A-Za-z]+_|\([a-z]+[A-Z]|\((?i:insert|your|enter|add|tb[acd]\)|tk\)|xx|blank|empty|missing|n/a|no value)|::|!!|\+\+|\b[A-Z]+_|\bX{1,3}[X.,% ]|(?:YYYY|AAAA|[/.-]YY|[/.-]AA)\b")
+EMPTY_HINTS = ("undefined", "null", "none", "#", "[obj", "n/a", "invalid date", "<na>")
+SHORT_HINT = re.compile(r"\b(?:na[nt]|nil)\b")
+
+
+#: The first characters of these, and the pairs that have no rare one.
+RARE = frozenset("{<$@_[#«*|~^%(X")
+PAIRED = ("::", "!!", "++", "YY", "AA")
+
+
+def _hits(s: str) -> Iterator[re.Match[str]]:
+    if (not RARE.isdisjoint(s) or any(p in s for p in PAIRED)) and PLACEHOLDER_HINT.search(s):
+        yield from PLACEHOLDER.finditer(s)
+    low = s.lower()
+    if any(h in low for h in EMPTY_HINTS) or SHORT_HINT.search(low):
+        yield from EMPTY.finditer(s)
 
 
 def _placeholder(s: str) -> bool:
-    if s.isascii() and not PLACEHOLDER_HINT.search(s):
-        low = s.lower()
-        if not any(h in low for h in EMPTY_HINTS):
-            return False
-    for m in (*PLACEHOLDER.finditer(s), *EMPTY.finditer(s)):
+    for m in _hits(s):
         a, b = m.span()
         before, after = s[:a], s[b:]
         if SPOKEN_BEFORE.search(before[-60:]) or SPOKEN_AFTER.match(after[:60]):
@@ -263,6 +314,11 @@ def _placeholder(s: str) -> bool:
     return False
 
 
+#: A menu: short entries with bars between them.
+MENU = frozenset("|·•›»>–—")
+BAR = re.compile(r"[|·•›»]| [/>–—-] ")
+
+
 def classify(message: str) -> str:
     """placeholder, residue, furniture or content, for one masked message."""
     if _placeholder(message):
@@ -270,7 +326,7 @@ def classify(message: str) -> str:
     if ERROR_JSON.fullmatch(message.strip()):
         return "residue"
     raw = message.strip()
-    parts = [p.strip() for p in re.split(r"[|·•›»]| / ", raw)]
+    parts = [p.strip() for p in BAR.split(raw)] if " / " in raw or not MENU.isdisjoint(raw) else ()
     if len(parts) >= 3 and all(len(p.split()) <= 3 and not re.search(r"\d", p) for p in parts):
         return "furniture"
     s = fold(raw)
@@ -279,8 +335,8 @@ def classify(message: str) -> str:
     if FILLER.fullmatch(s) or SCRIPT.fullmatch(s):
         return "residue"
     #: Runs of filler with other filler between or after them.
-    left = RUN.sub(" ", s).strip(" .,;:!?")
-    unit = AGAIN.fullmatch(left)
+    left = RUN.sub(" ", s).strip(" .,;:!?") if any(h in s for h in RUN_HINTS) else s
+    unit = AGAIN.fullmatch(left) if _repeats(left) else None
     left = unit[1] if unit else left
     if left != s and (not left or FILLER.fullmatch(left)):
         return "residue"
@@ -295,126 +351,139 @@ def classify(message: str) -> str:
     return "content"
 
 
-#: Characters and words that hint at a rule. Not a superset of what the rules accept, so nothing is dropped by them.
-MARKS = re.compile(r"[{}<>\[\]«»@#$%_|©]")
-TRIGGERS = frozenset(
-    """undefined null nan none nil error errors erreur http traceback file retry reference request requests ray trace incident session expired sorry page document origin upstream server gateway
-    rate slow try come back service site system website wrong permission access blocked denied refused sign log found gone forbidden unavailable unauthorized unauthorised timeout moved exist exists available
-    conflict prohibido interdit
-    persists return sentimos pagina página servicio sitio sesion sesión mantenimiento maintenance vuelva intente intentelo inténtelo pruebe acceso autorizado autorizacion autorización permiso servidor limite límite
-    solicitud solicitudes peticiones agotado encontrada encontrado existe accès acces introuvable indisponible réessayez reessayez réessayer désolé désolée désolés autorisé autorise serveur passerelle dépassé requête requêtes requetes votre connecter
-    enlace javascript java script scripts cookie cookies browser robot human navegador navigateur loading cargando chargement wait momento patienter verifying checking
-    lorem test testing todo tbd fixme tk dummy sample placeholder filler mock blind temporary here come follow pending aquí aqui venir provisoire provisional prueba relleno ejemplo sustituir texto contenido titular contenu texte
-    titre remplacer remplissage fictif faux completer compléter insert insérer inserer ajouter insertar agregar poner escribir your add place write enter check replace update goes headline story body article lead paragraph summary quote caption chart fox
-    próximamente proximamente newsroom copyright reserved reservados réservés unaudited distributed source internal reproduction rev powered advertisement menu help home privacy terms""".split()
-)
-
-
-def may_be(sentence: str) -> bool:
-    if MARKS.search(sentence):
-        return True
-    ws = WORD.findall(sentence.casefold())
-    return not ws or not TRIGGERS.isdisjoint(ws) or any(w.startswith(("xxx", "bla", "asdf", "qwer")) for w in ws)
-
-
-def sift(doc_text: str) -> tuple[list[str], int]:
-    """The masked messages, and how many rows of data the text has besides."""
-    said: list[str] = []
+def sift(text: str, source: str = "") -> tuple[dict[str, bool], int]:
+    """The masked messages with whether each stands at an edge only, and how many rows of data the text has besides. A text's own source is masked too."""
+    said: dict[str, bool] = {}
     n = 0
-    for s, data in segments(doc_text):
+    for s, data, edge in segments(text):
         if data:
             n += 1
         else:
-            said.append(mask(s))
+            m = mask(re.sub(rf"(?<!\w){re.escape(source)}(?!\w)", "source", s) if source and source in s else s)
+            said[m] = said.get(m, True) and edge
     return said, n
 
 
+def _hash(c: str) -> list[Column]:
+    """128 bits of identity, so that messages don't merge by chance in a large corpus."""
+    return [F.xxhash64(c), F.xxhash64(c, F.lit("again"))]
+
+
+def _labelled(said: DataFrame, known: DataFrame) -> DataFrame:
+    """The messages with what is known of them.
+
+    Hot messages, at most ``HOT`` by their share of all rows, are broadcast; the others shuffle without a hot key.
+    """
+    total = known.agg(F.sum("n_rows")).first()[0] or 0
+    hot = F.col("n_rows") * HOT > total
+    often = F.broadcast(known.where(hot).select("m", "class", "wide", "k"))
+    first = said.join(often, "m", "left")
+    cold = known.where(~hot & ((F.col("class") != "content") | F.col("wide"))).select(F.col("m").alias("cm"), F.col("class").alias("cc"), F.col("wide").alias("cw"), F.col("k").alias("ck"))
+    #: Rows that are labelled already, whatever their number, get keys of their own and meet nothing.
+    at = F.when(F.col("class").isNull(), F.col("m")).otherwise(F.struct(F.col("m.a"), F.xxhash64("doc_id").alias("b")))
+    joined = first.withColumn("at", at).join(cold, (F.col("at") == F.col("cm")) & F.col("class").isNull(), "left")
+    return joined.select("doc_id", "source", "text", "rest", F.coalesce("class", "cc", F.lit("content")).alias("class"), F.coalesce("wide", "cw", F.lit(False)).alias("wide"), F.coalesce("k", "ck").alias("k"))
+
+
 def residue_messages(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(messages of the documents, distinct messages with counts and class).
 
     Every sentence is a message, as recurrence may decide on any; rows of data travel
-    as a number. Messages are counted by hash and source before they are shuffled. The
-    classes are worked out once per distinct message, and written to the shared folder,
-    as two joins read them.
+    as a number. Messages are counted before they are shuffled, copies of a text as one
+    where recurrence is at stake. The classes are worked out once per distinct message,
+    and written to the shared folder, as two joins read them.
+
+    messages: doc_id, source, text (hash), rest, m, k, message, edge. distinct: m, k,
+    message, class, n_rows, and of all messages of the same key n_documents, n_sources,
+    edges (share at the edges) and wide.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col(text).cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
-    docs = spread(rows)
+    docs = spread(rows).withColumn("hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, said, rest = [], [], []
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                messages, n = sift(t)
-                messages = set(messages)
+            at, said, keys, edges, rest = [], [], [], [], []
+            for i, (source, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                messages, n = sift(t, source)
                 said += messages
-                at += [k] * len(messages)
+                edges += messages.values()
+                keys += map(key, messages)
+                at += [i] * len(messages)
                 rest += [n] * len(messages)
-            own = batch.select([0, 1]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(said, pa.string()), pa.array(rest, pa.int32())], names=["doc_id", "source", "message", "rest"])
+            own = batch.select([0, 1, 3]).take(pa.array(at, pa.int64()))
+            columns = [*own.columns, pa.array(rest, pa.int32()), pa.array(said, pa.string()), pa.array(keys, pa.string()), pa.array(edges, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "text", "rest", "message", "key", "edge"])
 
-    said = durable(docs.mapInArrow(run, "doc_id long, source string, message string, rest int").withColumn("hash", F.xxhash64("message")), "messages")
+    pair = lambda c: F.struct(*(h.alias(n) for h, n in zip(_hash(c), "ab")))
+    said = docs.mapInArrow(run, "doc_id long, source string, text long, rest int, message string, key string, edge boolean")
+    said = durable(said.select("doc_id", "source", "text", "rest", "edge", "message", pair("message").alias("m"), pair("key").alias("k")), "messages")
 
     @F.pandas_udf("string")
     def label(messages: pd.Series) -> pd.Series:
         return messages.map(classify)
 
-    distinct = (
-        said.groupBy("hash", "source")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))
-        .groupBy("hash")
-        .agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_sources"), F.min("message").alias("message"))
-        .withColumn("class", label("message"))
+    recurring = (
+        said.groupBy("k", "source")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("e"))
+        .groupBy("k")
+        .agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_sources"), (F.sum("e") / F.sum("n")).alias("edges"))
+        .where(f"n_documents >= {RECURS} and n_sources >= {RECURS}")
     )
+    forms = said.groupBy("m").agg(F.count(F.lit(1)).alias("n_rows"), F.min("message").alias("message"), F.min("k").alias("k")).withColumn("class", label("message"))
+    distinct = forms.join(recurring, "k", "left").withColumn("wide", F.col("n_sources").isNotNull())
     return said, durable(distinct, "classes")
 
 
 def residue_documents(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that hold residue instead of content: doc_id, reason (placeholder, residue).
+    """The documents that hold residue instead of content: doc_id, reason (placeholder, residue, recurring).
 
     Null, empty and blank texts, data snippets, articles that speak of or quote
     such messages and articles with a service line are none. A repeated doc_id
     gives one row; its rows' messages are taken together. Rows without an id are
     passed over; a null source counts as one source. An empty table gives no rows.
-    Extra columns are ignored.
+    Extra columns are ignored. However often one text is copied, its sentences don't count as messages of a site.
     """
     said, distinct = residue_messages(documents, text)
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    #: Messages of class content are most of the distinct ones and join to nothing.
-    classes = distinct.where("class <> 'content'").select(F.col("hash").alias("h"), F.col("class"), every_salt.alias("s"))
-    slim = said.select("doc_id", "source", "hash", "rest", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt"))
-    joined = slim.join(classes, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s")), "left")
+    labelled = _labelled(said.select("doc_id", "source", "text", "rest", "m"), distinct)
+    unknown = (F.col("class") == "content") & F.col("wide")
     has = lambda c: F.max((F.col("class") == c).cast("int"))
-    per_doc = joined.groupBy("doc_id").agg(
-        has("placeholder").alias("placeholder"),
-        has("residue").alias("residue"),
-        F.max("source").alias("source"),
-        F.max("rest").alias("rest"),
-        F.count_if(F.col("class").isNull()).alias("content"),
+    per_doc = durable(
+        labelled.groupBy("doc_id").agg(
+            has("placeholder").alias("placeholder"),
+            has("residue").alias("residue"),
+            F.max("rest").alias("rest"),
+            F.max("text").alias("text"),
+            F.count_if((F.col("class") == "content") & ~F.col("wide")).alias("content"),
+            F.collect_set(F.when(unknown, F.col("k"))).alias("open"),
+        ),
+        "judged",
     )
-    reason = F.when(F.col("placeholder") == 1, "placeholder").when((F.col("residue") == 1) & (F.col("rest") == 0) & (F.col("content") == 0), "residue")
-    judged = durable(per_doc.withColumn("reason", reason).where("reason is not null or (residue = 1 and rest = 0)"), "judged")
-    #: All unknown messages of the documents that hang on them.
-    open_docs = judged.where("reason is null").select(F.col("doc_id").alias("i"), F.col("source").alias("by"))
-    told = said.join(open_docs, F.col("doc_id") == F.col("i")).select("doc_id", F.col("by").alias("source"), F.col("hash").alias("u"))
-    known = distinct.where("class <> 'content'").select(F.col("hash").alias("u"))
-    rest = durable(told.join(known, "u", "left_anti").select("doc_id", "source", "u").distinct(), "unknown")
-    companions = rest.groupBy("u", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("u").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    recurring = (
-        companions.where(f"n >= {RECURS} and k >= {RECURS}")
-        .join(distinct.select(F.col("hash").alias("u"), "n_documents"), "u")
-        .where(F.col("n") >= PURE * F.col("n_documents"))
-        .select(F.col("u").alias("ru"))
+    #: Of a document's own messages; its length bounds the set.
+    closed = (F.col("rest") == 0) & (F.col("content") == 0)
+    reason = F.when(F.col("placeholder") == 1, "placeholder").when(closed & (F.size("open") == 0) & (F.col("residue") == 1), "residue")
+    sure = per_doc.withColumn("reason", reason).where("reason is not null").select("doc_id", "reason")
+    told = (
+        per_doc.select("text", F.explode("open").alias("k"), closed.alias("closed"), "residue")
+        .groupBy("k", "text")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("residue").alias("beside"), F.max(F.col("closed").cast("int")).alias("closed"))
     )
+    shares = told.groupBy("k").agg(F.count(F.lit(1)).alias("n_texts"), F.avg("closed").alias("closed"), (F.sum("beside") / F.sum("n")).alias("beside"))
+    edges = distinct.where("wide").groupBy("k").agg(F.max("edges").alias("edges"))
+    wide = F.col("n_texts") >= WIDE
+    alone = F.when(wide & (F.col("closed") >= PURE) | (F.col("beside") >= BESIDE), "residue").when(wide & (F.col("edges") >= EDGE), "furniture")
+    judged = shares.join(edges, "k").withColumn("told", alone).where("told is not null").select("k", "told")
+    #: Only closed texts hang on what recurs alone.
+    hang = per_doc.where(closed & (F.size("open") > 0) & (F.col("placeholder") == 0)).select("doc_id", "residue", F.explode("open").alias("k"))
     weak = (
-        rest.join(recurring, F.col("u") == F.col("ru"), "left")
+        hang.join(judged, "k", "left")
         .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("a"), F.count("ru").alias("b"))
-        .where("a = b")
-        .select("doc_id", F.lit("residue").alias("reason"))
+        .agg(F.count(F.lit(1)).alias("a"), F.count("told").alias("b"), F.max(F.col("residue") + F.coalesce((F.col("told") == "residue").cast("int"), F.lit(0))).alias("residue"))
+        .where("a = b and residue > 0")
+        .select("doc_id", F.lit("recurring").alias("reason"))
     )
-    return judged.where("reason is not null").select("doc_id", "reason").unionByName(weak)
+    return sure.unionByName(weak)
 
 
 def without_residue(documents: DataFrame, found: DataFrame) -> DataFrame:

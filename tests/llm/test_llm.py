@@ -1,6 +1,8 @@
 """Encoding, leak search and residue rules, against the reference tokenizer, brute force and hand-made cases."""
 
 import random
+
+import numpy as np
 from pathlib import Path
 
 import pytest
@@ -163,6 +165,61 @@ def test_an_item_longer_than_a_block(spark):
     assert got == {(1, 8): (40, 0), (2, 8): (30, 1), (4, 7): (30, 0), (4, 9): (30, 0), (6, 8): (50, 0)}
 
 
+def test_shard_search_against_brute_force(monkeypatch):
+    """Stretches, verbatim lengths and places, with phrases that many items and documents share."""
+    rng = random.Random(1)
+    for _ in range(25):
+        vocabulary = [f"w{i}" for i in range(rng.choice([3, 8, 40]))]
+        items = [(k, [rng.choice(vocabulary) for _ in range(rng.randint(20, 60))]) for k in range(4)]
+        docs = []
+        for _ in range(6):
+            x = []
+            for _ in range(4):
+                ws = rng.choice(items)[1]
+                a = rng.randint(0, len(ws))
+                x += ws[a : a + rng.randint(0, 40)] + [rng.choice([*vocabulary, "u1", "u2"]) for _ in range(rng.randint(0, 6))]
+            docs.append(x)
+        monkeypatch.setattr(leakage, "HITS", rng.choice([3, 50, 2_000_000]))
+        block = leakage.make_block(items)
+        ids = [np.array([leakage.word_id(w) for w in x], np.int64) for x in docs]
+        got = {}
+        for r in leakage.search_shard(list(range(6)), ids, block):
+            got[r[:2]] = max(r, got.get(r[:2], r), key=lambda r: (r[3], -r[4], r[2]))
+        for d, x in enumerate(docs):
+            t = block.numbers(ids[d]).tolist()
+            for k, (i, ws) in enumerate(items):
+                s, best = block.seqs[k].tolist(), (0, 0)
+                for p in range(len(s)):
+                    for q in range(len(t)):
+                        m = 0
+                        while p + m < len(s) and q + m < len(t) and s[p + m] == t[q + m]:
+                            m += 1
+                        if m >= leakage.SEED:
+                            best = max(best, leakage.grown(s, t, p, q, m), key=lambda z: (z[0], -z[1]))
+                if best[0] < leakage.LEAST:
+                    assert (d, i) not in got
+                    continue
+                _, _, verbatim, stretch, edits, dw, iw = got.pop((d, i))
+                assert (stretch, edits) == best and x[dw : dw + verbatim] == ws[iw : iw + verbatim]
+        assert not got
+
+
+def test_many_items_read_the_corpus_once(spark):
+    items = spark.range(10_000).selectExpr("id item_id", "array_join(transform(sequence(0, 49), k -> concat('w', id * 50 + k)), ' ') text")
+    docs = spark.range(40).selectExpr("id doc_id", "concat('x y ', array_join(transform(sequence(5, 39), k -> concat('w', id * 250 * 50 + k)), ' ')) text")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    found = leakage.leaked(docs.mapInPandas(seen, "doc_id long, text string"), items)
+    got = {(r.doc_id, r.item_id, r.verbatim_words, r.doc_word, r.item_word) for r in found.collect()}
+    assert got == {(i, i * 250, 35, 2, 5) for i in range(40)}
+    assert read.value == 40
+
+
 def test_no_stretch_is_missed_by_the_seed():
     """Any 20 or more words with at most one edit in eight keep a verbatim run of the seed's length."""
     for n in range(20, 400):

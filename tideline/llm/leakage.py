@@ -1,17 +1,18 @@
 """Held-out passages inside a corpus, whole or in part.
 
-Each shard of the corpus (a batch of documents) gets a suffix array over its
-words, ordered by the suffixes' first eight words. Every suffix of every held-out
-item is binary-searched in it by its first ``SEED`` words; hits are lengthened to
-the longest verbatim matches. An exact check then grows each match to both sides
-through single-word edits and keeps it if the stretch is long and clean enough.
+Each shard of the corpus (documents of about ``SHARD_WORDS`` words) gets a suffix
+array over its words, in the full order of the word suffixes. Every suffix of every
+held-out item is binary-searched in it by its first ``SEED`` words; hits are
+lengthened to the longest verbatim matches, whose places are told. An exact check
+then grows each match to both sides through single-word edits and keeps it if the
+stretch is long and clean enough.
 
 A stretch of n >= 20 words with at most n/8 edits holds a verbatim run of at least
 six words ((n - e) / (e + 1) >= 6 for e <= n/8), so a seed of five misses none.
 
-Items are worked off in blocks, each a pass over the corpus, so what is
-broadcast is bounded by ``BLOCK_WORDS``, or one longer item, whatever the number
-of items.
+The corpus is read and cleaned once, whatever the number of items: each shard is
+searched for one block of items after the other, and a task holds one shard and
+one block. Blocks travel as files, so neither driver nor executors hold all items.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ from tideline.session import spread
 SEED, LEAST, PER_EDIT = 5, 20, 8
 #: Words of the items in one block: at most 24 MB as Python objects. A longer item is a block of its own.
 BLOCK_WORDS = 60_000
-#: Documents that a shard's suffix array covers at most, and words after which a shard is closed.
+#: Words after which a shard is closed.
 SHARD_WORDS = 1_000_000
+#: Places that are looked at together, so that a phrase common to many items and documents doesn't fill memory.
+HITS = 2_000_000
 
 #: Tags that stand inside words and lines; all others end a word.
 INLINE = re.compile(r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|wbr)(?:\s[^<>]*)?/?>", re.I)
@@ -67,68 +72,109 @@ def words(text: str | None) -> list[str]:
     return PUNCT.sub("", text.replace("—", " ").replace("–", " ").replace("--", " ").casefold()).split()
 
 
+def word_id(word: str) -> int:
+    """A word's identity in 63 bits, the same in every process."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+
+
 @dataclass
 class Block:
-    """Items as word ids; ids start at 1, 0 stands for any other word."""
+    """Items as numbers of the block's own vocabulary; 0 stands between items, and for any other word."""
 
     ids: list[int]
     seqs: list[np.ndarray]
-    vocabulary: dict[str, int]
+    #: Identities of the vocabulary, ascending; a word's number is its place here plus one.
+    vocabulary: np.ndarray
     starts: np.ndarray
     keys: np.ndarray
     where: np.ndarray
 
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at + 1, 0)
+
 
 def make_block(items: list[tuple[int, list[str]]]) -> Block:
-    vocabulary: dict[str, int] = {}
-    seqs = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
-    flat = np.concatenate([np.r_[s, np.zeros(SEED, np.int64)] for s in seqs]) if seqs else np.zeros(0, np.int64)
+    raw = [np.array([word_id(w) for w in ws], np.int64) for _, ws in items]
+    vocabulary = np.unique(np.concatenate(raw)) if raw else np.zeros(0, np.int64)
+    seqs = [np.searchsorted(vocabulary, x).astype(np.int64) + 1 for x in raw]
+    keys = np.concatenate([np.r_[s, np.zeros(SEED, np.int64)] for s in seqs]) if seqs else np.zeros(0, np.int64)
     starts = np.cumsum([0, *(len(s) + SEED for s in seqs)])
-    return Block([i for i, _ in items], seqs, vocabulary, starts, flat, np.repeat(np.arange(len(seqs)), np.diff(starts)))
+    return Block([i for i, _ in items], seqs, vocabulary, starts, keys, np.repeat(np.arange(len(seqs)), np.diff(starts)))
 
 
-def _short(ids: np.ndarray) -> np.ndarray:
-    """Word ids in 16 bits. Only a block of one long item has more; its ids share numbers, and hits are checked on the ids themselves."""
-    return np.where(ids > 0, (ids - 1) % 65_535 + 1, 0)
-
-
-def _pack(flat: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
-    """Four words from position + skip on as one 64-bit number."""
-    padded = np.r_[_short(flat), np.zeros(8, np.int64)].astype(np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(4):
-        out = (out << np.uint64(16)) | padded[skip + j : skip + j + n]
-    return out
+def _left(known: np.ndarray) -> np.ndarray:
+    """For each place how many known words follow from there on without a break."""
+    n = len(known)
+    stop = np.where(known, n, np.arange(n))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
 
 
 class SuffixArray:
-    """Suffixes of a shard that begin with ``SEED`` known words, in the order of their first eight words.
+    """Suffixes of a shard, and of a block of items, as ranks by their first 1, 2, 4, ... words.
 
-    A suffix with an unknown word among its first ``SEED`` can't match an item there,
-    so leaving it out loses nothing.
+    ``flat`` holds the block's words, then the shard's. A suffix ends at the first
+    word that is in no item, as it can't match beyond. Ranks are doubled until they
+    tell all suffixes apart, or cover the longest of them; ``at`` holds the shard's
+    suffixes of at least ``SEED`` words in that order.
     """
 
-    def __init__(self, flat: np.ndarray):
-        known = flat > 0
+    def __init__(self, flat: np.ndarray, split: int):
         n = len(flat)
-        full = known.copy()
-        for j in range(1, SEED):
-            full[: n - j] &= known[j:]
-            full[max(n - j, 0) :] = False
-        at = np.flatnonzero(full)
-        first, second = _pack(flat, n)[at], _pack(flat, n, 4)[at]
-        order = np.lexsort((second, first))
-        self.at = at[order]
-        self.heads, rank = np.unique(first[order], return_inverse=True)
-        self.keys = rank.astype(np.uint64) << np.uint64(16) | second[order] >> np.uint64(48)
-
-    def search(self, first: np.ndarray, fifth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix the range of corpus suffixes that share its first five words."""
-        head = np.searchsorted(self.heads, first)
-        ok = (head < len(self.heads)) & (self.heads[np.minimum(head, max(len(self.heads) - 1, 0))] == first) if len(self.heads) else np.zeros(len(first), bool)
-        key = head.astype(np.uint64) << np.uint64(16) | fifth.astype(np.uint64)
-        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        return lo, np.where(ok, hi, lo)
+        left = _left(flat > 0)
+        #: Only runs of at least SEED known words matter: those of which the first place has as many.
+        first = np.r_[True, flat[:-1] == 0] if n else np.zeros(0, bool)
+        run = np.cumsum(first) - 1
+        self.used = np.flatnonzero((flat > 0) & (left[first][run] >= SEED)) if n else np.zeros(0, np.int64)
+        longest = int(left.max(initial=0))
+        self.levels = [np.r_[flat, np.zeros(1, np.int64)]]
+        k = 1
+        while 2 * k <= longest and len(self.used):
+            low = self.levels[-1]
+            pair = low[self.used] * (int(low.max()) + 1) + low[np.minimum(self.used + k, n)]
+            distinct, rank = np.unique(pair, return_inverse=True)
+            level = np.zeros(n + 1, np.int64)
+            level[self.used] = rank + 1
+            self.levels.append(level)
+            k *= 2
+            if k >= 4 and len(distinct) == len(self.used):
+                break
+        self.left = np.r_[left, 0]
+        long = self.used[left[self.used] >= SEED]
+        shard = long[long >= split]
+        self.at = shard[np.argsort(self.levels[-1][shard], kind="stable")]
+        self.tests = long[long < split]
+        self.keys = self.seed(self.at)
+
+    def seed(self, at: np.ndarray) -> np.ndarray:
+        """The first five words as one number, in the order of the suffixes."""
+        if len(self.levels) < 3:
+            return np.zeros(len(at), np.int64)
+        fifth = self.levels[0]
+        return self.levels[2][at] * (int(fifth.max(initial=0)) + 1) + fifth[at + 4]
+
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each test suffix with the range of shard suffixes that share its first five words."""
+        asked = self.seed(self.tests)
+        return self.tests, np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest verbatim match from places a and b on."""
+        n = len(self.levels[0]) - 1
+        out = np.zeros(len(a), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            ranks, k = self.levels[level], 1 << level
+            live = np.arange(len(a))
+            while len(live):
+                x = ranks[np.minimum(a[live] + out[live], n)]
+                live = live[(x > 0) & (x == ranks[np.minimum(b[live] + out[live], n)])]
+                out[live] += k
+                if level < len(self.levels) - 1:
+                    break
+        #: Ranks of suffixes that end early are equal beyond their end.
+        return np.minimum(out, np.minimum(self.left[a], self.left[b]))
 
 
 def reach(a: list[int], b: list[int], edits: int) -> list[int]:
@@ -179,46 +225,82 @@ def grown(item: list[int], doc: list[int], i: int, j: int, n: int) -> tuple[int,
     return best
 
 
-def search_shard(doc_ids: list[int], docs: list[np.ndarray], block: Block) -> Iterator[tuple[int, int, int, int, int]]:
-    """(doc_id, item_id, verbatim words, stretch words, edits) of each pair with a stretch of ``LEAST`` words."""
-    flat = np.concatenate([np.r_[x, 0] for x in docs])
-    begin = np.cumsum([0, *(len(x) + 1 for x in docs)])
-    index = SuffixArray(flat)
-    n = len(block.keys)
-    lo, hi = index.search(_pack(block.keys, n), np.r_[_short(block.keys[4:]), np.zeros(4, np.int64)])
-    hi = np.where((np.lib.stride_tricks.sliding_window_view(np.r_[block.keys, np.zeros(SEED - 1, np.int64)], SEED) > 0).all(1), hi, lo)
-    count = hi - lo
-    test = np.repeat(np.arange(n), count)
-    place = index.at[np.repeat(lo, count) + np.arange(len(test)) - np.repeat(np.cumsum(count) - count, count)]
-    if len(block.vocabulary) > 65_535:
-        same = np.all([block.keys[test + j] == flat[place + j] for j in range(SEED)], axis=0)
-        test, place = test[same], place[same]
-    #: A hit whose predecessor words agree too lies inside a longer match.
-    inner = (test > 0) & (place > 0) & (block.keys[test - 1] == flat[place - 1]) & (block.keys[test - 1] > 0)
-    test, place = test[~inner], place[~inner]
-    item, doc = block.where[test], np.searchsorted(begin, place, "right") - 1
-    order = np.lexsort((place, item, doc))
-    item, doc, test, place = item[order], doc[order], test[order], place[order]
-    edge = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]) if len(item) else np.zeros(0, int)
-    for a, b in zip(edge, np.r_[edge[1:], len(item)]):
-        seq, text = block.seqs[item[a]], docs[doc[a]]
-        s, t = seq.tolist(), None
-        best, verbatim = (0, 0), 0
-        for k in range(a, b):
-            i, j = int(test[k] - block.starts[item[k]]), int(place[k] - begin[doc[k]])
-            m = SEED
-            while i + m < len(seq) and j + m < len(text) and seq[i + m] == text[j + m]:
-                m += 1
-            verbatim = max(verbatim, m)
-            if t is None:
-                t = text.tolist()
-            best = max(best, grown(s, t, i, j, m), key=lambda x: (x[0], -x[1]))
-        if best[0] >= LEAST:
-            yield doc_ids[doc[a]], block.ids[item[a]], verbatim, *best
+COLUMNS = ["doc_id", "item_id", "verbatim_words", "stretch_words", "edits", "doc_word", "item_word"]
+SCHEMA = "doc_id long, item_id long, verbatim_words int, stretch_words int, edits int, doc_word int, item_word int"
+
+
+def _parts(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(test from, test to, hit from, hit to): ranges with about ``HITS`` hits each; one test's hits may be split."""
+    total = np.cumsum(np.r_[0, hi - lo])
+    a = 0
+    while a < len(lo):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, "right")) - 1)
+        for begin in range(0, int(total[b] - total[a]) if b == a + 1 else 1, HITS):
+            yield a, b, begin, begin + HITS
+        a = b
+
+
+def search_shard(doc_ids: list[int], docs: list[np.ndarray], block: Block) -> Iterator[tuple[int, ...]]:
+    """A row of ``COLUMNS`` for each pair with a stretch of ``LEAST`` words; ``docs`` hold word ids. A pair may come more than once."""
+    texts = [block.numbers(x) for x in docs]
+    split = len(block.keys)
+    flat = np.concatenate([block.keys, *(np.r_[x, 0] for x in texts)])
+    begin = split + np.cumsum([0, *(len(x) + 1 for x in texts)])
+    index = SuffixArray(flat, split)
+    tests, lo, hi = index.search()
+    for a, b, from_, to in _parts(lo, hi):
+        count = hi[a:b] - lo[a:b]
+        test = np.repeat(tests[a:b], count)
+        at = np.repeat(lo[a:b], count) + np.arange(len(test)) - np.repeat(np.cumsum(count) - count, count)
+        place = index.at[at]
+        if b == a + 1:
+            test, place = test[from_:to], place[from_:to]
+        #: A hit whose predecessor words agree too lies inside a longer match.
+        inner = (test > 0) & (flat[test - 1] == flat[place - 1]) & (flat[test - 1] > 0)
+        test, place = test[~inner], place[~inner]
+        length = index.shared(test, place)
+        item, doc = block.where[test], np.searchsorted(begin, place, "right") - 1
+        order = np.lexsort((place, item, doc))
+        item, doc, test, place, length = item[order], doc[order], test[order], place[order], length[order]
+        edge = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]) if len(item) else np.zeros(0, int)
+        for f, g in zip(edge, np.r_[edge[1:], len(item)]):
+            seq, text = block.seqs[item[f]].tolist(), texts[doc[f]].tolist()
+            best = (0, 0)
+            for k in range(f, g):
+                best = max(best, grown(seq, text, int(test[k] - block.starts[item[k]]), int(place[k] - begin[doc[k]]), int(length[k])), key=lambda x: (x[0], -x[1]))
+            if best[0] >= LEAST:
+                k = f + int(np.argmax(length[f:g]))
+                yield doc_ids[doc[f]], block.ids[item[f]], int(length[k]), *best, int(place[k] - begin[doc[k]]), int(test[k] - block.starts[item[k]])
+
+
+def _blocks(items: DataFrame, block_words: int) -> list[Broadcast]:
+    """The items, cleaned in tasks, as broadcast blocks; the driver holds one block at a time."""
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ws = batch["text"].map(words)
+            keep = ws.map(len) >= LEAST
+            yield pd.DataFrame({"item_id": batch["item_id"][keep], "words": ws[keep].map(" ".join)})
+
+    spark = items.sparkSession
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).dropna().mapInPandas(clean, "item_id long, words string")
+    out: list[Broadcast] = []
+    block: list[tuple[int, list[str]]] = []
+    size = 0
+    for i, text in rows.toLocalIterator():
+        ws = text.split(" ")
+        if block and size + len(ws) > block_words:
+            out.append(spark.sparkContext.broadcast(make_block(block)))
+            block, size = [], 0
+        block.append((i, ws))
+        size += len(ws)
+    if block:
+        out.append(spark.sparkContext.broadcast(make_block(block)))
+    return out
 
 
 def leaked(documents: DataFrame, items: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every document that holds a stretch of an item, with that item.
+    """Every document that holds a stretch of an item, with that item and the place of the longest verbatim match.
 
     A stretch has at least 20 of the item's words in order, with at most one word
     in eight replaced, missing or added. Letter case, accents, punctuation, markup,
@@ -230,64 +312,46 @@ def leaked(documents: DataFrame, items: DataFrame, text: str = "text", block_wor
     items count each by their own id; a repeated id gives one row, the longest
     stretch. No documents or no items give no rows. Extra columns are ignored.
 
-    Returns: doc_id, item_id, verbatim_words, stretch_words, edits.
+    Returns: doc_id, item_id, verbatim_words, stretch_words, edits, and the words
+    (from 0) of document and item at which the longest verbatim match begins.
     """
     spark = documents.sparkSession
-    schema = "doc_id long, item_id long, verbatim_words int, stretch_words int, edits int"
     docs = spread(documents.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
-    parts = []
-
-    def search(block: Block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block = shared.value
-            ids: list[int] = []
-            held: list[np.ndarray] = []
-            size = 0
-
-            def close() -> pd.DataFrame:
-                rows = list(search_shard(ids, held, block))
-                return pd.DataFrame(rows, columns=["doc_id", "item_id", "verbatim_words", "stretch_words", "edits"])
-
-            get = block.vocabulary.get
-            for batch in batches:
-                for i, t in zip(batch["doc_id"], batch["text"]):
-                    x = np.array([get(w, 0) for w in words(t)], np.int64)
-                    if len(x) < LEAST - LEAST // PER_EDIT:
-                        continue
-                    ids.append(i)
-                    held.append(x)
-                    size += len(x)
-                    if size >= SHARD_WORDS:
-                        yield close()
-                        ids, held, size = [], [], 0
-            if ids:
-                yield close()
-
-        return docs.mapInPandas(run, schema)
-
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).dropna()
-    for i, t in ((r[0], r[1]) for r in rows.toLocalIterator()):
-        ws = words(t)
-        if len(ws) < LEAST:
-            continue
-        if block and size + len(ws) > block_words:
-            parts.append(search(make_block(block)))
-            block, size = [], 0
-        block.append((i, ws))
-        size += len(ws)
-    if block:
-        parts.append(search(make_block(block)))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = F.max_by(F.struct("verbatim_words", "stretch_words", "edits"), F.struct("stretch_words", (-F.col("edits")).alias("e"), "verbatim_words"))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
+    blocks = _blocks(items, block_words)
+    if not blocks:
+        return spark.createDataFrame([], SCHEMA)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        ids: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def close() -> Iterator[pd.DataFrame]:
+            for shared in blocks:
+                yield pd.DataFrame(list(search_shard(ids, held, shared.value)), columns=COLUMNS)
+                if len(blocks) > 1:
+                    vars(shared).pop("_value", None)  # one block in memory at a time; its file stays
+
+        for batch in batches:
+            for i, t in zip(batch["doc_id"], batch["text"]):
+                ws = words(t)
+                if len(ws) < LEAST - LEAST // PER_EDIT:
+                    continue
+                if len(known) > 1_000_000:
+                    known.clear()
+                x = np.fromiter((known.get(w) or known.setdefault(w, word_id(w)) for w in ws), np.int64, len(ws))
+                ids.append(i)
+                held.append(x)
+                size += len(x)
+                if size >= SHARD_WORDS:
+                    yield from close()
+                    ids, held, size = [], [], 0
+        if ids:
+            yield from close()
+
+    best = F.max_by(F.struct(*COLUMNS[2:]), F.struct("stretch_words", (-F.col("edits")).alias("e"), "verbatim_words"))
+    return docs.mapInPandas(run, SCHEMA).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

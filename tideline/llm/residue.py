@@ -65,7 +65,7 @@ CAPITAL = frozenset(["may", "mon", "wed", "sat", "sun"])
 DATE_NAMES = frozenset([*MONTHS, *DAYS, *CAPITAL])
 #: The names as a sentence's words show them, with the mark that follows.
 DATE_WORDS = frozenset(name + mark for name in DATE_NAMES for mark in ("", ",", "."))
-BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]{3,10})(\.?,?[ /-](?:(?:de|of|del|the|el|le) )?)0(?![\w])(?:st|nd|rd|th|er|º)?", re.I)
+BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]{3,10})(\.?,?[ /-](?:(?:de|of|del|the|el|le) )?)0(?:st|nd|rd|th|er|º)?(?!\w)", re.I)
 AFTER = re.compile(r"\b0(?:st|nd|rd|th|er|º|o)?,?[ /-](?:(?:de|of|del) )?([^\W\d_]{3,10})(?![^\W\d_])\.?", re.I)
 SEVERAL = re.compile(r"\b0(?:st|nd|rd|th|er|º|o)?(?:(?:,? (?:(?:de|of|del) )?|[/-])0\b)+", re.I)
 INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")

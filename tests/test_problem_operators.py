@@ -169,6 +169,8 @@ def test_bars_against_rules(spark, seed):
     assert {r[0] for r in found_bars(df).collect()} == want and want
     cut = Limits(series_rows=20, chunk_bars=16, batch_rows=60, sample=64)
     assert {r[0] for r in found_bars(df, cut).collect()} == want
+    scores = [{tuple(r) for r in score_bars(df, Limits(series_rows=n, chunk_bars=16, batch_rows=60, sample=64)).collect()} for n in (20, 45, 100_000)]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == len(rows)
 
 
 def test_forest_gates_no_case(spark):

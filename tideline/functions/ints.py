@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 PPM = 1_000_000
 WIDE = "decimal(38,0)"
@@ -117,17 +120,20 @@ def clamp(x: Column | str, lo: int, hi: int) -> Column:
     return F.greatest(F.lit(lo).cast("long"), F.least(F.lit(hi).cast("long"), _c(x)))
 
 
-def gcd(a: Column | str, b: Column | str) -> Column:
-    """Greatest common divisor of two non-negative bigints, as a fold of Euclid's steps (92 suffice for 64 bits)."""
-    start = F.struct(_c(a).cast("long").alias("x"), _c(b).cast("long").alias("y"))
-    step = lambda s, _: F.struct(F.when(s.y == 0, s.x).otherwise(s.y).alias("x"), F.when(s.y == 0, F.lit(0).cast("long")).otherwise(s.x % F.when(s.y != 0, s.y)).alias("y"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s.x)
+@F.pandas_udf(LongType())
+def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Greatest common divisor of two bigints; null for a null. There is no built-in, and a fold of Euclid's steps per row is slower than an Arrow batch."""
+    known = a.notna() & b.notna()
+    out = pd.Series(np.gcd(a.where(known, 0).astype("int64"), b.where(known, 0).astype("int64")), dtype="Int64")
+    return out.where(known.to_numpy())
 
 
 def ratio_times(num_a: Column, den_a: Column, num_b: Column, den_b: Column) -> tuple[Column, Column]:
-    """Product of two fractions, cancelled crosswise first so that the parts stay small."""
-    g, h = gcd(F.abs(num_a), den_b), gcd(F.abs(num_b), den_a)
-    return trunc_div(num_a, g) * trunc_div(num_b, h), trunc_div(den_a, h) * trunc_div(den_b, g)
+    """Product of two fractions in lowest terms; each is reduced, then they are cancelled crosswise, so that the parts stay small."""
+    g, h = gcd(num_a, den_a), gcd(num_b, den_b)
+    na, da, nb, db = trunc_div(num_a, g), trunc_div(den_a, g), trunc_div(num_b, h), trunc_div(den_b, h)
+    k, m = gcd(na, db), gcd(nb, da)
+    return trunc_div(na, k) * trunc_div(nb, m), trunc_div(da, m) * trunc_div(db, k)
 
 
 #: exp-like table of the fixed-point logistic: its value in ppm at -8 .. 8 in steps of one.

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import bars, metrics, pit, problems, scans, streams, texts
+from tideline.plans import bars, metrics, pit, problems, reference, scans, streams, texts
 
-MODULES = (problems, bars, pit, streams, metrics, texts, scans)
+MODULES = (problems, bars, pit, reference, streams, metrics, texts, scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _erf = np.frompyfunc(math.erf, 1, 1)
 
@@ -51,3 +51,21 @@ def implied_volatility(price: pd.Series, call: pd.Series, spot: pd.Series, strik
         high = values(*a, mid)["price"] > p
         lo, hi = np.where(high, lo, mid), np.where(high, mid, hi)
     return pd.Series(np.where(ok, (lo + hi) / 2, np.nan))
+
+
+#: Bumps of the finite differences: volatility, and a day in years.
+VOL_BUMP, TIME_BUMP = 0.01, 1 / 365
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("gamma", "vega", "vanna", "charm")]))
+def greeks(call: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, dividend: pd.Series, vol: pd.Series) -> pd.DataFrame:
+    """Gamma and vega, vanna (delta by volatility, central difference) and charm (delta by passing time, a day ahead against a day back); bumps shrink near zero."""
+    c, s, k, t, r, q, v = (x.to_numpy(float if i else bool) for i, x in enumerate((call, spot, strike, years, rate, dividend, vol)))
+    here = values(c, s, k, t, r, q, v)
+    dv = np.minimum(VOL_BUMP, np.maximum(v / 2, 1e-6))
+    low = np.maximum(v - dv, 1e-6)
+    dt = np.minimum(TIME_BUMP, t / 2)
+    delta = lambda tt, vv: values(c, s, k, tt, r, q, vv)["delta"]
+    vanna = (delta(t, v + dv) - delta(t, low)) / (v + dv - low)
+    charm = (delta(t - dt, v) - delta(t + dt, v)) / (2 * dt)
+    return pd.DataFrame({"gamma": here["gamma"], "vega": here["vega"], "vanna": vanna, "charm": charm})

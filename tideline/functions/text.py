@@ -115,7 +115,17 @@ def sentences(x: Column | str) -> Column:
 
 
 #: Phrases that try to instruct a reader that follows instructions (fixed values).
-INSTRUCTIONS = r"(?i)\b(?:ignore|disregard|forget) (?:all |any |the )?(?:previous|prior|above|earlier) (?:instructions|prompts|rules)\b|\bsystem prompt\b|\byou are now\b"
+INSTRUCTION_PATTERNS = (
+    r"\bignore\s+(all\s+)?(previous\s+|prior\s+)?(system\s+)?instructions?\b",
+    r"\b(system|developer|assistant)\s*prompt\b",
+    r"\b(reveal|print|return|exfiltrate)\b.{0,48}\b(secret|credential|token|prompt)\b",
+    r"\b(call|invoke|use)\b.{0,32}\b(tool|function|shell|terminal)\b",
+    r"\bchange\b.{0,32}\b(configuration|policy|instructions?)\b",
+    r"\bdo\s+not\s+follow\b.{0,32}\b(policy|instructions?)\b",
+    r"\b(begin|end)\s+(system|developer|assistant)\s+message\b",
+    r"\b(javascript|data\s*:\s*text/html)\s*:",
+)
+INSTRUCTIONS = "(?i)" + "|".join(INSTRUCTION_PATTERNS)
 
 
 def suspicious(x: Column | str) -> Column:

@@ -154,3 +154,28 @@ def hysteresis_step(up: int, down: int, dwell: int) -> Callable[[Any, tuple], tu
         return (now, since), (i, now)
 
     return step
+
+
+class MeanReversion:
+    """A strategy for ``strategy_step``: sells above and buys below the mean of the last four prices, one unit at a time."""
+
+    def __init__(self) -> None:
+        self.last: list[int] = []
+
+    def act(self, price: int, quantity: int, position: int) -> int:
+        mean = sum(self.last) // len(self.last) if self.last else price
+        self.last = [*self.last, price][-4:]
+        return 1 if price < mean and position < 3 else -1 if price > mean and position > -3 else 0
+
+
+def strategy_step(make: Callable[[], Any]) -> Callable[[Any, tuple], tuple[Any, tuple]]:
+    """Calls a strategy's ``act(price, quantity, position)`` per event; its units fill at the event's price. Row: (id, price, quantity); gives (id, units, position, equity)."""
+
+    def step(state: Any, row: tuple) -> tuple[Any, tuple]:
+        i, price, quantity = (int(x) for x in row)
+        strategy, position, cash = state or (make(), 0, 0)
+        units = int(strategy.act(price, quantity, position))
+        position, cash = position + units, cash - units * price
+        return (strategy, position, cash), (i, units, position, cash + position * price)
+
+    return step

@@ -10,8 +10,33 @@ from tideline.functions.hashing import canonical_json, fnv1a
 from tideline.operators import novelty as history
 from tideline.session import table
 
-#: Kinds of event by the first pattern that occurs (fixed values).
-EVENT_RULES = [(r"(?i)\bguidance\b", "GUIDANCE"), (r"(?i)\b(?:restated|restatement)\b", "RESTATEMENT"), (r"(?i)\bdividend\b", "DIVIDEND"), (r"(?i)\bcentral bank\b|\bbanco central\b|\bbanque centrale\b", "RATES"), (r"(?i)\bhalt\b", "HALT"), (r"(?i)\bsplit\b", "SPLIT")]
+#: Kinds of event by the first pattern that occurs (fixed values, in order).
+EVENT_PATTERNS = [
+    ("CORRECTION", (r"\bcorrection\b", r"\bcorrected\b")),
+    ("RUMOR", (r"\brumou?r\b", r"\bunconfirmed\b")),
+    ("EARNINGS_RELEASE", (r"\bearnings\b", r"\bquarterly results\b", r"\bnet income\b")),
+    ("GUIDANCE_UPDATE", (r"\bguidance\b", r"\boutlook\b")),
+    ("MERGER_ACQUISITION", (r"\bacqui(?:re[ds]?|sition)\b", r"\bmerger\b", r"\btakeover\b")),
+    ("PRODUCT_RECALL", (r"\bproduct recall\b", r"\brecall(?:ed|s)?\b")),
+    ("REGULATORY_ACTION", (r"\benforcement action\b", r"\bregulator\b", r"\bcivil penalty\b")),
+    ("EXECUTIVE_CHANGE", (r"\bchief executive\b", r"\bceo\b.{0,48}\b(resign|appoint|depart)")),
+    ("FINANCING", (r"\bfinancing\b", r"\bdebt offering\b", r"\bequity offering\b")),
+    ("BANKRUPTCY", (r"\bbankruptcy\b", r"\bchapter 11\b", r"\binsolvency\b")),
+    ("LITIGATION", (r"\blawsuit\b", r"\blitigation\b", r"\bsued\b")),
+    ("CYBERSECURITY_INCIDENT", (r"\bcyber(?:security)? incident\b", r"\bdata breach\b", r"\bransomware\b")),
+    ("ANALYST_ACTION", (r"\b(upgrade|downgrade)[ds]?\b", r"\bprice target\b")),
+    ("SUPPLY_CHAIN_DISRUPTION", (r"\bsupply.chain disruption\b", r"\bshipment delay\b", r"\bshortage\b")),
+    ("TRADING_HALT", (r"\btrading halt(?:ed)?\b", r"\bshares halted\b")),
+    ("MACRO_RELEASE", (r"\bmacro release\b", r"\beconomic release\b", r"\bconsumer price index\b")),
+]
+EVENT_RULES = [("(?is)" + "|".join(patterns), label) for label, patterns in EVENT_PATTERNS]
+#: Materiality in ppm by kind of event (fixed values).
+MATERIALITY = {
+    "EARNINGS_RELEASE": 750_000, "GUIDANCE_UPDATE": 800_000, "MERGER_ACQUISITION": 950_000, "PRODUCT_RECALL": 800_000, "REGULATORY_ACTION": 850_000, "EXECUTIVE_CHANGE": 650_000, "FINANCING": 650_000, "BANKRUPTCY": 1_000_000,
+    "LITIGATION": 650_000, "CYBERSECURITY_INCIDENT": 850_000, "ANALYST_ACTION": 450_000, "SUPPLY_CHAIN_DISRUPTION": 700_000, "TRADING_HALT": 1_000_000, "MACRO_RELEASE": 800_000, "RUMOR": 250_000, "CORRECTION": 700_000,
+}
+#: Trust in ppm by state of authentication (fixed values).
+TRUST = {"INVALID": 0, "MOCK_VERIFIED": 500_000, "REPLAY_HASH_VERIFIED": 650_000, "PUBLIC_TLS_VERIFIED": 850_000, "SIGNATURE_VERIFIED": 1_000_000}
 PERCENT = r"([0-9]+(?:\.[0-9]+)?) ?%"
 TICKER = r"\b([A-Z]{4,5})\b"
 
@@ -28,6 +53,14 @@ def event_types(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", X.first_marker("text", EVENT_RULES, "OTHER").alias("event_type"))
 
 
+def rule_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in English or of no known language with a kind of event: materiality, relevance (more with a stated percentage) and uncertainty (more with an instruction to the reader)."""
+    kind = X.first_marker("text", EVENT_RULES, "OTHER")
+    e = _docs(spark, d).where("text is not null and lang in ('en', 'und')").select("doc_id", "text", kind.alias("event_type")).where("event_type <> 'OTHER'")
+    materiality = F.element_at(F.create_map(*(F.lit(x) for pair in MATERIALITY.items() for x in pair)), F.col("event_type"))
+    return e.select("doc_id", "event_type", materiality.alias("materiality_ppm"), F.when(F.col("text").rlike(PERCENT), 850_000).otherwise(500_000).alias("relevance_ppm"), F.when(X.suspicious("text"), 700_000).otherwise(300_000).alias("uncertainty_ppm"))
+
+
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.language("text").alias("detected"))
 
@@ -88,8 +121,8 @@ def content_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def trust_scores(spark: SparkSession, d: str) -> DataFrame:
     """A fixed score by state of authentication, averaged per provider."""
-    score = F.element_at(F.create_map(*(F.lit(x) for pair in (("SIGNATURE_VERIFIED", 950_000), ("REPLAY_HASH_VERIFIED", 800_000), ("MOCK_VERIFIED", 500_000), ("INVALID", 0)) for x in pair)), F.col("authentication.status"))
-    s = table(spark, d, "source_documents").select("provider_id", F.coalesce(score, F.lit(250_000)).cast("long").alias("score"))
+    score = F.element_at(F.create_map(*(F.lit(x) for pair in TRUST.items() for x in pair)), F.col("authentication.status"))
+    s = table(spark, d, "source_documents").select("provider_id", F.coalesce(score, F.lit(0)).cast("long").alias("score"))
     return s.groupBy("provider_id").agg(F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("n"))
 
 
@@ -136,7 +169,7 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (form_counts, event_types, language_detect, percent_facts, ticker_mentions, entity_resolution, entity_keys, theme_lists, source_urls, dedup_three_keys, content_dedup, trust_scores, payload_scan, redacted, option_symbols, instruction_flags, canonical_documents, visible_texts, stable_hashes, novelty)
+    for f in (form_counts, event_types, rule_classification, language_detect, percent_facts, ticker_mentions, entity_resolution, entity_keys, theme_lists, source_urls, dedup_three_keys, content_dedup, trust_scores, payload_scan, redacted, option_symbols, instruction_flags, canonical_documents, visible_texts, stable_hashes, novelty)
 }
 
 _LEGAL = "|".join(X.LEGAL_FORMS)
@@ -154,6 +187,9 @@ _LANG = {k: f"len(list_filter(w, lambda z: z in ({', '.join(repr(m) for m in v)}
 
 SQL = {
     "form_counts": "select document_type, lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1, 2",
+    "rule_classification": "with k as (select doc_id, text, case " + " ".join(f"when regexp_matches(text, '{p}') then '{label}'" for p, label in EVENT_RULES) + " end as event_type from documents where text is not null and lang in ('en', 'und')) select doc_id, event_type, cast(case event_type "
+    + " ".join(f"when '{k}' then {v}" for k, v in MATERIALITY.items())
+    + f" end as integer) as materiality_ppm, cast(case when regexp_matches(text, '{PERCENT}') then 850000 else 500000 end as integer) as relevance_ppm, cast(case when regexp_matches(text, '{X.INSTRUCTIONS}') then 700000 else 300000 end as integer) as uncertainty_ppm from k where event_type is not null",
     "event_types": "select doc_id, case " + " ".join(f"when regexp_matches(text, '{p}') then '{label}'" for p, label in EVENT_RULES) + " else 'OTHER' end as event_type from documents where text is not null",
     "language_detect": "with t as (select doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL]+') as w from documents), n as (select doc_id, "
     + ", ".join(f"{v} as {k}" for k, v in _LANG.items())
@@ -173,7 +209,7 @@ select regexp_extract(url, '^https?://([^/]+)', 1) as host, count(url) as n, cou
 w as (select *, row_number() over k as i, first(h) over k as fh, row_number() over (partition by h order by r, provider_id, document_id) as j from s window k as (partition by provider_id, document_id order by r))
 select case when i > 1 and h = fh then 'DUPLICATE' when i > 1 then 'CONFLICT' when j > 1 then 'SAME_CONTENT' else 'NEW' end as verdict, count(*) as n from w group by 1""",
     "content_dedup": "select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by text",
-    "trust_scores": "select provider_id, cast(sum(case authentication.status when 'SIGNATURE_VERIFIED' then 950000 when 'REPLAY_HASH_VERIFIED' then 800000 when 'MOCK_VERIFIED' then 500000 when 'INVALID' then 0 else 250000 end) as bigint) as score_sum, count(*) as n from source_documents group by 1",
+    "trust_scores": "select provider_id, cast(sum(case authentication.status when 'SIGNATURE_VERIFIED' then 1000000 when 'PUBLIC_TLS_VERIFIED' then 850000 when 'REPLAY_HASH_VERIFIED' then 650000 when 'MOCK_VERIFIED' then 500000 else 0 end) as bigint) as score_sum, count(*) as n from source_documents group by 1",
     "payload_scan": "select content_type, count(b) as n, cast(sum(length(b)) as bigint) as chars, count(*) filter (contains(b, '</')) as markup from (select content_type, decode(payload) as b from source_documents) group by 1",
     "redacted": "select event_id, 'url?api_key=[REDACTED]&x=1 Authorization: Bearer [REDACTED]' as line from events",
     "option_symbols": "select p_partkey, 'ABC' as root, cast(make_date(2024, 3, cast(p_partkey % 28 + 1 as integer)) as varchar) as expiry, case when p_partkey % 2 = 0 then 'C' else 'P' end as right, p_partkey * 500 as strike_milli from part",

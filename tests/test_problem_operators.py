@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.operators.grid import regular_grid
 from tideline.operators.intervals import coverage_spans
 from tideline.operators.outliers import Limits, found_bars, score_bars
-from tideline.operators.ranking import bucket_width, running_total
+from tideline.operators.ranking import bucket_bounds, running_total, with_bucket
 from tideline.operators.versions import attributes_at_event, latest_valid
 from tideline.streaming.fiba import FingerTree
 from tideline.streaming.late import HOUR, first_arrivals, late_events, late_events_stream, late_rows, period_totals
@@ -60,14 +60,33 @@ def test_running_total_splits_a_hot_key(spark):
     rng = random.Random(1)
     rows = [("hot" if i % 3 else str(i % 7), rng.randrange(-500, 500), i, rng.randrange(4)) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, t long, i long, w long")
-    width = bucket_width(df, ["k"], "t", 50)
-    assert width < 1000
-    got = {(r.i): r.total for r in running_total(df, ["k"], "t", "total", width, F.col("w"), ties=["i"]).collect()}
-    for key in {r[0] for r in rows}:
-        total = 0
-        for _, t, i, w in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
-            total += w
-            assert got[i] == total
+    for target in (50, 10_000):
+        bounds = bucket_bounds(df, ["k"], "t", target)
+        assert (bounds is None) == (target == 10_000)
+        got = {(r.i): r.total for r in running_total(df, ["k"], "t", "total", bounds, F.col("w"), ties=["i"]).collect()}
+        for key in {r[0] for r in rows}:
+            total = 0
+            for _, t, i, w in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+                total += w
+                assert got[i] == total
+
+
+@pytest.mark.parametrize("far", [(), (0, 2**62), (-(2**62),)])
+def test_buckets_hold_under_skew(spark, far):
+    """Neither a stray time far off, of the hot key or another, nor a dense stretch fills one bucket."""
+    n, target = 60_000, 2_000
+    hot = spark.range(n).selectExpr("case when id % 3 = 0 then id * 1000 else 10 * id div 3 end as t", "'hot' as k")
+    cold = spark.range(3_000).selectExpr("id * 7 as t", "concat('c', id % 40) as k")
+    df = hot.unionByName(cold)
+    for t in far:
+        df = df.unionByName(spark.createDataFrame([(t, "hot"), (t, "c1")], "t long, k string"))
+    bounds = bucket_bounds(df, ["k"], "t", target)
+    placed = with_bucket(df, ["k"], "t", bounds)
+    sizes = {(r.k, r["__b"]): r["count"] for r in placed.groupBy("k", "__b").count().collect()}
+    assert max(sizes.values()) <= 2 * target and sum(sizes.values()) == n + 3_000 + 2 * len(far)
+    assert all(b == 0 for k, b in sizes if k != "hot") and sum(k == "hot" for k, _ in sizes) >= n // target // 2
+    spans = placed.where("k = 'hot'").groupBy("__b").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("__b").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
 
 
 BARS = "bar_id long, symbol string, market_id string, session_id string, t string, o double, h double, l double, c double, v long, n long, vw double, source_object_id string, local_receipt_time_ns long, sid long, pre double"

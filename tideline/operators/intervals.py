@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ranking import BUCKET_ROWS, bucket_width, running_total
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, running_total
+from tideline.session import durable
 
 
 def coverage_spans(
@@ -35,21 +36,22 @@ def coverage_spans(
         .distinct()
     )
     points = valid.select(*k, F.inline(F.array(F.struct(F.lit(True).alias("is_start"), F.col("s").alias("t")), F.struct(F.lit(False).alias("is_start"), F.col("e").alias("t")))))
-    width = bucket_width(valid, k, "s", bucket_rows)
-    ranked = running_total(points, [*k, "is_start"], "t", "r", width)
+    side = [*k, "is_start"]
+    bounds = bucket_bounds(points, side, "t", bucket_rows)
+    ranked = running_total(points, side, "t", "r", bounds)
     pairs = ranked.groupBy(*k, F.when(F.col("is_start"), F.col("r") - 1).otherwise(F.col("r")).alias("i")).agg(
         F.max(F.when(F.col("is_start"), F.col("t"))).alias("next_start"), F.max(F.when(~F.col("is_start"), F.col("t"))).alias("prev_end")
     )
     #: i = 0 has no end before it, i = n no start after it: the outer boundaries.
-    edges = pairs.where(F.col("prev_end").isNull() | F.col("next_start").isNull() | (F.col("next_start") > F.col("prev_end")))
+    edges = durable(pairs.where(F.col("prev_end").isNull() | F.col("next_start").isNull() | (F.col("next_start") > F.col("prev_end"))), "edges")
     gaps = edges.where(F.col("prev_end").isNotNull() & F.col("next_start").isNotNull()).select(
         *k, F.lit("gap").alias("span_type"), F.col("prev_end").alias("a"), F.col("next_start").alias("b")
     )
-    bounds = edges.select(
+    ends = edges.select(
         *k, F.inline(F.array(F.struct(F.lit(True).alias("is_start"), F.col("next_start").alias("t")), F.struct(F.lit(False).alias("is_start"), F.col("prev_end").alias("t"))))
     ).where(F.col("t").isNotNull())
     periods = (
-        running_total(bounds, [*k, "is_start"], "t", "r", width)
+        running_total(ends, side, "t", "r", bounds)
         .groupBy(*k, "r")
         .agg(F.max(F.when(F.col("is_start"), F.col("t"))).alias("a"), F.max(F.when(~F.col("is_start"), F.col("t"))).alias("b"))
         .select(*k, F.lit("covered").alias("span_type"), "a", "b")

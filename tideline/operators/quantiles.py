@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ranking import BUCKET_ROWS, bucket_width, running_total
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, running_total
+from tideline.session import durable
 
 
 def lower_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, int], per: int = 1000, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -16,8 +17,8 @@ def lower_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str,
     Equal values are counted once and weighted, so a value that fills a third of a
     group is one row; ranks come from bucketed running totals. Nulls are passed over.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-    r = running_total(c, keys, value, "__to", bucket_width(c, list(keys), value, bucket_rows), weight=F.col("__w"))
+    c = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w")), "counts")
+    r = running_total(c, keys, value, "__to", bucket_bounds(c, list(keys), value, bucket_rows), weight=F.col("__w"))
     n = c.groupBy(*keys).agg(F.sum("__w").alias("__n"))
     j = r.join(n, list(keys))
     at = lambda k: F.expr(f"(__n - 1) * {k} div {per}")
@@ -27,7 +28,7 @@ def lower_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str,
 
 def cume_share(df: DataFrame, keys: Sequence[str], value: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct values of a key with the share of rows not above them, in ppm, floored."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-    r = running_total(c, keys, value, "__to", bucket_width(c, list(keys), value, bucket_rows), weight=F.col("__w"))
+    c = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w")), "counts")
+    r = running_total(c, keys, value, "__to", bucket_bounds(c, list(keys), value, bucket_rows), weight=F.col("__w"))
     n = c.groupBy(*keys).agg(F.sum("__w").alias("__n"))
     return r.join(n, list(keys)).select(*keys, value, F.expr("__to * 1000000 div __n").alias(out))

@@ -1,9 +1,10 @@
 """Order-based numbering that splits hot keys.
 
 ``row_number() over (partition by key order by t)`` sorts a whole key in one
-task. Here a key is cut into time buckets, each bucket is numbered on its own,
-and the buckets' totals, a small table, give each bucket its offset. The result
-equals the plain window's, whatever the skew.
+task. Here a key with more rows than a task should take is cut at quantiles of its
+own order, each bucket is numbered on its own, and the buckets' totals, a small table,
+give each bucket its offset. The result equals the plain window's. Quantiles are
+drawn per key, so neither a stray value far off nor a dense stretch fills one bucket.
 """
 
 from __future__ import annotations
@@ -13,20 +14,59 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a time bucket of the hottest key holds about.
+from tideline.session import durable
+
+#: Rows that a bucket of a hot key holds about; and the most buckets of all keys together, which bounds what is broadcast.
 BUCKET_ROWS = 200_000
+BUCKETS = 100_000
+#: Sampled rows per bucket, from which its bounds are taken.
+SAMPLED = 64
+_COARSE = 256
+
+
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return cond
 
 
-def bucket_width(df: DataFrame, keys: Sequence[str], order: str, target: int = BUCKET_ROWS) -> int:
-    """Width of ``order`` per bucket so that the hottest key's buckets hold about ``target`` rows.
+def bucket_bounds(df: DataFrame, keys: Sequence[str], order: str, target: int = BUCKET_ROWS) -> DataFrame | None:
+    """For each key with more than ``target`` rows the values of ``order`` at which it is cut; None where there is no such key.
 
-    One small aggregate; three numbers reach the driver. An empty input gives 1.
+    One small aggregate; two numbers reach the driver. The cuts come from a sample
+    by a hash of the row, so they are the same however often they are worked out. They
+    are at most ``BUCKETS`` numbers: of N rows in all, a bucket is let to hold
+    N / ``BUCKETS`` rows if that is more than ``target``. Rows that are equal in
+    ``order`` can't be parted.
     """
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    most, lo, hi = per_key.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    if most is None or lo is None:
-        return 1
-    return max(1, -(-(hi - lo + 1) * target // max(most, target)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    if most is None or most <= target:
+        return None
+    target = max(target, -(-total // BUCKETS))
+    hot = counts.where(F.col("__n") > target).select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)))
+    step = max(1, target // SAMPLED)
+    drawn = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(step)) == 0).join(F.broadcast(hot), _same(keys, "__h"), "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    #: Every so many sampled rows a cut; of a key's cuts there are its rows by ``target``.
+    cuts = drawn.select(*keys, F.col(order).alias("__o"), place.alias("__p")).where(F.col("__p") % max(1, target // step) == 0)
+    out = cuts.groupBy(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys))).agg(F.array_sort(F.collect_set("__o")).alias("__bounds"))
+    return durable(out, "bounds")
+
+
+def with_bucket(df: DataFrame, keys: Sequence[str], order: str, bounds: DataFrame | None, name: str = "__b") -> DataFrame:
+    """The rows with their key's bucket in ``order``: how many of the key's cuts are not above the row's value; 0 for keys that aren't cut."""
+    if bounds is None:
+        return df.withColumn(name, F.lit(0))
+    coarse = F.transform(F.sequence(F.lit(0), F.expr(f"(size(__bounds) - 1) div {_COARSE}").cast("int")), lambda i: F.element_at("__bounds", i * _COARSE + 1))
+    small = F.broadcast(bounds.withColumn("__coarse", coarse))
+    j = df.join(small, _same(keys, "__h"), "left")
+    x = F.col(order)
+    c = F.size(F.filter("__coarse", lambda b: b <= x))
+    fine = F.size(F.filter(F.slice("__bounds", (F.greatest(c, F.lit(1)) - 1) * _COARSE + 1, _COARSE), lambda b: b <= x))
+    found = F.when(F.col("__bounds").isNull() | (c == 0), 0).otherwise((c - 1) * _COARSE + fine)
+    return j.select(*df.columns, found.alias(name))
 
 
 def running_total(
@@ -34,7 +74,7 @@ def running_total(
     keys: Sequence[str],
     order: str,
     out: str,
-    width: int,
+    bounds: DataFrame | None,
     weight: Column | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
@@ -42,21 +82,19 @@ def running_total(
 
     ``order`` must be a non-null integer column. Null keys form one key each.
     Rows equal in all of ``order`` and ``ties`` get some order among themselves.
+    Without ``bounds`` (no key is hot) it is the plain window.
     """
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    b = df.withColumn("__b", F.expr(f"`{order}` div {width}")).withColumn("__w", w)
+    names = [c for c in df.columns if c != out]
+    if bounds is None:
+        spec = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*names, F.sum(w).over(spec).alias(out))
+    b = with_bucket(df.withColumn("__w", w), keys, order, bounds)
     spec = Window.partitionBy(*keys, "__b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     inner = b.withColumn("__in", F.sum("__w").over(spec))
     totals = b.groupBy(*keys, "__b").agg(F.sum("__w").alias("__t"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)),
-        F.col("__b").alias("__bb"),
-        F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"),
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__b") == F.col("__bb")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = inner.join(offsets, cond, "inner")
-    return joined.select(*(c for c in df.columns if c != out), (F.col("__in") + F.col("__off")).alias(out))
+    #: Only buckets after a key's first one have something before them: at most ``BUCKETS`` rows.
+    offsets = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__bb"), F.sum("__t").over(before).alias("__off")).where("__bb > 0")
+    joined = inner.join(F.broadcast(offsets), _same(keys, "__k") & (F.col("__b") == F.col("__bb")), "left")
+    return joined.select(*names, (F.col("__in") + F.coalesce("__off", F.lit(0))).alias(out))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ranking import BUCKET_ROWS, bucket_width, running_total
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, running_total
 
 
 class Model(Protocol):
@@ -68,5 +68,5 @@ def ordered_batches(df: DataFrame, order: str, size: int, bucket_rows: int = BUC
     numbers come from bucketed running totals. Rows with a null in ``order`` drop out.
     """
     rows = df.where(F.col(order).isNotNull()).withColumn("__all", F.lit(0))
-    n = running_total(rows, ["__all"], order, "__n", bucket_width(rows, ["__all"], order, bucket_rows))
+    n = running_total(rows, ["__all"], order, "__n", bucket_bounds(rows, ["__all"], order, bucket_rows))
     return n.withColumn("batch", F.expr(f"(__n - 1) div {size}")).drop("__n", "__all")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Events of one entity that a task takes at once; a hotter entity is salted.
 GROUP_ROWS = 100_000
+#: Entities that can be hot at most: of N events, one is hot only beyond N / ``HOT`` of them.
+HOT = 100_000
 #: Cells of the (segment, revision) table that are held at once.
 CELLS = 2_000_000
 _OPEN = np.iinfo(np.int64).max
@@ -81,7 +83,8 @@ def attributes_at_event(events: DataFrame, changes: DataFrame, group_rows: int =
     highest version wins, then the smallest change_id. Events and changes are
     co-grouped by entity; an entity's events are salted by a hash into groups of
     about ``group_rows``, with its changes copied to each, so no group grows with
-    the hottest entity. The changes of one entity must fit into a task.
+    the hottest entity; only entities with more events are salted. The changes of
+    one entity must fit into a task (80 bytes each: ten million in 1 GB).
 
     Entities are compared in lower case. Events or changes that lack an id,
     entity, time or availability drop out, as do changes without a version.
@@ -95,8 +98,13 @@ def attributes_at_event(events: DataFrame, changes: DataFrame, group_rows: int =
         .agg(F.min(F.struct("t", "known", "entity")).alias("e"))
         .select("event_id", "e.*")
     )
-    most = events.groupBy(F.lower("entity").alias("entity")).count().where("entity is not null").agg(F.max("count")).first()[0] or 0
-    salts = max(1, -(-most // group_rows))
+    counts = events.select(F.lower("entity").alias("entity")).dropna().groupBy("entity").count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    #: At most ``HOT`` entities can be hot, which bounds what is broadcast.
+    limit = max(group_rows, -(-(total or 0) // HOT))
+    hot = None
+    if (most or 0) > limit:
+        hot = F.broadcast(counts.where(F.col("count") > limit).select("entity", F.ceil(F.col("count") / limit).cast("int").alias("salts")))
     ch = (
         changes.select(
             "change_id",
@@ -108,9 +116,13 @@ def attributes_at_event(events: DataFrame, changes: DataFrame, group_rows: int =
         )
         .dropna()
         .distinct()
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    left = ev.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
+    if hot is None:
+        left, ch = ev.withColumn("salt", F.lit(0)), ch.withColumn("salt", F.lit(0))
+    else:
+        salts = F.coalesce("salts", F.lit(1))
+        left = ev.join(hot, "entity", "left").withColumn("salt", F.pmod(F.xxhash64("event_id"), salts).cast("int")).drop("salts")
+        ch = ch.join(hot, "entity", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return (
         left.groupBy("entity", "salt")
         .cogroup(ch.groupBy("entity", "salt"))

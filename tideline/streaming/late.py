@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.functions.times import HOUR, floor_to
-from tideline.operators.ranking import bucket_width
+from tideline.operators.ranking import bucket_bounds, with_bucket
+from tideline.session import durable
 from tideline.streaming.fiba import FingerTree
 
 CUTOFF = 6 * HOUR
@@ -135,11 +136,9 @@ def late_events(rows: DataFrame, period: int = HOUR, cutoff: int = CUTOFF, group
     """
     if cutoff % period:
         raise ValueError("the cut-off must be a whole number of periods")
-    rows = _typed(rows)
-    width = bucket_width(rows, ["stream"], "event", group_rows)
-    width = max(period, width // period * period)
-    stretch = floor_to("event", width).alias("stretch")
-    most = rows.groupBy("stream", stretch).count().agg(F.max("count")).first()[0] or 0
+    rows = durable(_typed(rows), "arrivals").withColumn("start", floor_to("event", period))
+    placed = with_bucket(rows, ["stream"], "start", bucket_bounds(rows.select("stream", "start", "row_key"), ["stream"], "start", group_rows), "stretch")
+    most = placed.groupBy("stream", "stretch").count().agg(F.max("count")).first()[0] or 0
     salts = max(1, -(-most // (2 * group_rows)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +146,7 @@ def late_events(rows: DataFrame, period: int = HOUR, cutoff: int = CUTOFF, group
         told, closed = fold(pdf, state)
         return _rows(key[0], told, closed + state.rest())
 
-    return rows.withColumn("stretch", stretch).groupBy("stream", "stretch", F.pmod(F.xxhash64("row_key"), F.lit(salts)).alias("salt")).applyInPandas(run, OUT)
+    return placed.drop("start").groupBy("stream", "stretch", F.pmod(F.xxhash64("row_key"), F.lit(salts)).alias("salt")).applyInPandas(run, OUT)
 
 
 def late_rows(told: DataFrame) -> DataFrame:

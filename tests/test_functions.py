@@ -132,13 +132,141 @@ def test_average_cost():
     assert out[1] == (2, 20, 2200, -2) and out[2] == (3, 15, 1650, 148) and out[3][1:3] == (-5, -700) and out[3][3] == 148 + 2100 - 1650
 
 
-def test_order_book():
-    ops = [("ADD", 1, "B", 99, 5), ("ADD", 2, "A", 101, 5), ("EXECUTE", 1, "B", 0, 2), ("CANCEL", 1, "B", 0, 3), ("ADD", 3, "B", 100, 1), ("ADD", 4, "A", 100, 1), ("CLEAR", 0, "", 0, 0)]
+def _naive_book(state, op, oid, side, price, qty):
+    """A list of orders in priority, everything worked out anew; levels set as one order without an id."""
+    orders, valid, status, trade, auction, saved = state or ([], True, "OPEN", None, None, None)
+    error = None
+    best = lambda s, os: (max if s == "B" else min)((p for _, x, p, _ in os if x == s), default=None)
+    crosses = lambda os: (o := best("A" if side == "B" else "B", os)) is not None and (price >= o if side == "B" else price <= o)
+    found = [x for x in orders if x[0] == oid and oid is not None]
+    if op == "CLEAR_BOOK":
+        return ([], True, status, trade, auction, saved), None
+    if op == "RESTORE":
+        return (*(saved or ([], True, "OPEN", None, None)), saved), None
+    if not valid:
+        return (orders, valid, status, trade, auction, saved), "BOOK_INVALID"
+    if op in ("ADD", "REPLACE", "SET_LEVEL") and (price <= 0 or qty <= 0):
+        error = "INVALID_SHAPE"
+    elif op == "ADD":
+        error = "DUPLICATE_ORDER" if found else "CROSSED" if crosses(orders) else None
+        orders = orders if error else [*orders, (oid, side, price, qty)]
+    elif op in ("CANCEL", "EXECUTE", "DELETE", "PARTIAL_CANCEL", "PARTIAL_EXECUTE", "REPLACE"):
+        if not found:
+            error = "ORDER_NOT_FOUND"
+        elif op.startswith("PARTIAL"):
+            error = None if 0 < qty < found[0][3] else "QUANTITY_MISMATCH"
+            orders = orders if error else [(o, s, p, q - qty) if o == oid else (o, s, p, q) for o, s, p, q in orders]
+        else:
+            rest = [x for x in orders if x[0] != oid]
+            if op == "REPLACE":
+                error = "CROSSED" if crosses(rest) else None
+                rest = orders if error else [*rest, (oid, side, price, qty)]
+            orders = rest
+    elif op in ("SET_LEVEL", "DELETE_LEVEL"):
+        rest = [x for x in orders if x[1:3] != (side, price)]
+        if op == "SET_LEVEL":
+            error = "CROSSED" if crosses(orders) else None
+            rest.append((None, side, price, qty))
+        elif len(rest) == len(orders):
+            error = "LEVEL_NOT_FOUND"
+        orders = orders if error else rest
+    elif op == "CLEAR_SIDE":
+        orders = [x for x in orders if x[1] != side]
+    elif op == "TRADE":
+        trade = (price, qty)
+    elif op == "STATUS":
+        status = ("OPEN", "HALTED", "AUCTION")[qty % 3]
+        auction = auction if status == "AUCTION" else None
+    elif op == "AUCTION":
+        auction = qty
+    elif op == "SNAPSHOT":
+        saved = (list(orders), valid, status, trade, auction)
+    return (orders, valid and error is None, status, trade, auction, saved), error
+
+
+def test_order_book_against_a_naive_one():
+    from tideline.operators import books
+
+    ops = [*books.ORDER_OPS * 2, "ADD", "ADD", "ADD", "ADD", *books.LEVEL_OPS, *books.CONTROL_OPS, *books.STATE_OPS, "RESTORE", "CLEAR_BOOK"]
+    errors = set()
+    for seed in range(60):
+        rng = random.Random(seed)
+        state = naive = None
+        for i in range(300):
+            side = rng.choice("BA")
+            row = (rng.choice(ops), rng.randrange(25), side, rng.randint(1, 6) + (0 if side == "B" else rng.choice([0, 6, 6])), rng.randint(0, 4))
+            state, told = books.book_step(state, (i, *row))
+            naive, error = _naive_book(naive, *row)
+            errors.add(error)
+            orders, valid, status, trade, auction, _ = naive
+            want = [i, error]
+            for s, pick in (("B", max), ("A", min)):
+                p = pick((x[2] for x in orders if x[1] == s), default=None)
+                want += [p, sum(x[3] for x in orders if x[1:3] == (s, p)) if p is not None else None]
+            # within a level the naive list keeps priority; replaced and added orders stand last
+            top = [x[0] for x in orders if x[1:3] == ("B", want[2]) and x[0] is not None]
+            assert told == (*want, top[0] if top else None, sum(x[0] is not None for x in orders), len({x[1:3] for x in orders}), status, trade and trade[0], auction, valid)
+    assert errors >= {None, "BOOK_INVALID", "CROSSED", "ORDER_NOT_FOUND", "DUPLICATE_ORDER", "QUANTITY_MISMATCH", "LEVEL_NOT_FOUND", "INVALID_SHAPE"}
+
+
+def test_strategy_fold():
+    step = folds.strategy_step(folds.MeanReversion)
     state, out = None, []
-    for i, (op, oid, side, price, qty) in enumerate(ops):
-        state, told = folds.order_book_step(state, (i, op, oid, side, price, qty))
+    for i, price in enumerate([100, 90, 120, 80, 100]):
+        state, told = step(state, (i, price, 1))
         out.append(told)
-    assert out[1] == (1, 99, 101, 2, True) and out[3] == (3, None, 101, 1, True) and out[5][4] is False and out[6] == (6, None, None, 0, True)
+    assert [x[1] for x in out] == [0, 1, -1, 1, -1] and [x[2] for x in out] == [0, 1, 0, 1, 0]
+    assert out[-1][3] == -90 + 120 - 80 + 100
+
+
+def test_fold_keeps_nulls_and_digits(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([("u", 1, big), ("u", 2, None), ("u", 3, big + 1), (None, 1, big)], "u string, t long, x long")
+    got = folds.ordered_fold(df, ["u"], ["t"], lambda: None, lambda s, r: (r[1], (r[0], r[1])), ["t", "x"], "t long, x long").orderBy("u", "t").collect()
+    assert [(r.u, r.t, r.x) for r in got] == [(None, 1, big), ("u", 1, big), ("u", 2, None), ("u", 3, big + 1)]
+
+
+def test_greeks_by_differences(spark):
+    import math
+
+    from tideline.functions import options
+
+    def price(c, s, k, t, r, q, v):
+        n = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+        d1 = (math.log(s / k) + (r - q + v * v / 2) * t) / (v * math.sqrt(t))
+        z = 1 if c else -1
+        return z * (s * math.exp(-q * t) * n(z * d1) - k * math.exp(-r * t) * n(z * (d1 - v * math.sqrt(t))))
+
+    rows = [(c, 100.0, k, t, 0.03, 0.01, v) for c in (True, False) for k in (80.0, 100.0, 125.0) for t in (0.2, 1.5) for v in (0.15, 0.4)]
+    df = spark.createDataFrame(rows, "c boolean, s double, k double, t double, r double, q double, v double")
+    for row in df.withColumn("g", options.greeks("c", "s", "k", "t", "r", "q", "v")).collect():
+        c, s, k, t, r, q, v, g = row
+        delta = lambda tt=t, vv=v: (price(c, s + 0.01, k, tt, r, q, vv) - price(c, s - 0.01, k, tt, r, q, vv)) / 0.02
+        assert abs(g.gamma - (price(c, s + 0.1, k, t, r, q, v) - 2 * price(c, s, k, t, r, q, v) + price(c, s - 0.1, k, t, r, q, v)) / 0.01) < 1e-4
+        assert abs(g.vega - (price(c, s, k, t, r, q, v + 1e-4) - price(c, s, k, t, r, q, v - 1e-4)) / 2e-4) < 1e-3
+        assert abs(g.vanna - (delta(vv=v + 1e-3) - delta(vv=v - 1e-3)) / 2e-3) < 2e-2 and abs(g.charm - (delta(tt=t - 1e-3) - delta(tt=t + 1e-3)) / 2e-3) < 2e-2
+
+
+def test_score_batches(spark):
+    from tideline.operators.scoring import ordered_batches, score_batches
+
+    class Fails:
+        def predict(self, rows):
+            raise ValueError("no")
+
+    class Double:
+        def predict(self, rows):
+            return rows["x"] * 2
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 60)], "i long, x long").coalesce(1)
+    assert [(r.score, r.status) for r in score_batches(df, Double, ["x"], ["i"], 100).orderBy("i").collect()] == [(10, "OK"), (None, "INVALID_INPUT"), (None, "OUT_OF_RANGE")]
+    assert [r.status for r in score_batches(df, Fails, ["x"], ["i"], 100).orderBy("i").collect()] == ["FAILED", "INVALID_INPUT", "FAILED"]
+    assert [r.status for r in score_batches(df, Double, ["x"], ["i"], 100, deadline_s=-1.0).orderBy("i").collect()] == ["LATE", "INVALID_INPUT", "LATE"]
+    assert score_batches(df.limit(0), Double, ["x"], ["i"], 100).count() == 0
+    n = spark.range(1000).selectExpr("id * id % 7919 * 1000 + id as k")
+    for rows in (50, 10_000):
+        got = ordered_batches(n, "k", 64, rows).orderBy("k").collect()
+        assert [r.batch for r in got] == [i // 64 for i in range(1000)]
 
 
 def test_ordered_fold_carries_state_over_batches(spark):

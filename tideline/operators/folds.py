@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Arrow types of the outputs' columns.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple | None]], columns: Sequence[str], out: str) -> DataFrame:
     """``step(state, row of columns)`` gives the next state and an output row (or None); ``out`` is the schema of the outputs after the keys.
@@ -21,24 +24,28 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start
     Rows with equal keys and order come in some order; make the order unique.
     Null keys form one key. An empty table gives no rows.
     """
-    names = [f.split()[0] for f in out.split(", ")]
+    fields = [tuple(f.split()) for f in out.split(", ")]
     key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    n, m = len(keys), len(columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         state = None
         for batch in batches:
             rows = []
-            for values in batch.itertuples(index=False, name=None):
-                key = tuple(None if v is None or v != v else v for v in values[: len(keys)])
+            #: Python values by column: a null stays None and a bigint keeps all its digits.
+            for values in zip(*(c.to_pylist() for c in batch.columns[: n + m])):
+                key = values[:n]
                 if key != current:
                     current, state = key, start()
-                state, told = step(state, values[len(keys) : len(keys) + len(columns)])
+                state, told = step(state, values[n:])
                 if told is not None:
                     rows.append((*key, *told))
-            yield pd.DataFrame(rows, columns=[*keys, *names])
+            columns_out = list(zip(*rows)) if rows else [()] * (n + len(fields))
+            types = [*batch.schema.types[:n], *(ARROW[t] for _, t in fields)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_out, types)], names=[*keys, *(f for f, _ in fields)])
 
-    return df.select(*keys, *columns, *(c for c in order if c not in columns and c not in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{key_schema}, {out}")
+    return df.select(*keys, *columns, *(c for c in order if c not in columns and c not in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{key_schema}, {out}")
 
 
 def ema_step(numerator: int, denominator: int) -> Callable[[Any, tuple], tuple[Any, tuple]]:
@@ -103,45 +110,6 @@ def average_cost_step(state: Any, row: tuple) -> tuple[Any, tuple]:
     return state, (i, pos, cost, real)
 
 
-def order_book_step(state: Any, row: tuple) -> tuple[Any, tuple]:
-    """Order-by-order book. Row: (id, operation, order, side, price, quantity); ADD, CANCEL, EXECUTE, REPLACE, CLEAR.
-
-    Gives (id, best bid, best ask, orders, valid). An operation on an unknown
-    order or a crossing add makes the book invalid until CLEAR.
-    """
-    if state is None:
-        state = {"orders": {}, "valid": True}
-    i, op, oid, side, price, qty = row
-    orders = state["orders"]
-    if op == "CLEAR":
-        state = {"orders": {}, "valid": True}
-        orders = state["orders"]
-    elif state["valid"]:
-        if op == "ADD":
-            opposite = [p for s, p, _ in orders.values() if s != side]
-            crossed = opposite and (price >= min(opposite) if side == "B" else price <= max(opposite))
-            if oid in orders or crossed:
-                state["valid"] = False
-            else:
-                orders[oid] = (side, price, qty)
-        elif oid not in orders:
-            state["valid"] = False
-        elif op in ("CANCEL", "EXECUTE"):
-            s, p, q = orders[oid]
-            if qty > q:
-                state["valid"] = False
-            elif qty == q:
-                del orders[oid]
-            else:
-                orders[oid] = (s, p, q - qty)
-        elif op == "REPLACE":
-            s, _, _ = orders.pop(oid)
-            orders[oid] = (s, price, qty)
-    bids = [p for s, p, _ in orders.values() if s == "B"]
-    asks = [p for s, p, _ in orders.values() if s == "A"]
-    return state, (int(i), max(bids, default=None), min(asks, default=None), len(orders), state["valid"])
-
-
 def hysteresis_step(up: int, down: int, dwell: int) -> Callable[[Any, tuple], tuple[Any, tuple]]:
     """Two-state machine that turns HIGH above ``up`` and LOW below ``down``, not before ``dwell`` after the last change. Row: (id, time, value)."""
 

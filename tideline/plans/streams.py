@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.ints import isqrt, mul_div, trunc_div, wide, wide_div
 from tideline.functions.hashing import sampled_every
+from tideline.operators import books as BOOKS
 from tideline.operators import folds
 from tideline.operators.temporal import forward_asof, sequence_state
 from tideline.session import table
@@ -276,10 +277,16 @@ def average_cost_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_book_fold(spark: SparkSession, d: str) -> DataFrame:
-    op = F.when(F.col("event_type").isin("view", "signup"), "ADD").when(F.col("event_type") == "click", "CANCEL").when(F.col("event_type") == "purchase", "EXECUTE").otherwise("CLEAR")
-    e = _events(spark, d).withColumn("op", op).withColumn("side", F.when(F.col("event_type") == "view", "B").otherwise("A")).withColumn("price", F.when(F.col("event_type") == "view", F.col("ticks")).otherwise(F.col("ticks") + 100_000))
-    e = e.withColumn("order_id", F.when(F.col("op") == "ADD", F.col("event_id")).otherwise(F.lag("event_id").over(_user())))
-    return folds.ordered_fold(e, ["user_id"], ["t", "event_id"], lambda: None, folds.order_book_step, ["event_id", "op", "order_id", "side", "price", "qty"], "event_id long, best_bid long, best_ask long, n_orders int, valid boolean")
+    """All operations of a book on each user's events: adds, and operations on the order before, on levels, on the market's state, snapshots and restores."""
+    k = F.col("event_id") % 40
+    other = F.element_at(F.array(*map(F.lit, [*BOOKS.ORDER_OPS[1:], *BOOKS.LEVEL_OPS, *BOOKS.CONTROL_OPS, *BOOKS.STATE_OPS])), (k - 23).cast("int"))
+    op = F.when(k < 24, "ADD").otherwise(other)
+    before = F.lag("event_id").over(_user())
+    side = F.when(F.col("event_id") % 2 == 0, "B").otherwise("A")
+    price = F.when(side == "B", F.col("ticks") % 50 + 1).otherwise(F.col("ticks") % 50 + 52)
+    e = _events(spark, d).withColumn("op", op).withColumn("order_id", F.when(op == "ADD", F.col("event_id")).otherwise(F.coalesce(before, F.lit(0)))).withColumn("side", side).withColumn("price", price)
+    e = e.withColumn("quantity", F.when(op.startswith("PARTIAL_"), 1).otherwise(F.col("qty") + 1).cast("long"))
+    return folds.ordered_fold(e, ["user_id"], ["t", "event_id"], lambda: None, BOOKS.book_step, ["event_id", "op", "order_id", "side", "price", "quantity"], BOOKS.BOOK_OUT)
 
 
 def hysteresis_fold(spark: SparkSession, d: str) -> DataFrame:

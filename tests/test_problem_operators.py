@@ -89,6 +89,109 @@ def test_buckets_hold_under_skew(spark, far):
     assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
 
 
+def test_order_operators_split_a_hot_key(spark):
+    """max_before, next_in_order and what stands on them give the same with and without cuts."""
+    from tideline.operators import temporal
+    from tideline.operators.ranking import max_before, next_in_order
+
+    rng = random.Random(5)
+    rows = [("hot" if i % 4 else f"k{i % 3}", rng.randrange(400) * (1 if i % 9 else 10**12), i, rng.choice([None, *range(50)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, v long")
+    for target in (30, 10_000):
+        bounds = bucket_bounds(df, ["k"], "t", target)
+        top = {r.i: r.m for r in max_before(df, ["k"], "t", "v", "m", bounds, ["i"]).collect()}
+        after = sorted((r.k, r.t, -1 if r.n is None else r.n) for r in next_in_order(df, ["k"], "t", "n", bounds).collect())
+        want = []
+        for key in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+            for j, r in enumerate(own):
+                assert top[r[2]] == max((x[3] for x in own[:j] if x[3] is not None), default=None)
+                want.append((key, r[1], own[j + 1][1] if j + 1 < len(own) else -1))
+        assert after == sorted(want)
+    unique = df.dropDuplicates(["k", "t"])
+    got = {(r.k, r.t): r.f for r in temporal.forward_asof(unique, ["k"], "t", "v", 25, "f").collect()}
+    values = unique.collect()
+    for r in values:
+        ahead = sorted((x.t, x.v) for x in values if x.k == r.k and x.t >= r.t + 25 and x.v is not None)
+        assert got[r.k, r.t] == (ahead[0][1] if ahead else None)
+    seq = spark.createDataFrame([("c", n) for n in [1, 2, 5, 9, 10]] + [("d", 3)], "c string, s long")
+    for n in (2, 100):
+        assert {tuple(r) for r in temporal.missing_ranges(seq, ["c"], "s", n).collect()} == {("c", 3, 4), ("c", 6, 8)}
+    assert temporal.missing_ranges(seq.limit(0), ["c"], "s").count() == 0
+
+
+def test_horizon_targets_by_walking(spark):
+    """Against a walk through the minutes, with halts that overlap, touch minutes in part and close a session."""
+    from tideline.operators import calendar
+
+    m = calendar.MINUTE
+    sessions = [(f"s{i}", i * 10_000 * m, i * 10_000 * m + (40 if i % 2 else 25) * m) for i in range(30)]
+    halts = [("s0", 5 * m + 1, 9 * m), ("s0", 8 * m, 12 * m - 1), ("s3", sessions[3][1] + 38 * m, sessions[3][2] + m), ("s4", sessions[4][1], sessions[4][1] + 1), ("s5", 7, 7), ("zz", 0, m)]
+    s = spark.createDataFrame(sessions, "session string, open_ns long, close_ns long")
+    h = spark.createDataFrame(halts, "session string, halt_start_ns long, halt_end_ns long")
+    shut = lambda name, end: any(x[0] == name and x[1] < end and x[2] > end - m and x[2] > x[1] for x in halts)
+    walk = [(i, name, a + k * m) for i, (name, a, b) in enumerate(sessions) for k in range(1, (b - a) // m + 1)]
+    asof = [x for x in walk if x[2] // m % 7 == 0]
+    got = {(r.as_of_ns, r.horizon, r.policy): (r.state, r.target_ns) for r in calendar.horizon_targets(spark.createDataFrame([(x[2],) for x in asof], "as_of_ns long"), s, h).collect()}
+    assert len(got) == len(asof) * 12 * 3
+    for i, name, t in asof:
+        for policy in calendar.POLICIES:
+            if policy != "COUNT" and shut(name, t):
+                assert {got[t, hz, policy] for hz in (*calendar.MINUTE_HORIZONS, *calendar.SESSION_HORIZONS)} == {("INVALID_AS_OF_TIME", None)}
+                continue
+            later = [x for x in walk if x[2] > t]
+            for hz, n in calendar.MINUTE_HORIZONS.items():
+                want, left = ("INSUFFICIENT_CALENDAR", None), n
+                for _, other, end in later:
+                    if shut(other, end):
+                        if policy == "REJECT":
+                            want = ("HALT_ENCOUNTERED", None)
+                            break
+                        if policy == "PAUSE":
+                            continue
+                    left -= 1
+                    if not left:
+                        want = ("OK", end)
+                        break
+                assert got[t, hz, policy] == want, (t, hz, policy)
+            for hz, n in calendar.SESSION_HORIZONS.items():
+                want, left = ("INSUFFICIENT_CALENDAR", None), n
+                for other, a, b in sessions[i + 1 :]:
+                    if policy == "REJECT" and any(shut(other, e) for _, o, e in walk if o == other):
+                        want = ("HALT_ENCOUNTERED", None)
+                        break
+                    if policy == "PAUSE" and shut(other, b):
+                        continue
+                    left -= 1
+                    if not left:
+                        want = ("OK", b)
+                        break
+                assert got[t, hz, policy] == want, (t, hz, policy)
+
+
+def test_manifest_leaks_codes(spark):
+    """Each code on its own, and nothing on a clean, empty or null manifest."""
+    from tideline.plans.reference import manifest_leaks
+
+    rec = "record_id string, kind int, available long, valid_from long, valid_to long"
+    records = spark.createDataFrame([("ok", 7, 5, 0, None), ("late", 7, 60, 0, None), ("macro", 6, 60, 0, None), ("est", 5, 60, 0, None), ("member", 4, 5, 0, 40), ("action", 1, 5, 55, None)], rec)
+    sam = "sample_id string, event_time_ns long, feature_start_ns long, feature_end_ns long, label_start_ns long, label_end_ns long, split string, record_ids array<string>"
+    clean = ("a", 50, 10, 50, 51, 60, "TRAIN", ["ok", "ok"])
+    bad = [
+        ("b", 50, 10, 51, 52, 60, "TRAIN", ["late", "macro", "est", "member", "action", "gone"]),
+        ("c", 50, 10, 50, 50, 60, "TRAIN", []),
+        ("d", 40, 10, 40, 41, 45, "TEST", None),
+        ("e", None, None, None, None, None, "VALIDATION", ["ok"]),
+    ]
+    got = {tuple(r) for r in manifest_leaks(spark.createDataFrame([clean, *bad], sam), records, True, 1).collect()}
+    assert got == {
+        ("FUTURE_FEATURE", "b", None), ("FUTURE_RECORD", "b", "late"), ("FUTURE_MACRO_REVISION", "b", "macro"), ("POST_EVENT_ESTIMATE", "b", "est"), ("FUTURE_CONSTITUENT", "b", "member"), ("FUTURE_CORPORATE_ACTION", "b", "action"),
+        ("MISSING_PROVENANCE", "b", "gone"), ("LABEL_OVERLAP", "c", None), ("NON_CHRONOLOGICAL_SPLIT", "d", None), ("LABEL_OVERLAP", "d", None), ("RANDOMIZED_TIME_SPLIT", "", None),
+    }
+    assert manifest_leaks(spark.createDataFrame([clean], sam), records, False, 1).count() == 0
+    assert manifest_leaks(spark.createDataFrame([], sam), records, False, 1).count() == 0
+
+
 BARS = "bar_id long, symbol string, market_id string, session_id string, t string, o double, h double, l double, c double, v long, n long, vw double, source_object_id string, local_receipt_time_ns long, sid long, pre double"
 
 

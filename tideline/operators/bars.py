@@ -6,22 +6,24 @@ rankings and frames never cross one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.hashing import hash_bucket
 from tideline.functions.ints import half_away_div, isqrt, return_ppm, wide
 from tideline.functions.times import MINUTE, rfc3339_ns
+from tideline.session import durable
 
 SERIES = ["symbol", "market_id", "session_id"]
 BUCKETS = 8
 
 
 def ticks(price: Column | str, per_unit: int = 100) -> Column:
-    """A price in whole ticks; null where it lies between two."""
-    p = (F.col(price) if isinstance(price, str) else price) * per_unit
-    whole = F.rint(p)
-    return F.when(F.abs(p - whole) < 1e-6, whole.cast("long"))
+    """A price in whole ticks; null where it lies between two. The price is taken as the decimal that it stands for, with nine places, and the test is exact."""
+    p = (F.col(price) if isinstance(price, str) else price).try_cast("decimal(28,9)") * per_unit
+    return F.when(p % 1 == 0, p.cast("long"))
 
 
 def canonicalise(raw: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def market_relative(minutes: DataFrame, group: list[str]) -> DataFrame:
     receipt, else the result is null with state LATE_CONTRIBUTOR. The aggregate is
     one row per minute and group, joined back; no group is collected.
     """
-    d = minutes.withColumn("r", offset_return(1)).where("r is not null")
+    d = durable(minutes.withColumn("r", offset_return(1)).where("r is not null").select("bar_id", "m", *group, "r", "local_receipt_time_ns"), "returns")
     agg = d.groupBy("m", *group).agg(F.sum("r").alias("s"), F.count("r").alias("n"), F.max("local_receipt_time_ns").alias("latest"))
     j = d.join(agg, ["m", *group])
     ready = F.col("latest") <= F.col("local_receipt_time_ns")
@@ -160,7 +162,7 @@ def split_plan(sessions: DataFrame, order: str, train: int = 70, validation: int
     return d.withColumn("split", split).drop("i", "usable", "a", "b")
 
 
-def horizon_labels(minutes: DataFrame, horizons: list[int]) -> DataFrame:
+def horizon_labels(minutes: DataFrame, horizons: list[int], keep: Sequence[str] = ()) -> DataFrame:
     """Label of each bar and horizon (minutes ahead): VALID, MISSING (no bar there) or INVALID (another session), with return and direction.
 
     One range frame per horizon instead of a self-join: no shuffle beyond the
@@ -172,7 +174,7 @@ def horizon_labels(minutes: DataFrame, horizons: list[int]) -> DataFrame:
     for h in horizons:
         d = d.withColumn(f"p{h}", F.max("c_ticks").over(w.rangeBetween(h, h)))
     label = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"p{h}").alias("future_ticks")) for h in horizons))
-    e = d.select("bar_id", "m", "last_m", "c_ticks", F.inline(label))
+    e = d.select("bar_id", *keep, "m", "last_m", "c_ticks", F.inline(label))
     validity = F.when(F.col("m") + F.col("horizon") > F.col("last_m"), "INVALID").when(F.col("future_ticks").isNull(), "MISSING").otherwise("VALID")
     e = e.withColumn("validity", validity).withColumn("return_ppm", F.when(F.col("validity") == "VALID", return_ppm("future_ticks", "c_ticks")))
-    return e.select("bar_id", "horizon", "validity", "future_ticks", "return_ppm", F.when(F.col("return_ppm") > 0, 1).when(F.col("return_ppm") < 0, -1).when(F.col("return_ppm") == 0, 0).alias("direction"))
+    return e.select("bar_id", *keep, "horizon", "validity", "future_ticks", "return_ppm", F.when(F.col("return_ppm") > 0, 1).when(F.col("return_ppm") < 0, -1).when(F.col("return_ppm") == 0, 0).alias("direction"))

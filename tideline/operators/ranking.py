@@ -98,3 +98,31 @@ def running_total(
     offsets = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__bb"), F.sum("__t").over(before).alias("__off")).where("__bb > 0")
     joined = inner.join(F.broadcast(offsets), _same(keys, "__k") & (F.col("__b") == F.col("__bb")), "left")
     return joined.select(*names, (F.col("__in") + F.coalesce("__off", F.lit(0))).alias(out))
+
+
+def max_before(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, bounds: DataFrame | None, ties: Sequence[str] = ()) -> DataFrame:
+    """The greatest ``value`` of the key's rows before this one in the order of ``order``, ``ties``; null for the first. Hot keys are split by ``bounds``."""
+    names = [c for c in df.columns if c != out]
+    prior = lambda *k: Window.partitionBy(*k).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    if bounds is None:
+        return df.select(*names, F.max(value).over(prior(*keys)).alias(out))
+    b = with_bucket(df, keys, order, bounds)
+    inner = b.withColumn("__in", F.max(value).over(prior(*keys, "__b")))
+    tops = b.groupBy(*keys, "__b").agg(F.max(value).alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    small = tops.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__bb"), F.max("__t").over(before).alias("__off")).where("__bb > 0")
+    joined = inner.join(F.broadcast(small), _same(keys, "__k") & (F.col("__b") == F.col("__bb")), "left")
+    return joined.select(*names, F.greatest("__in", "__off").alias(out))
+
+
+def next_in_order(df: DataFrame, keys: Sequence[str], order: str, out: str, bounds: DataFrame | None) -> DataFrame:
+    """The key's next value of ``order`` after this row's in sorted order (equal for a tie); null for the last. Hot keys are split by ``bounds``."""
+    names = [c for c in df.columns if c != out]
+    if bounds is None:
+        return df.select(*names, F.lead(order).over(Window.partitionBy(*keys).orderBy(order)).alias(out))
+    b = with_bucket(df, keys, order, bounds)
+    inner = b.withColumn("__in", F.lead(order).over(Window.partitionBy(*keys, "__b").orderBy(order)))
+    firsts = b.groupBy(*keys, "__b").agg(F.min(order).alias("__f"))
+    small = firsts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__bb"), F.lead("__f").over(Window.partitionBy(*keys).orderBy("__b")).alias("__next")).where("__next is not null")
+    joined = inner.join(F.broadcast(small), _same(keys, "__k") & (F.col("__b") == F.col("__bb")), "left")
+    return joined.select(*names, F.coalesce("__in", "__next").alias(out))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, max_before, next_in_order
+
 
 def valid_at(start: Column | str, end: Column | str, t: Column | str | int) -> Column:
     """start <= t < end, with a null end open."""
@@ -79,15 +81,32 @@ def tristate(covered: Column, active: Column) -> Column:
 
 
 def forward_asof(df: DataFrame, keys: Sequence[str], order: str, value: str, ahead: int, out: str) -> DataFrame:
-    """The first non-null value at or after ``order + ahead`` of the same key."""
-    w = Window.partitionBy(*keys).orderBy(order).rangeBetween(ahead, Window.unboundedFollowing)
-    return df.withColumn(out, F.first(value, ignorenulls=True).over(w))
+    """The first non-null value at or after ``order + ahead`` of the same key.
+
+    Rows and the instants that they ask about are sorted together, latest first, and
+    the next value is carried along, so a row costs the same however long its key is.
+    Of values at one instant any may be taken.
+    """
+    names = df.columns
+    told = df.select(*keys, F.col(order).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__asks"), F.lit(None).cast(df.select(F.struct(*names)).schema[0].dataType).alias("__row"))
+    asks = df.select(*keys, (F.col(order) + ahead).alias("__t"), F.lit(None).cast(df.schema[value].dataType).alias("__v"), F.lit(1).alias("__asks"), F.struct(*names).alias("__row"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__t"), "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = told.unionByName(asks).withColumn(out, F.last("__v", ignorenulls=True).over(w))
+    return both.where("__asks = 1").select("__row.*", out)
+
 
+def sequence_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``sequence_state`` in order of arrival: FIRST, NEXT, GAP (jumps ahead), DUPLICATE or OUT_OF_ORDER (not beyond the highest so far), and ``missing``.
 
-def sequence_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str) -> DataFrame:
-    """``sequence_state`` in order of arrival: FIRST, NEXT, GAP (jumps ahead), DUPLICATE or OUT_OF_ORDER (not beyond the highest so far), and ``missing``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumn("__top", F.max(seq).over(w))
+    A channel with more than ``bucket_rows`` rows is cut along its arrival, and the highest number is carried over.
+    """
+    d = max_before(df, keys, order[0], seq, "__top", bucket_bounds(df, keys, order[0], bucket_rows), order[1:])
     s, top = F.col(seq), F.col("__top")
     state = F.when(top.isNull(), "FIRST").when(s == top + 1, "NEXT").when(s > top + 1, "GAP").when(s == top, "DUPLICATE").otherwise("OUT_OF_ORDER")
     return d.withColumn("sequence_state", state).withColumn("missing", F.when(s > top + 1, s - top - 1).otherwise(0)).drop("__top")
+
+
+def missing_ranges(df: DataFrame, keys: Sequence[str], seq: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The ranges of numbers between a channel's least and greatest that never came: keys, first_missing, last_missing."""
+    n = next_in_order(df.select(*keys, seq), keys, seq, "__next", bucket_bounds(df.select(*keys, seq), keys, seq, bucket_rows))
+    return n.where(F.col("__next") > F.col(seq) + 1).select(*keys, (F.col(seq) + 1).alias("first_missing"), (F.col("__next") - 1).alias("last_missing"))

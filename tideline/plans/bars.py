@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tideline.functions.hashing import economic_hash
 from tideline.functions.ints import half_away_div, wide, zscore_ppm
 from tideline.operators import bars as B
-from tideline.session import table
+from tideline.operators.calendar import MINUTE_HORIZONS
+from tideline.session import durable, table
 
 S = B.SERIES
-HORIZONS = [5, 15, 30, 60]
+#: The horizons in minutes; those in sessions are in ``reference.horizon_targets``.
+HORIZONS = list(MINUTE_HORIZONS.values())
 
 
 def _minutes(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +94,7 @@ def bar_range_gap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_session_mean(spark: SparkSession, d: str) -> DataFrame:
-    return B.previous_sessions_mean(B.session_bars(_minutes(spark, d)), 3).select(*S, "r", "mean_ppm")
+    return B.previous_sessions_mean(B.session_bars(_minutes(spark, d)), 5).select(*S, "r", "mean_ppm")
 
 
 def market_relative_return(spark: SparkSession, d: str) -> DataFrame:
@@ -121,16 +123,26 @@ def split_plan_purged(spark: SparkSession, d: str) -> DataFrame:
 
 def train_normalization(spark: SparkSession, d: str) -> DataFrame:
     """Count, sum and sum of squares of one-minute returns over the training sessions."""
-    m = _minutes(spark, d).withColumn("trading_date", F.substring("session_id", -10, 10)).withColumn("r", B.offset_return(1))
-    t = m.join(F.broadcast(B.split_plan(_sessions(spark, d), "trading_date")), "trading_date").where("split = 'TRAIN' and r is not null")
+    return _training_statistics(_returns(spark, d))
+
+
+def _returns(spark: SparkSession, d: str) -> DataFrame:
+    """One-minute returns with their dates, worked out once."""
+    return durable(_minutes(spark, d).select("bar_id", "minute_ns", F.substring("session_id", -10, 10).alias("trading_date"), B.offset_return(1).alias("r")), "returns")
+
+
+def _training_statistics(m: DataFrame) -> DataFrame:
+    #: One row per trading day.
+    plan = B.split_plan(m.select("trading_date").distinct(), "trading_date")
+    t = m.join(plan, "trading_date").where("split = 'TRAIN' and r is not null")
     return t.agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(wide("r") * wide("r")).cast("long").alias("q"), F.max("minute_ns").alias("fit_through_ns"))
 
 
 def train_zscore(spark: SparkSession, d: str) -> DataFrame:
     """One-minute returns of every session, normalised by the training statistics (one row)."""
-    m = _minutes(spark, d).withColumn("r", B.offset_return(1)).where("r is not null")
-    stats = train_normalization(spark, d)
-    return m.join(F.broadcast(stats.select("n", "s", "q")), how="cross").select("bar_id", zscore_ppm("r", F.col("n"), F.col("s"), F.col("q")).alias("z_ppm"))
+    m = _returns(spark, d)
+    stats = _training_statistics(m)
+    return m.where("r is not null").join(F.broadcast(stats.select("n", "s", "q")), how="cross").select("bar_id", zscore_ppm("r", F.col("n"), F.col("s"), F.col("q")).alias("z_ppm"))
 
 
 def label_horizons(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +151,7 @@ def label_horizons(spark: SparkSession, d: str) -> DataFrame:
 
 def label_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Every symbol and horizon, also those without a bar, with counts by validity."""
-    l = B.horizon_labels(_minutes(spark, d), HORIZONS).join(table(spark, d, "raw_bars").select("bar_id", "symbol"), "bar_id")  # noqa: E741
+    l = B.horizon_labels(_minutes(spark, d), HORIZONS, ["symbol"])  # noqa: E741
     universe = table(spark, d, "raw_bars").select("symbol").distinct().crossJoin(spark.createDataFrame([(h,) for h in HORIZONS], "horizon int"))
     c = l.groupBy("symbol", "horizon").agg(*(F.count_if(F.col("validity") == v).alias(v.lower()) for v in ("VALID", "MISSING", "INVALID")))
     return universe.join(c, ["symbol", "horizon"], "left").select("symbol", "horizon", *(F.coalesce(v, F.lit(0)).alias(v) for v in ("valid", "missing", "invalid")))
@@ -194,7 +206,8 @@ QUERIES = {
 
 
 def _tick(x: str) -> str:
-    return f"case when abs({x} * 100 - round({x} * 100)) < 1e-6 then cast(round({x} * 100) as bigint) end as {x}_ticks"
+    p = f"try_cast({x} as decimal(28, 9)) * 100"
+    return f"case when {p} % 1 = 0 then cast({p} as bigint) end as {x}_ticks"
 
 
 CANON = f"""with k as (
@@ -288,7 +301,7 @@ select symbol, market_id, session_id, {half_away('(high_ticks - low_ticks) * 100
     "rolling_session_mean": MIN
     + _SESS
     + f""", p as (select *, {ret('close_ticks', 'open_ticks')} as r from s)
-select symbol, market_id, session_id, r, case when count(r) over w = 3 then {half_away('sum(r) over w', '3')} end as mean_ppm from p window w as (partition by symbol, market_id order by first_ns rows between 3 preceding and 1 preceding)""",
+select symbol, market_id, session_id, r, case when count(r) over w = 5 then {half_away('sum(r) over w', '5')} end as mean_ppm from p window w as (partition by symbol, market_id order by first_ns rows between 5 preceding and 1 preceding)""",
     "market_relative_return": _relative(""),
     "sector_relative_return": _relative("bucket"),
     "cross_section_sets": MIN

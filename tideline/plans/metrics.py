@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.hashing import economic_hash, hash_bucket, hash_chain, sequence_hash
 from tideline.functions.ints import SIGMOID_PPM, floor_div, half_away_div, half_even_div, isqrt, micro_units, mul_div, sigmoid_ppm, step_lookup, trunc_div, wide, wide_div
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, running_total
 from tideline.operators.quantiles import cume_share, lower_rank
 from tideline.session import table
 
@@ -154,10 +155,7 @@ def percentile_lower_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def integer_median(spark: SparkSession, d: str) -> DataFrame:
     """Median of quantity per venue, truncated mean of the two middles where the count is even."""
-    f = _fills(spark, d)
-    lo = lower_rank(f, ["venue_id"], "qty", {"lo": 1}, per=2)
-    c = lower_rank(f.withColumn("neg", -F.col("qty")), ["venue_id"], "neg", {"hi": 1}, per=2).withColumn("hi", -F.col("hi"))
-    return lo.join(c.select("venue_id", "hi"), "venue_id").select("venue_id", "n", trunc_div(F.col("lo") + F.col("hi"), 2).alias("median"))
+    return lower_rank(_fills(spark, d), ["venue_id"], "qty", {"lo": 1, "hi": (1, 1)}, per=2).select("venue_id", "n", trunc_div(F.col("lo") + F.col("hi"), 2).alias("median"))
 
 
 def cume_percentile(spark: SparkSession, d: str) -> DataFrame:
@@ -217,31 +215,45 @@ def mixture_moments(spark: SparkSession, d: str) -> DataFrame:
     return f.join(g, "order_id").groupBy("order_id", "mean").agg(trunc_div(F.sum(wide("w") * wide(F.col("s") * F.col("s") + e * e)), F.max("weight")).alias("variance"))
 
 
+#: Greatest weight of a member, in ppm.
+CAP = 400_000
+
+
 def capped_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of a nation's suppliers in ppm, none above a quarter; what the cap cuts off goes to the others once, and the rest is dealt by order to make a million."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.abs(F.col("s_acctbal")) * 100 + 1).cast("long").alias("raw"))
-    nation = Window.partitionBy("s_nationkey")
-    s = s.withColumn("w", F.least(F.lit(250_000).cast("long"), mul_div("raw", 1_000_000, F.sum("raw").over(nation))))
-    room = F.lit(250_000) - F.col("w")
-    s = s.withColumn("room", room).withColumn("spare", F.lit(1_000_000) - F.sum("w").over(nation)).withColumn("rooms", F.sum("room").over(nation))
-    s = s.withColumn("w2", F.col("w") + F.least(F.col("room"), F.coalesce(mul_div("room", "spare", "rooms"), F.lit(0).cast("long"))))
-    order = nation.orderBy("s_suppkey")
-    s = s.withColumn("residue", F.lit(1_000_000) - F.sum("w2").over(nation)).withColumn("i", F.row_number().over(order))
-    return s.select("s_suppkey", "s_nationkey", (F.col("w2") + F.when((F.col("i") <= F.col("residue")) & (F.col("w2") < 250_000), 1).otherwise(0)).alias("weight_ppm"))
+    """Weights of an order's lines by quantity, in ppm, none above the cap; no weights where the caps can't make a million.
+
+    As long as a share exceeds the cap it is capped and the rest is dealt anew by
+    score. In order of falling score the capped ones come first, so one pass of
+    running sums finds them; what truncation leaves over goes, one each, to the first
+    lines below the cap. Lines without a score get none.
+    """
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_suppkey") % 5 == 0, 0).otherwise(F.col("l_quantity").cast("long")).cast("long").alias("score"))  # noqa: E741
+    own = Window.partitionBy("l_orderkey")
+    order = own.orderBy(F.desc("score"), "l_linenumber", "l_partkey", "l_suppkey")
+    x = l.where("score > 0").withColumn("n", F.count(F.lit(1)).over(own)).where(F.col("n") * CAP >= 1_000_000)
+    x = x.withColumn("i", F.row_number().over(order)).withColumn("rest", F.sum("score").over(own) - F.coalesce(F.sum("score").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    left = F.lit(1_000_000) - (F.col("i") - 1) * CAP
+    over = (mul_div(F.col("score"), left, "rest") > CAP) & (left > 0)
+    x = x.withColumn("capped", F.min(over.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.sum("capped").over(own)).withColumn("s", F.sum(F.when(F.col("capped") == 0, F.col("score"))).over(own))
+    x = x.withColumn("w", F.when(F.col("capped") == 1, F.lit(CAP).cast("long")).otherwise(mul_div("score", F.lit(1_000_000) - F.col("k") * CAP, "s")))
+    x = x.withColumn("residue", F.lit(1_000_000) - F.sum("w").over(own)).withColumn("below", F.sum(F.when(F.col("w") < CAP, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    w = F.col("w") + F.when((F.col("w") < CAP) & (F.col("below") <= F.col("residue")), 1).otherwise(0)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", w.alias("weight_ppm"))
 
 
 def cleanup_to_target(spark: SparkSession, d: str) -> DataFrame:
     """Oldest orders of each priority until their value reaches a target."""
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    o = table(spark, d, "orders").withColumn("v", F.round(F.col("o_totalprice") * 100).cast("long"))
-    return o.withColumn("before", F.coalesce(F.sum("v").over(w), F.lit(0))).where("before < 5000000000").select("o_orderkey", "o_orderpriority", "before")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    key = ["o_orderpriority"]
+    r = running_total(o, key, "at", "upto", bucket_bounds(o, key, "at", BUCKET_ROWS), weight=F.col("v"), ties=["o_orderkey"])
+    return r.withColumn("before", F.col("upto") - F.col("v")).where("before < 5000000000").select("o_orderkey", "o_orderpriority", "before")
 
 
 def nearest_pick(spark: SparkSession, d: str) -> DataFrame:
     """The part of each brand and type whose price is nearest to the brand's mean."""
     p = table(spark, d, "part").withColumn("price", F.round(F.col("p_retailprice") * 100).cast("long"))
     m = p.groupBy("p_brand").agg(trunc_div(F.sum("price"), F.count(F.lit(1))).alias("mean"))
-    j = p.join(F.broadcast(m), "p_brand")
+    j = p.join(m, "p_brand")
     return j.groupBy("p_brand", "p_type").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("price") - F.col("mean")), "p_partkey")).alias("p_partkey"))
 
 
@@ -288,9 +300,10 @@ def linear_fit(spark: SparkSession, d: str) -> DataFrame:
 
 def running_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Observations accumulated per type: running count, sum and whether the running mean exceeds a bound."""
-    e = table(spark, d, "events").select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("long").alias("x"))
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("x").over(w))
+    e = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.round(F.col("value") * 100).cast("long").alias("x"))
+    key = ["event_type"]
+    bounds = bucket_bounds(e, key, "t", BUCKET_ROWS)
+    e = running_total(running_total(e, key, "t", "n", bounds, ties=["event_id"]), key, "t", "s", bounds, weight=F.col("x"), ties=["event_id"])
     return e.select("event_id", "n", "s", (F.col("s") > 1000 * F.col("n")).alias("exceeds"))
 
 
@@ -388,10 +401,15 @@ select order_id, cast(mean as bigint) as mean, cast(sum(cast(w as hugeint) * (s
     "ordered_digest": F_
     + """, h as (select order_id, list(sha256(part_id || '|' || qty || '|' || notional) order by line, part_id, venue_id, day, sha256(part_id || '|' || qty || '|' || notional)) as l from f group by 1)
 select order_id, sha256(array_to_string(l, '')) as sequence, list_reduce(l, lambda a, x: sha256(a || x), '') as chain from h""",
-    "capped_weights": """with s as (select s_suppkey, s_nationkey, cast(floor(abs(s_acctbal) * 100 + 1) as bigint) as raw from supplier),
-a as (select *, least(250000, raw * 1000000 // sum(raw) over (partition by s_nationkey)) as w from s), b as (select *, 250000 - w as room, 1000000 - sum(w) over (partition by s_nationkey) as spare, sum(250000 - w) over (partition by s_nationkey) as rooms from a),
-c as (select *, w + least(room, coalesce(case when rooms <> 0 then room * spare // rooms end, 0)) as w2 from b), e as (select *, 1000000 - sum(w2) over (partition by s_nationkey) as residue, row_number() over (partition by s_nationkey order by s_suppkey) as i from c)
-select s_suppkey, s_nationkey, cast(w2 + case when i <= residue and w2 < 250000 then 1 else 0 end as bigint) as weight_ppm from e""",
+    "capped_weights": f"""with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_suppkey % 5 = 0 then 0 else cast(l_quantity as bigint) end as score from lineitem),
+a as (select * from (select *, count(*) over (partition by l_orderkey) as n from l where score > 0) where n * {CAP} >= 1000000),
+b as (select *, row_number() over o as i, sum(score) over (partition by l_orderkey) - coalesce(sum(score) over (partition by l_orderkey order by score desc, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding), 0) as rest from a window o as (partition by l_orderkey order by score desc, l_linenumber, l_partkey, l_suppkey)),
+c as (select *, case when 1000000 - (i - 1) * {CAP} > 0 and score * (1000000 - (i - 1) * {CAP}) // rest > {CAP} then 1 else 0 end as over_ from b),
+d as (select *, min(over_) over (partition by l_orderkey order by score desc, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and current row) as capped from c),
+e as (select *, sum(capped) over (partition by l_orderkey) as k, sum(case when capped = 0 then score end) over (partition by l_orderkey) as s from d),
+f as (select *, case when capped = 1 then {CAP} else score * (1000000 - k * {CAP}) // s end as w from e),
+g as (select *, 1000000 - sum(w) over (partition by l_orderkey) as residue, sum(case when w < {CAP} then 1 else 0 end) over (partition by l_orderkey order by score desc, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and current row) as below from f)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(w + case when w < {CAP} and below <= residue then 1 else 0 end as bigint) as weight_ppm from g""",
     "cleanup_to_target": """select o_orderkey, o_orderpriority, cast(before as bigint) as before from (select *, coalesce(sum(cast(round(o_totalprice * 100) as bigint)) over (partition by o_orderpriority order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding), 0) as before from orders) where before < 5000000000""",
     "nearest_pick": """with p as (select *, cast(round(p_retailprice * 100) as bigint) as price from part), m as (select p_brand, sum(price) // count(*) as mean from p group by 1)
 select p_brand, p_type, p_partkey from p join m using (p_brand) qualify row_number() over (partition by p_brand, p_type order by abs(price - mean), p_partkey) = 1""",

@@ -497,12 +497,12 @@ select horizon, n, symbols, array_to_string(c, ',') as blocked_by, len(c) = 0 as
     + """, per as (select trading_date, bucket, symbol, market_id, session_id, sha256(string_agg(concat_ws('|', minute_ns, o_ticks, h_ticks, l_ticks, c_ticks, volume), chr(10) order by minute_ns)) as h, count(*) as n from m group by all)
 select trading_date, bucket, sha256(string_agg(h, chr(10) order by symbol, market_id, session_id)) as digest, cast(sum(n) as bigint) as observed, count(*) * 390 as expected from per group by 1, 2""",
     "json_bounds": """with e as (select event_id, repeat('{"a":[', cast(event_id % 5 as bigint)) || '{"k":' || event_id || '}' || repeat(']}', cast(event_id % 5 as bigint)) as j from events),
-f as (select event_id, cast(list_max(list_transform(generate_series(1, len(j)), lambda i: len(regexp_replace(j[1:i], '[^\[{]', '', 'g')) - len(regexp_replace(j[1:i], '[^\]}]', '', 'g')))) as integer) as depth, cast(len(j) as integer) as size from e)
+f as (select event_id, cast(list_max(list_transform(generate_series(1, len(j)), lambda i: len(regexp_replace(j[1:i], '[^\\[{]', '', 'g')) - len(regexp_replace(j[1:i], '[^\\]}]', '', 'g')))) as integer) as depth, cast(len(j) as integer) as size from e)
 select *, case when depth > 7 then 'TOO_DEEP' when size > 48 then 'TOO_LARGE' else 'OK' end as state from f""",
     "structured_redaction": "select o_orderkey, '[REDACTED]' as api_key, o_orderstatus as status, o_orderpriority as note, '[REDACTED]' as user_token from orders",
     "decimal_parts": """with o as (select o_orderkey, case when o_orderkey % 3 = 0 then printf('%.2f', o_totalprice) when o_orderkey % 3 = 1 then printf('-%.3f', o_totalprice) else o_orderkey || '00000000000' end as s from orders),
 p as (select *, len(regexp_replace(regexp_replace(s, '[^0-9]', '', 'g'), '^0+', '')) <= 12 as ok from o)
-select o_orderkey, case when ok then case when s[1] = '-' then -1 else 1 end * cast(regexp_replace(s, '[^0-9]', '', 'g') as bigint) end as coefficient, cast(case when ok then -len(regexp_extract(s, '\.([0-9]*)$', 1)) end as integer) as exponent from p""",
+select o_orderkey, case when ok then case when s[1] = '-' then -1 else 1 end * cast(regexp_replace(s, '[^0-9]', '', 'g') as bigint) end as coefficient, cast(case when ok then -len(regexp_extract(s, '\\.([0-9]*)$', 1)) end as integer) as exponent from p""",
     "rational_products": """with l as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) * 4 as n, cast(l_linenumber as bigint) * 6 * (cast(l_quantity as bigint) + 2) as d from lineitem)
 select l_orderkey, l_linenumber, n // gcd(n, d) as num, d // gcd(n, d) as den from l""",
     "event_flag_details": """with e as (select distinct record_id, lower(instrument_id) as i, event_time_ns as t, available_at_ns as a, valid_until_ns as b from temporal_feature_events where instrument_id is not null),

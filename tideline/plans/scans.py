@@ -36,10 +36,11 @@ def scan_ndjson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of a map from symbol to bars."""
+    """Pages of a map from symbol to bars, cut so that a page holds some hundred of them."""
     p = _place(spark, "pages")
     b = table(spark, d, "raw_bars")
-    page = b.groupBy("source_object_id", "symbol").agg(F.collect_list(F.struct("t", "o", "h", "l", "c", "v")).alias("x")).groupBy("source_object_id").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "x"))).alias("bars"))
+    cut = F.expr("bar_id div 500")
+    page = b.groupBy(cut.alias("page"), "symbol").agg(F.collect_list(F.struct("t", "o", "h", "l", "c", "v")).alias("x")).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "x"))).alias("bars"))
     page.select("bars").write.json(p)
     return feeds.scan(spark, "pages", p).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("c") * 100).cast("long")).alias("c"), F.sum("v").alias("v"))
 
@@ -47,7 +48,7 @@ def scan_pages(spark: SparkSession, d: str) -> DataFrame:
 def scan_columnar(spark: SparkSession, d: str) -> DataFrame:
     """Documents of parallel arrays, filtered by kind and date after the zip."""
     p = _place(spark, "columnar")
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("g"), F.struct(F.col("o_orderkey").alias("id"), F.coalesce("o_orderstatus", F.lit("")).alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("r"))
+    o = table(spark, d, "orders").select(F.expr("o_orderkey div 1000").alias("g"), F.struct(F.col("o_orderkey").alias("id"), F.coalesce("o_orderstatus", F.lit("")).alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("r"))
     g = o.groupBy("g").agg(F.collect_list("r").alias("r"))
     g.select(*(F.transform("r", _field(f)).alias(f) for f in ("id", "form", "day"))).write.json(p)
     rows = feeds.scan(spark, "columnar", p, fields={"id": "bigint", "form": "string", "day": "string"})
@@ -61,7 +62,7 @@ def _field(name: str):
 def scan_facts(spark: SparkSession, d: str) -> DataFrame:
     """Four levels of nested facts."""
     p = _place(spark, "facts")
-    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("entity"), F.col("l_returnflag").alias("taxonomy"), F.col("l_linestatus").alias("concept"), F.concat(F.lit("U"), F.col("l_linenumber") % 2).alias("unit"), F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("end"), F.col("l_quantity").cast("decimal(38,6)").alias("val"), F.lit("2024-01-01").alias("filed")).alias("o"))
+    li = table(spark, d, "lineitem").select(F.expr("l_orderkey div 1000").alias("entity"), F.col("l_returnflag").alias("taxonomy"), F.col("l_linestatus").alias("concept"), F.concat(F.lit("U"), F.col("l_linenumber") % 2).alias("unit"), F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("end"), F.col("l_quantity").cast("decimal(38,6)").alias("val"), F.lit("2024-01-01").alias("filed")).alias("o"))
     for keep, key, val in ((["entity", "taxonomy", "concept", "unit"], None, "o"), (["entity", "taxonomy", "concept"], "unit", "o"), (["entity", "taxonomy"], "concept", "o"), (["entity"], "taxonomy", "o")):
         li = li.groupBy(*keep).agg((F.collect_list(val) if key is None else F.map_from_entries(F.collect_list(F.struct(key, val)))).alias("o"))
     li.withColumnRenamed("o", "facts").write.json(p)
@@ -70,7 +71,7 @@ def scan_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_vintages(spark: SparkSession, d: str) -> DataFrame:
     p = _place(spark, "vintages")
-    o = table(spark, d, "orders").select((F.col("o_orderkey") % 16).alias("g"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("realtime_start"), F.lit("9999-12-31").alias("realtime_end"), F.when(F.col("o_orderkey") % 9 == 0, ".").otherwise(F.format_string("%.2f", "o_totalprice")).alias("value")).alias("o"))
+    o = table(spark, d, "orders").select(F.expr("o_orderkey div 1000").alias("g"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("realtime_start"), F.lit("9999-12-31").alias("realtime_end"), F.when(F.col("o_orderkey") % 9 == 0, ".").otherwise(F.format_string("%.2f", "o_totalprice")).alias("value")).alias("o"))
     o.groupBy("g").agg(F.collect_list("o").alias("observations")).select("observations").write.json(p)
     return feeds.scan(spark, "vintages", p).groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("present"), F.sum((F.col("value") * 100).cast("long")).alias("cents"), F.max("known_from").cast("string").alias("last_known"))
 

@@ -9,7 +9,9 @@ from tideline.functions.ints import isqrt, mul_div, trunc_div, wide, wide_div
 from tideline.functions.hashing import sampled_every
 from tideline.operators import books as BOOKS
 from tideline.operators import folds
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, running_total
 from tideline.operators.temporal import forward_asof, sequence_state
+from tideline.operators.temporal import missing_ranges as ranges_missing
 from tideline.session import table
 
 MICRO_HOUR = 3_600_000_000
@@ -121,15 +123,14 @@ def depth_validity(spark: SparkSession, d: str) -> DataFrame:
 
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
     """A feed that lost every 7th row and delivers every 11th late: state of each arrival."""
-    e = _events(spark, d).where("event_id % 7 <> 3").withColumn("arrival", F.col("event_id") + F.when(F.col("event_id") % 11 == 0, 5).otherwise(0)).withColumn("channel", F.col("event_id") % 1)
+    e = _events(spark, d).where("event_id % 7 <> 3").withColumn("arrival", F.col("event_id") + F.when(F.col("event_id") % 11 == 0, 5).otherwise(0)).withColumn("channel", F.lit(0)).select("channel", "arrival", "event_id")
     return sequence_state(e, ["channel"], ["arrival", "event_id"], "event_id").groupBy("sequence_state").agg(F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing"))
 
 
 def missing_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """The ranges of sequence numbers that never came, per user's own numbering bucket."""
-    e = _events(spark, d).where("event_id % 7 <> 3").withColumn("channel", F.expr("event_id div 1000"))
-    w = Window.partitionBy("channel").orderBy("event_id")
-    return e.withColumn("next", F.lead("event_id").over(w)).where("next > event_id + 1").select("channel", (F.col("event_id") + 1).alias("first_missing"), (F.col("next") - 1).alias("last_missing"))
+    """The ranges of sequence numbers that never came in each of four channels."""
+    e = _events(spark, d).where("event_id % 7 <> 3").select((F.col("event_id") % 4).alias("channel"), F.expr("event_id div 4").alias("sequence"))
+    return ranges_missing(e, ["channel"], "sequence")
 
 
 def feed_arbitration(spark: SparkSession, d: str) -> DataFrame:
@@ -237,8 +238,8 @@ def queue_allocation(spark: SparkSession, d: str) -> DataFrame:
     """A day's purchases fill its views in the order of price, then time: greedy by running sums."""
     e = _events(spark, d)
     supply = e.where("event_type = 'purchase'").groupBy("day").agg(F.sum("qty").alias("supply"))
-    w = Window.partitionBy("day").orderBy(F.desc("ticks"), "t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    o = e.where("event_type = 'view'").withColumn("before", F.coalesce(F.sum("qty").over(w), F.lit(0)))
+    o = e.where("event_type = 'view'").select("day", "event_id", "t", "qty", (-F.col("ticks")).alias("rank"))
+    o = running_total(o, ["day"], "rank", "upto", bucket_bounds(o, ["day"], "rank", BUCKET_ROWS), weight=F.col("qty"), ties=["t", "event_id"]).withColumn("before", F.col("upto") - F.col("qty"))
     return o.join(supply, "day", "left").select("event_id", F.greatest(F.lit(0).cast("long"), F.least(F.col("qty"), F.coalesce("supply", F.lit(0)) - F.col("before"))).alias("filled"))
 
 
@@ -370,7 +371,7 @@ select hour, cast(max(n) as integer) as n, bool_and(p is null or p < ticks) as o
 x as (select s, max(s) over (order by arrival, s rows between unbounded preceding and 1 preceding) as top from a)
 select case when top is null then 'FIRST' when s = top + 1 then 'NEXT' when s > top + 1 then 'GAP' when s = top then 'DUPLICATE' else 'OUT_OF_ORDER' end as sequence_state, count(*) as n, cast(sum(case when s > top + 1 then s - top - 1 else 0 end) as bigint) as missing from x group by 1""",
     "missing_ranges": E
-    + "select channel, event_id + 1 as first_missing, n - 1 as last_missing from (select event_id // 1000 as channel, event_id, lead(event_id) over (partition by event_id // 1000 order by event_id) as n from e where event_id % 7 <> 3) where n > event_id + 1",
+    + "select channel, s + 1 as first_missing, n - 1 as last_missing from (select event_id % 4 as channel, event_id // 4 as s, lead(event_id // 4) over (partition by event_id % 4 order by event_id) as n from e where event_id % 7 <> 3) where n > s + 1",
     "feed_arbitration": E
     + """, u as (select event_id, ticks, 'A' as feed from e where event_id % 5 <> 0 union all select event_id, ticks + case when event_id % 101 = 0 then 1 else 0 end, 'B' from e where event_id % 7 <> 0)
 select event_id, arg_min(ticks, feed) as ticks, string_agg(feed, '' order by feed) as feeds, count(distinct ticks) > 1 as conflict from u group by 1""",

@@ -71,15 +71,15 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where PYTHONPATH doesn't name its folder: Spark sends them a zip of it, once per context."""
     home = Path(__file__).resolve().parent.parent
-    if str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or id(spark.sparkContext) in _SHIPPED:
+    if str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _SHIPPED:
         return
     d = tempfile.mkdtemp(prefix="tideline-zip-")  # on the driver; Spark's file server reads it as long as the context lives
     atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/tideline", "zip", home, "tideline"))
-    _SHIPPED.add(id(spark.sparkContext))
+    _SHIPPED.add(spark.sparkContext.applicationId)

@@ -53,6 +53,9 @@ SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+")
 ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+", re.I)
 #: Numbers, and identifiers of at least seven hexadecimal digits or after req-.
 NUMBER = re.compile(r"\b(?:req-)?[0-9a-fA-F]{7,}\b|\breq-\d+\b|\d+(?:[.,:]\d+)*")
+#: Without one of these a number is digits and nothing else.
+LONG = re.compile(r"[0-9a-fA-F]{7}|req-")
+DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 DIGIT = re.compile(r"\d")
 WORD = re.compile(r"[^\W\d_]+")
 #: Months and weekdays in English, Spanish and French; those that are other words too only with a capital.
@@ -68,6 +71,7 @@ DATE_WORDS = frozenset(name + mark for name in DATE_NAMES for mark in ("", ",",
 BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]{3,10})(\.?,?[ /-](?:(?:de|of|del|the|el|le) )?)0(?:st|nd|rd|th|er|º)?(?!\w)", re.I)
 AFTER = re.compile(r"\b0(?:st|nd|rd|th|er|º|o)?,?[ /-](?:(?:de|of|del) )?([^\W\d_]{3,10})(?![^\W\d_])\.?", re.I)
 SEVERAL = re.compile(r"\b0(?:st|nd|rd|th|er|º|o)?(?:(?:,? (?:(?:de|of|del) )?|[/-])0\b)+", re.I)
+COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
@@ -87,7 +91,7 @@ def mask(sentence: str) -> str:
     if "@" in s or "://" in s or "www." in s.lower():
         s = ADDRESS.sub("address", s)
     if DIGIT.search(s):
-        s = " ".join(NUMBER.sub(_number, s).split())
+        s = " ".join((NUMBER.sub(_number, s) if LONG.search(s) else DIGITS.sub("0", s)).split())
         if not DATE_WORDS.isdisjoint(s.lower().replace("-", " ").replace("/", " ").split()):
             s = SEVERAL.sub("0", AFTER.sub(_dated, BEFORE.sub(_dated, s)))
     return " ".join(s.split())
@@ -97,7 +101,7 @@ def fold(s: str) -> str:
     """Lower case without accents and outer punctuation, straight quotes."""
     s = s.replace("’", "'").replace("‘", "'").replace("“", '"').replace("”", '"')
     if not s.isascii():
-        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        s = COMBINING.sub("", unicodedata.normalize("NFKD", s))
     return s.casefold().strip(" \t.!?…*_~-:;>")
 
 
@@ -382,7 +386,7 @@ def _labelled(said: DataFrame, known: DataFrame) -> DataFrame:
     #: Rows that are labelled already, whatever their number, get keys of their own and meet nothing.
     at = F.when(F.col("class").isNull(), F.col("m")).otherwise(F.struct(F.col("m.a"), F.xxhash64("doc_id").alias("b")))
     joined = first.withColumn("at", at).join(cold, (F.col("at") == F.col("cm")) & F.col("class").isNull(), "left")
-    return joined.select("doc_id", "source", "text", "rest", F.coalesce("class", "cc", F.lit("content")).alias("class"), F.coalesce("wide", "cw", F.lit(False)).alias("wide"), F.coalesce("k", "ck").alias("k"))
+    return joined.select("doc_id", "text", "rest", F.coalesce("class", "cc", F.lit("content")).alias("class"), F.coalesce("wide", "cw", F.lit(False)).alias("wide"), F.coalesce("k", "ck").alias("k"))
 
 
 def residue_messages(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -446,7 +450,7 @@ def residue_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     Extra columns are ignored. However often one text is copied, its sentences don't count as messages of a site.
     """
     said, distinct = residue_messages(documents, text)
-    labelled = _labelled(said.select("doc_id", "source", "text", "rest", "m"), distinct)
+    labelled = _labelled(said.select("doc_id", "text", "rest", "m"), distinct)
     unknown = (F.col("class") == "content") & F.col("wide")
     has = lambda c: F.max((F.col("class") == c).cast("int"))
     per_doc = durable(

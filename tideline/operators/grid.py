@@ -14,6 +14,10 @@ def clean_symbol(c: Column | str) -> Column:
     return F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
+#: Buckets that one array holds at most.
+BLOCK = 10_000
+
+
 def regular_grid(readings: DataFrame, sessions: DataFrame, step_ns: int = MINUTE, max_gap: int = 5) -> DataFrame:
     """One row for each bucket of each subscribed session.
 
@@ -42,7 +46,10 @@ def regular_grid(readings: DataFrame, sessions: DataFrame, step_ns: int = MINUTE
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("b") > F.col("a")) & F.col("symbol").isNotNull())
         .distinct()
     )
-    grid = spans.select("symbol", "session_id", "a", F.explode(F.sequence("a", F.col("b") - 1, F.lit(step_ns))).alias("minute_start_ns")).withColumn(
+    #: In two steps, so that even a session with an absurd close makes no array of more than ``BLOCK`` buckets, or blocks.
+    blocks = spans.withColumn("c", F.explode(F.sequence("a", F.col("b") - 1, F.lit(step_ns * BLOCK))))
+    upto = F.least(F.col("b") - 1, F.col("c") + F.lit(step_ns * (BLOCK - 1)))
+    grid = blocks.select("symbol", "session_id", "a", F.explode(F.sequence("c", upto, F.lit(step_ns))).alias("minute_start_ns")).withColumn(
         "phase", F.pmod("a", F.lit(step_ns))
     )
     read = readings.select(clean_symbol("symbol").alias("symbol"), instant_ns("event_time_ns").alias("t"), "open_ticks", "reading_id").where(

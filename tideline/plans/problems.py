@@ -125,6 +125,13 @@ r as (select distinct upper(trim(symbol)) as symbol, t - t % 60000000000 as m fr
   select symbol, open_ticks, case when event_time_ns < 100000000000 then event_time_ns * 1000000000 when event_time_ns < 100000000000000 then event_time_ns * 1000000
     when event_time_ns < 100000000000000000 then event_time_ns * 1000 else event_time_ns end as t from minute_readings) where open_ticks > 0)
 select distinct symbol, m as minute_start_ns from g anti join r using (symbol, m)""",
+    "p3_grid": """with s as (select distinct upper(trim(source_ticker)) as symbol, session_id, session_open_exchange_time_ns as a, session_close_exchange_time_ns as b from session_summaries),
+g as (select symbol, session_id, a, unnest(range(a, b, 60000000000)) as m from s),
+r as (select upper(trim(symbol)) as symbol, open_ticks, reading_id, case when event_time_ns < 100000000000 then event_time_ns * 1000000000 when event_time_ns < 100000000000000 then event_time_ns * 1000000
+    when event_time_ns < 100000000000000000 then event_time_ns * 1000 else event_time_ns end as t from minute_readings where open_ticks > 0),
+o as (select g.symbol, session_id, a, m, count(t) as n, arg_max(open_ticks, (t, reading_id)) as open_ticks from g left join r on r.symbol = g.symbol and t - (t - a % 60000000000) % 60000000000 = m group by all),
+f as (select *, last_value(case when n > 0 then {'m': m, 'v': open_ticks} end ignore nulls) over (partition by symbol, session_id, a order by m rows between unbounded preceding and current row) as l from o)
+select symbol, session_id, m as minute_start_ns, n, open_ticks, case when m - l.m <= 300000000000 then l.v end as filled_ticks, case when n > 0 then 'observed' when m - l.m <= 300000000000 then 'filled' else 'missing' end as state from f""",
     "p4_found": """with e as (
   select record_id, lower(payload.instrument_id) as i, event_time_ns as t, coalesce(available_at_ns, greatest(processing_time_ns, revision_time_ns)) as k from records
   union select record_id, lower(instrument_id), event_time_ns, available_at_ns from temporal_feature_events)

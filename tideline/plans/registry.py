@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import bars, metrics, models, pit, problems, reference, scans, streams, texts
+from tideline.plans import bars, intake, market, metrics, models, pit, problems, reference, scans, streams, texts
 
-MODULES = (problems, bars, pit, reference, models, streams, metrics, texts, scans)
+MODULES = (problems, bars, pit, reference, models, market, streams, metrics, texts, scans, intake)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,29 +92,33 @@ def scan_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_journal(spark: SparkSession, d: str) -> DataFrame:
-    """Framed binary segments of the 25 nations, one segment cut and one spoiled."""
+    """Framed binary segments of a thousand orders each, written in tasks; of five segments one is cut and one spoiled at its end."""
     p = _place(spark, "journal")
-    names = [r[0] for r in table(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]
-    segments = []
-    for k in range(5):
-        data = bytearray(feeds.journal_bytes([x.encode() for x in names[k * 5 : k * 5 + 5]], k * 5))
-        if k == 2:
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow.fs import FileSystem
+
+        k = int(pdf["segment"].iloc[0])
+        data = bytearray(feeds.journal_bytes([f"{x:08d}".encode() for x in sorted(pdf["o_orderkey"])], k * 1000))
+        if k % 5 == 2:
             data = data[:-5]
-        if k == 3:
+        if k % 5 == 3:
             data[-1] ^= 1
-        segments.append((f"seg-{k}", data))
-    fs, _ = sinks._fs(spark, p)
-    for name, data in segments:
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/{name}"), True)
-        out.write(data)
-        out.close()
+        fs, path = FileSystem.from_uri(p)
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/seg-{k}") as out:
+            out.write(bytes(data))
+        return pd.DataFrame({"segment": [k]})
+
+    o = table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 1000").alias("segment"))
+    o.groupBy("segment").applyInPandas(write, "segment long").count()
     return feeds.scan(spark, "journal", p).select("segment", "sequence", "state")
 
 
 def scan_verified(spark: SparkSession, d: str) -> DataFrame:
-    """A parquet scan with a stated schema, pushed predicate and checked order."""
+    """A parquet scan with a stated schema and checked order of all rows."""
     rows = feeds.verified_parquet(spark, f"{d}/events.parquet", "event_id bigint, user_id bigint, value double", "user_id", "event_id")
-    return rows.where("user_id < 10").select("event_id", "user_id")
+    return rows.select("event_id", "user_id")
 
 
 def synthetic_source(spark: SparkSession, d: str) -> DataFrame:
@@ -131,18 +136,19 @@ def dated_universe(spark: SparkSession, d: str) -> DataFrame:
 def published_dataset(spark: SparkSession, d: str) -> DataFrame:
     """A data set published twice under one key: written once, its manifest returned again."""
     p = _place(spark, "published")
-    df = table(spark, d, "nation")
-    first = sinks.publish(df, p, {"table": "nation", "version": 1})
-    again = sinks.publish(df.limit(0), p, {"table": "nation", "version": 1})
+    df = table(spark, d, "orders")
+    first = sinks.publish(df, p, {"table": "orders", "version": 1})
+    again = sinks.publish(df.limit(0), p, {"table": "orders", "version": 1})
     return spark.read.parquet(f"{p}/data").agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(first["rows"]).alias("rows"), F.lit(first == again).alias("same"))
 
 
 def report_sink(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as JSON documents with their own hash, written, read and checked."""
+    """Parts as JSON documents with their own hash, written, read, decoded and checked."""
     p = _place(spark, "report")
-    sinks.report_json(table(spark, d, "nation"), "n_name", "n_nationkey").write.json(p)
+    sinks.report_json(table(spark, d, "part"), "p_partkey", "p_name", "p_size").write.json(p)
     r = spark.read.schema("document string, sha256 string").json(p)
-    return r.select(F.get_json_object("document", "$.n_name").alias("n_name"), (F.sha2("document", 256) == F.col("sha256")).alias("authentic"))
+    back = F.from_json("document", "p_partkey bigint, p_name string, p_size int")
+    return r.where(F.sha2("document", 256) == F.col("sha256")).select(back.alias("r")).select("r.*")
 
 
 def upsert_minimum(spark: SparkSession, d: str) -> DataFrame:
@@ -247,12 +253,13 @@ SQL = {
     "scan_csv": "select s_suppkey, s_name, s_nationkey from supplier",
     "scan_symbols": """with s as (select trim(symbol) as s, count(*) as n, regexp_full_match(trim(symbol), '[A-Z][A-Z0-9.]{0,9}') as ok from (select distinct symbol from minute_readings) group by 1)
 select case when ok then 'OK' else 'INVALID' end as state, count(*) as symbols from s group by 1 union all select 'DUPLICATE', count(*) from s where ok and n > 1 having count(*) > 0""",
-    "scan_journal": "select 'seg-' || k as segment, k * 5 + i as sequence, case when k = 2 and i = 4 then 'TORN' when k = 3 and i = 4 then 'BAD_CHECKSUM' else 'OK' end as state from (select unnest(range(5)) as k), (select unnest(range(5)) as i)",
-    "scan_verified": "select event_id, user_id from events where user_id < 10",
+    "scan_journal": """select 'seg-' || k as segment, k * 1000 + i - 1 as sequence, case when i < n then 'OK' when k % 5 = 2 then 'TORN' when k % 5 = 3 then 'BAD_CHECKSUM' else 'OK' end as state
+  from (select o_orderkey // 1000 as k, row_number() over (partition by o_orderkey // 1000 order by o_orderkey) as i, count(*) over (partition by o_orderkey // 1000) as n from orders)""",
+    "scan_verified": "select event_id, user_id from events",
     "synthetic_source": "select unnest(['AAA', 'BBB']) as symbol, 10::bigint as sessions, 300::bigint as minutes, 0::bigint as broken",
     "dated_universe": "select symbol, strftime(day, '%Y-%m-%d') as day from (select distinct upper(trim(source_ticker)) as symbol from session_summaries), (select unnest(generate_series(timestamp '2011-01-01', timestamp '2011-02-15', interval 1 day)) as day) where isodow(day) < 6",
-    "published_dataset": "select count(*) as n, cast(count(*) as integer) as rows, true as same from nation",
-    "report_sink": "select n_name, true as authentic from nation",
+    "published_dataset": "select count(*) as n, cast(count(*) as integer) as rows, true as same from orders",
+    "report_sink": "select p_partkey, p_name, p_size from part",
     "upsert_minimum": "select o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day, min(o_orderkey) as o_orderkey, count(*) as seen from (select * from orders where o_orderkey % 2 = 0 union all select * from orders where o_orderkey % 3 = 0) group by 1, 2",
     "retention_plan": """with g as (select event_type, cast(ts as date) as day, count(*) as n from events group by 1, 2)
 select event_type, cast(day as varchar) as day, n from (select *, row_number() over (partition by event_type order by day desc) as age, coalesce(sum(n) over (partition by event_type order by day desc rows between unbounded preceding and 1 preceding), 0) as newer from g) where age > 5 and newer >= 100""",

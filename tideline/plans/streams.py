@@ -411,3 +411,52 @@ select event_id, cast(greatest(0, least(qty, coalesce(supply, 0) - b)) as bigint
     "cache_latest": E + f"select user_id, event_type, case when (select max(t) from e) - max(t) <= {3 * SPAN} then arg_max(ticks, t) end as hit_ticks from e group by 1, 2",
     "first_wins": E + "select user_id, event_type, arg_min(event_id, t) as first_id, count(*) - 1 as duplicates from e group by 1, 2",
 }
+
+_REC = E.replace("with e as", "with recursive e as", 1)
+_O = "o as (select *, row_number() over (partition by user_id order by t, event_id) as i from {})"
+
+
+def _tz(a: str, b: int) -> str:
+    """Quotient toward zero."""
+    return f"(sign({a}) * (abs({a}) // {b}))"
+
+
+_SIGNED = "f as (select *, case when event_type = 'purchase' then qty else -qty end as q, ticks * qty as notional from e where event_type in ('purchase', 'error') and qty > 0)"
+_CLOSING, _ALLOC = "least(abs(o.q), abs(k.position))", "(abs(k.cost) * least(abs(o.q), abs(k.position)) // greatest(1, abs(k.position)))"
+_PROC = "(o.notional * least(abs(o.q), abs(k.position)) // abs(o.q))"
+_SAME = "(k.position = 0 or (k.position > 0) = (o.q > 0))"
+#: The folds as recursive SQL, row by row of each user.
+SQL |= {
+    "ema_fold": _REC
+    + ", "
+    + _O.format("e")
+    + f""", k as (select user_id, i, event_id, cast(ticks as bigint) as mean, cast(0 as bigint) as variance from o where i = 1 union all
+  select o.user_id, o.i, o.event_id, cast(k.mean + {_tz('(o.ticks - k.mean)', 8)} as bigint), cast({_tz('(7 * (k.variance + ' + _tz('((o.ticks - k.mean) * (o.ticks - k.mean))', 8) + '))', 8)} as bigint) from k join o on o.user_id = k.user_id and o.i = k.i + 1)
+select user_id, event_id, mean, variance from k""",
+    "rate_limit_admit": _REC
+    + ", "
+    + _O.format("e")
+    + f""", k as (select user_id, i, event_id, true as admitted, [t] as kept from o where i = 1 union all
+  select o.user_id, o.i, o.event_id, len(list_filter(k.kept, lambda x: o.t - x < {SPAN})) < 3, case when len(list_filter(k.kept, lambda x: o.t - x < {SPAN})) < 3 then list_append(list_filter(k.kept, lambda x: o.t - x < {SPAN}), o.t) else list_filter(k.kept, lambda x: o.t - x < {SPAN}) end
+  from k join o on o.user_id = k.user_id and o.i = k.i + 1)
+select user_id, event_id, admitted from k""",
+    "hysteresis_fold": _REC
+    + ", "
+    + _O.format("e")
+    + f""", w as (select *, case when ticks > 2000 then 'HIGH' when ticks < 500 then 'LOW' end as want from o),
+k as (select user_id, i, event_id, coalesce(want, 'LOW') as state, case when want = 'HIGH' then t end as since from w where i = 1 union all
+  select w.user_id, w.i, w.event_id, case when coalesce(want, state) <> state and (since is null or w.t - since >= {MICRO_HOUR}) then want else state end, case when coalesce(want, state) <> state and (since is null or w.t - since >= {MICRO_HOUR}) then w.t else since end
+  from k join w on w.user_id = k.user_id and w.i = k.i + 1)
+select user_id, event_id, state from k""",
+    "average_cost_fold": _REC
+    + f", {_SIGNED}, "
+    + _O.format("f")
+    + f""", k as (select user_id, i, event_id, q as position, case when q > 0 then notional else -notional end as cost, cast(-1 as bigint) as realised from o where i = 1 union all
+  select o.user_id, o.i, o.event_id, k.position + o.q,
+    case when {_SAME} then k.cost + case when o.q > 0 then o.notional else -o.notional end
+      when abs(o.q) > {_CLOSING} then case when o.q > 0 then o.notional - {_PROC} else -(o.notional - {_PROC}) end
+      when k.position + o.q = 0 then 0 when k.position > 0 then k.cost - {_ALLOC} else k.cost + {_ALLOC} end,
+    cast(k.realised - 1 + case when {_SAME} then 0 when k.position > 0 then {_PROC} - {_ALLOC} else {_ALLOC} - {_PROC} end as bigint)
+  from k join o on o.user_id = k.user_id and o.i = k.i + 1)
+select user_id, event_id, position, cost, realised from k""",
+}

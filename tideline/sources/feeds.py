@@ -133,6 +133,32 @@ def verified_parquet(spark: SparkSession, path: str, schema: str, key: str, orde
     return checked.where(F.assert_true("__ok", F.lit(f"{order} repeats within {key}")).isNull()).drop("__ok")
 
 
+def by_name():
+    """A window over the files of one folder by name; a row per file."""
+    from pyspark.sql import Window
+
+    return Window.orderBy("file")
+
+
+def file_digests(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
+    """file, bytes and SHA-256 of each file of a folder; a file is read by one task and must fit into it (Spark's limit is 2 GB)."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def authenticated(spark: SparkSession, folder: str, manifest: DataFrame, schema) -> DataFrame:
+    """The folder's parquet rows with ``file`` and ``state``: AUTHENTIC where the file's hash and size are the manifest's, ALTERED, or UNLISTED.
+
+    ``manifest``: file, bytes, sha256. A state joins to files, not to rows' contents,
+    so column pruning and predicates still reach the scan.
+    """
+    told = file_digests(spark, folder).join(manifest.select("file", F.col("bytes").alias("b"), F.col("sha256").alias("h")), "file", "left")
+    state = F.when(F.col("h").isNull(), "UNLISTED").when((F.col("h") == F.col("sha256")) & (F.col("b") == F.col("bytes")), "AUTHENTIC").otherwise("ALTERED")
+    files = told.select("file", state.alias("state"))
+    rows = spark.read.schema(schema).parquet(folder).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return rows.join(files, "file")
+
+
 class _BarPartition(InputPartition):
     def __init__(self, symbol: str, day: str):
         self.symbol, self.day = symbol, day

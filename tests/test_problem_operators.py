@@ -333,22 +333,26 @@ def test_grid(spark):
     assert regular_grid(spark.createDataFrame([], READ), spark.createDataFrame(sessions, SESS)).where("state = 'missing'").count() == 13
 
 
-def test_latest_valid_random(monkeypatch):
-    import tideline.operators.versions as module
-
+def test_latest_valid_random():
     rng = np.random.default_rng(3)
-    for cells in (2_000_000, 7):
-        monkeypatch.setattr(module, "CELLS", cells)
-        for _ in range(60):
-            n, k = int(rng.integers(0, 15)), 40
-            start = rng.integers(0, 30, n)
-            end = np.where(rng.random(n) < 0.3, np.iinfo(np.int64).max, start + rng.integers(0, 12, n))
-            avail, rank = rng.integers(0, 30, n), rng.permutation(n)
-            t, known = rng.integers(-2, 35, k), rng.integers(-2, 35, k)
-            got = latest_valid(t, known, start, end, avail, rank)
-            for i in range(k):
-                ok = [j for j in range(n) if avail[j] <= known[i] and start[j] <= t[i] < end[j]]
-                assert got[i] == (max(ok, key=lambda j: rank[j]) if ok else -1)
+    for trial in range(300):
+        n, k, span = int(rng.integers(0, 40)), 60, (30, 300)[trial % 2]
+        start = rng.integers(0, span, n)
+        end = np.where(rng.random(n) < 0.3, np.iinfo(np.int64).max, start + rng.integers(-1, span // 2, n))
+        avail, rank = rng.integers(0, 30, n), rng.permutation(n)
+        t, known = rng.integers(-2, span + 5, k), rng.integers(-2, 35, k)
+        got = latest_valid(t, known, start, end, avail, rank)
+        for i in range(k):
+            ok = [j for j in range(n) if avail[j] <= known[i] and start[j] <= t[i] < end[j]]
+            assert got[i] == (max(ok, key=lambda j: rank[j]) if ok else -1)
+
+
+def test_latest_valid_with_many_overlaps():
+    """A hundred thousand revisions that all overlap, within a second or so and without a table of their pairs."""
+    n = 100_000
+    i = np.arange(n)
+    got = latest_valid(np.array([n - 1, n, 2 * n]), np.array([n, n // 2, 0]), i, 4 * n - i, i, i)
+    assert got.tolist() == [n - 1, n // 2, 0]
 
 
 def test_attributes_at_event(spark):

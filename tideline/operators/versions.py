@@ -11,50 +11,62 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 100_000
 #: Entities that can be hot at most: of N events, one is hot only beyond N / ``HOT`` of them.
 HOT = 100_000
-#: Cells of the (segment, revision) table that are held at once.
-CELLS = 2_000_000
 _OPEN = np.iinfo(np.int64).max
 
 
 def latest_valid(t: np.ndarray, known: np.ndarray, start: np.ndarray, end: np.ndarray, available: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For each event the index of the revision of highest rank with available <= known and start <= t < end; -1 for none.
 
-    The revisions' bounds cut time into segments. Within a segment the revisions
-    in force, ordered by availability, carry the running maximum of rank; an
-    event is answered by one binary search for (segment, availability). Segments
-    are worked off in blocks, so that overlapping revisions don't fill memory.
+    The revisions' bounds cut time into segments, over which lies a binary tree. A
+    revision stands at the fewest nodes that cover its interval, at most two a level;
+    at a node revisions are ordered by availability and carry the running maximum of
+    rank. An event asks the nodes above its segment, each by one binary search for
+    (node, availability). So n revisions take n log n cells, however they overlap.
     """
     out = np.full(len(t), -1, np.int64)
     n = len(start)
     if not n or not len(t):
         return out
     bounds = np.unique(np.r_[start, end[end != _OPEN]])
-    seg = np.searchsorted(bounds, t, "right") - 1
-    lo, hi = np.searchsorted(bounds, start), np.where(end == _OPEN, len(bounds), np.searchsorted(bounds, end))
-    moments = np.unique(available)
-    m = len(moments) + 1
-    when = np.searchsorted(moments, available) + 1
-    asked = np.searchsorted(moments, known, "right")
+    size = 1 << int(len(bounds) - 1).bit_length()
+    left, right = np.searchsorted(bounds, start) + size, np.where(end == _OPEN, len(bounds), np.searchsorted(bounds, end)) + size
     by_rank = np.argsort(rank, kind="stable")
     place = np.empty(n, np.int64)
     place[by_rank] = np.arange(n)
-    block = max(1, CELLS // n)
-    for a in range(0, len(bounds), block):
-        b = min(a + block, len(bounds))
-        f, g = np.clip(lo, a, b), np.clip(hi, a, b)
-        count = np.maximum(g - f, 0)
-        rev = np.repeat(np.arange(n), count)
-        if not len(rev):
-            continue
-        s = f[rev] + np.arange(len(rev)) - np.repeat(np.cumsum(count) - count, count)
-        order = np.lexsort((when[rev], s))
-        rev, s = rev[order], s[order]
-        best = np.maximum.accumulate(s * n + place[rev]) % n
-        key = s * m + when[rev]
-        mine = np.flatnonzero((seg >= a) & (seg < b))
-        at = np.searchsorted(key, seg[mine] * m + asked[mine], "right") - 1
-        hit = (at >= 0) & (s[np.maximum(at, 0)] == seg[mine])
-        out[mine[hit]] = by_rank[best[at[hit]]]
+    nodes, holders, live = [], [], np.flatnonzero(left < right)
+    while len(live):
+        odd = live[left[live] % 2 == 1]
+        nodes.append(left[odd])
+        holders.append(odd)
+        left[odd] += 1
+        odd = live[right[live] % 2 == 1]
+        right[odd] -= 1
+        nodes.append(right[odd])
+        holders.append(odd)
+        left[live] //= 2
+        right[live] //= 2
+        live = live[left[live] < right[live]]
+    node, rev = np.concatenate(nodes or [out[:0]]), np.concatenate(holders or [out[:0]])
+    if not len(node):
+        return out
+    moments = np.unique(available)
+    m = len(moments) + 1
+    when = np.searchsorted(moments, available)[rev] + 1
+    order = np.lexsort((when, node))
+    node, rev = node[order], rev[order]
+    key = node * m + when[order]
+    best = np.maximum.accumulate(node * n + place[rev]) - node * n
+    asked = np.searchsorted(moments, known, "right")
+    at_node = np.searchsorted(bounds, t, "right") - 1 + size
+    at_node[t < bounds[0]] = 0
+    top = np.full(len(t), -1, np.int64)
+    while (at_node > 0).any():
+        at = np.searchsorted(key, at_node * m + asked, "right") - 1
+        hit = (at >= 0) & (node[np.maximum(at, 0)] == at_node) & (at_node > 0)
+        top[hit] = np.maximum(top[hit], best[at[hit]])
+        at_node //= 2
+    found = top >= 0
+    out[found] = by_rank[top[found]]
     return out
 
 

@@ -10,7 +10,7 @@ from tideline.functions import options as O
 from tideline.functions.ints import clamp, mul_div, trunc_div
 from tideline.operators import folds
 from tideline.operators.scoring import ordered_batches, score_batches
-from tideline.plans.streams import E, MICRO_HOUR, SPAN, _events
+from tideline.plans.streams import _O, _REC, E, MICRO_HOUR, SPAN, _events
 from tideline.session import table
 
 PPM = 1_000_000
@@ -368,6 +368,14 @@ select event_id, cast(greatest(0, least(qty, coalesce(shown, 0) - before)) as bi
 v as (select *, 1 as v from l union all select l_orderkey, l_linenumber, l_partkey, q + 1, buy, 2 from l where l_orderkey % 5 = 0 union all select l_orderkey, l_linenumber, l_partkey, 0, buy, 3 from l where l_orderkey % 35 = 0),
 x as (select * from v qualify row_number() over (partition by l_orderkey, l_linenumber, l_partkey order by v desc, q desc, buy desc) = 1)
 select l_partkey as part_id, cast(sum(case when buy then q else -q end) as bigint) as position, count(*) filter (q > 0) as fills from x group by 1""",
+    "backtest_equity": _REC
+    + ", "
+    + _O.format("e")
+    + """, k as (select user_id, i, event_id, cast(0 as bigint) as action, cast(0 as bigint) as position, cast(0 as bigint) as cash, cast(ticks as bigint) as price, [ticks] as seen from o where i = 1 union all
+  select user_id, i, event_id, act, position + act, cast(cash - act * ticks as bigint), ticks, list_append(seen, ticks)[-4:] from (
+    select o.user_id, o.i, o.event_id, o.ticks, k.position, k.cash, k.seen, cast(case when o.ticks < list_sum(k.seen) // len(k.seen) and k.position < 3 then 1 when o.ticks > list_sum(k.seen) // len(k.seen) and k.position > -3 then -1 else 0 end as bigint) as act
+    from k join o on o.user_id = k.user_id and o.i = k.i + 1))
+select user_id, event_id, action, position, cast(cash + position * price as bigint) as equity from k""",
     "clock_quality": E
     + f""", a as (select event_id, user_id, t, ticks % 1000 as offset_, t // {7 * SPAN} as source from e),
 b as (select *, case when offset_ >= 950 then 'UNSAFE' when offset_ > 850 then 'DEGRADED' end as bad, coalesce(lag(source) over ({_W}) <> source, false) as changed from a),

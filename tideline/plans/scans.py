@@ -191,9 +191,10 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_reordered(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of four channels, some lost, as they came by their time; in sequence again, with the gaps told."""
+    """Rows of four channels, some lost, as they came by their time; in sequence again, with the gaps told, and what still waits at the end."""
     rows = _stream(spark, d).where("event_id % 50 <> 7").select((F.col("event_id") % 4).alias("channel"), F.expr("event_id div 4").alias("sequence"), F.col("event_type").alias("payload"), "ts")
-    return live.run_to_table(live.reordered(rows, arrival=["ts"]), "reordered")
+    base = live.place(spark, "reordered")
+    return live.run_to_table(live.reordered(rows, arrival=["ts"]), "reordered", base=base).unionByName(live.waiting(spark, base))
 
 
 QUERIES = {
@@ -266,6 +267,10 @@ select event_type, cast(day as varchar) as day, n from (select *, row_number() o
     "repaired_prefix": "select user_id, count(*) as kept from (select user_id, max(case when event_type = 'error' and value > 15 then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as bad from events) where bad = 0 group by 1",
     "stream_window_counts": "select epoch_us(date_trunc('hour', ts)) as start_us, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as ticks from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by 1, 2",
     "stream_dedup": "select event_id, user_id from events",
+    "stream_reordered": """with p as (select event_id % 4 as channel, event_id // 4 as s, event_type as payload from events where event_id % 50 <> 7),
+n as (select *, lead(s) over (partition by channel order by s) as nx, count(*) over (partition by channel order by s desc rows between unbounded preceding and 1 preceding) as later from p),
+g as (select channel, s + 1 as a, nx - s - 1 as k, later from n where nx > s + 1), stop as (select channel, min(a) as a from g where later <= 32 group by 1)
+select channel, s as sequence, payload, case when s > stop.a then 'WAITING' else 'OK' end as state from p left join stop using (channel) union all select channel, a, cast(k as varchar), 'GAP' from g where later > 32""",
     "calendar_variance": """with o as (select p_partkey % 2 = 0 as call, 70.0::double + p_size as strike, (p_partkey % 12 + 1) / 12.0::double as years, max(0.1::double + (p_partkey % 40) / 100.0::double) as vol from part group by 1, 2, 3)
 select call, count(*) as breaches from (select call, vol * vol * years as v, lag(vol * vol * years) over (partition by call, strike order by years) as p from o) where v < p - 1e-15 group by 1""",
     "strike_convexity": """with o as (select p_brand as expiry, p_size as k, min(cast(round(p_retailprice * 100) as bigint)) as price from part group by 1, 2),

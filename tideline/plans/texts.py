@@ -190,6 +190,9 @@ SQL = {
     "rule_classification": "with k as (select doc_id, text, case " + " ".join(f"when regexp_matches(text, '{p}') then '{label}'" for p, label in EVENT_RULES) + " end as event_type from documents where text is not null and lang in ('en', 'und')) select doc_id, event_type, cast(case event_type "
     + " ".join(f"when '{k}' then {v}" for k, v in MATERIALITY.items())
     + f" end as integer) as materiality_ppm, cast(case when regexp_matches(text, '{PERCENT}') then 850000 else 500000 end as integer) as relevance_ppm, cast(case when regexp_matches(text, '{X.INSTRUCTIONS}') then 700000 else 300000 end as integer) as uncertainty_ppm from k where event_type is not null",
+    "stable_hashes": """select doc_id, case when text is not null then cast(case when h >= 9223372036854775808 then cast(h as hugeint) - 18446744073709551616 else cast(h as hugeint) end as bigint) end as fnv from (
+  select doc_id, text, list_reduce(list_prepend(cast(14695981039346656037 as uhugeint), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: cast(cast('0x' || b as integer) as uhugeint))),
+    lambda h, b: (xor(h, b) * cast(1099511628211 as uhugeint)) % cast(18446744073709551616 as uhugeint)) as h from documents)""",
     "event_types": "select doc_id, case " + " ".join(f"when regexp_matches(text, '{p}') then '{label}'" for p, label in EVENT_RULES) + " else 'OTHER' end as event_type from documents where text is not null",
     "language_detect": "with t as (select doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL]+') as w from documents), n as (select doc_id, "
     + ", ".join(f"{v} as {k}" for k, v in _LANG.items())

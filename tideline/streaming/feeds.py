@@ -25,13 +25,18 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's data and checkpoint."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a stream over what is there now into parquet in the shared folder, and read the result.
 
     The checkpoint lies beside the data, so a run cut short goes on where it was.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = base or place(spark, name)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/data")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
@@ -67,7 +72,7 @@ def reordered(rows: DataFrame, hold: int = 32, arrival: Sequence[str] = ()) -> D
     at most ``hold`` of them; beyond that the missing range is told as one GAP row
     and the sequence goes on. A row below the sequence that was never given comes
     out as LATE; duplicates are dropped. Rows that wait when the stream stops stay
-    in the state. State is the next number, the waiting rows and the open gaps; a
+    in the state, from which ``waiting`` reads them. State is the next number, the waiting rows and the open gaps; a
     channel's rows of one micro-batch must fit a task.
     """
     order = [*arrival, "sequence"]
@@ -106,6 +111,13 @@ def reordered(rows: DataFrame, hold: int = 32, arrival: Sequence[str] = ()) -> D
     return rows.groupBy("channel").applyInPandasWithState(run, REORDERED, "s string", "append", GroupStateTimeout.NoTimeout)
 
 
+def waiting(spark: SparkSession, base: str) -> DataFrame:
+    """The rows that still wait in the state of an ended ``reordered`` stream, as WAITING; the state is left as it is, so the stream can go on."""
+    s = spark.read.format("statestore").load(f"{base}/checkpoint").select("key.channel", F.get_json_object("value.groupState.s", "$[1]").alias("held"))
+    rows = s.select("channel", F.explode(F.from_json("held", "map<string,string>")).alias("sequence", "payload"))
+    return rows.select("channel", F.col("sequence").cast("long").alias("sequence"), "payload", F.lit("WAITING").alias("state"))
+
+
 def stale_keys(events: DataFrame, key: str, limit_ms: int, lateness: str = "1 hour") -> DataFrame:
     """Keys from which nothing has come for ``limit_ms`` of event time: an event-time timer per key."""
 

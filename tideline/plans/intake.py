@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,31 @@ def related_mentions(spark: SparkSession, d: str) -> DataFrame:
     return tokens.join(known, "symbol").select("doc_id", "symbol", "sector_id", "related")
 
 
+def scan_captures(spark: SparkSession, d: str) -> DataFrame:
+    """A capture file per day of the events, written in tasks; of five files one is cut and one spoiled. Packets and state per file."""
+    p = _place(spark, "captures")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow.fs import FileSystem
+
+        k = int(pdf["k"].iloc[0])
+        pdf = pdf.sort_values(["t", "event_id"])
+        data = bytearray(feeds.capture_bytes([(t * 1000, f"{i:08d}|{e}".encode()) for t, i, e in zip(pdf["t"], pdf["event_id"], pdf["event_type"])]))
+        if k % 5 == 2:
+            data = data[:-40]
+        if k % 5 == 3:
+            data[-40] ^= 1
+        fs, path = FileSystem.from_uri(p)
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/day-{k}") as out:
+            out.write(bytes(data))
+        return pd.DataFrame({"k": [k]})
+
+    e = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).withColumn("k", F.expr("t div 86400000000"))
+    e.groupBy("k").applyInPandas(write, "k long").count()
+    return feeds.scan(spark, "capture", p).groupBy("file", "state").agg(F.count("body").alias("packets"), F.min("time_ns").alias("first_ns"))
+
+
 def report_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Orders as JSON documents with their own hash, written, read and checked again."""
     p = _place(spark, "reports")
@@ -85,7 +111,7 @@ def report_hashes(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.get_json_object("document", "$.o_orderkey").cast("long").alias("o_orderkey"), "sha256", (F.sha2("document", 256) == F.col("sha256")).alias("authentic"))
 
 
-QUERIES = {f.__name__: f for f in (authenticated_parquet, release_pages, exchange_events, stream_late_events, related_mentions, report_hashes)}
+QUERIES = {f.__name__: f for f in (authenticated_parquet, release_pages, exchange_events, stream_late_events, related_mentions, report_hashes, scan_captures)}
 
 _X = f"""with e as (select id, (id * 1103515245 + 12345) % 2147483648 as x from range((select count(*) from events)) t(id)), s as (select *, x // 7 % 4 as venue, ({SCENARIOS})[x // 65536 % 13 + 1] as scenario from e),
 f as (select venue, scenario, id // 4 + case scenario when 'GAP' then 1 when 'DUPLICATE' then -1 when 'REORDER' then case when id % 2 = 0 then 1 else -1 end else 0 end as sequence, 9900 + x // 1024 % 201 + case when scenario = 'CROSS' then 500 else 0 end as price,
@@ -101,5 +127,7 @@ s as (select instrument_id, arg_max(sector_id, version) as sector_id from sector
 z as (select sector_id, count(*) - 1 as related from s group by 1), k as (select symbol, sector_id, related from i join s using (instrument_id) join z using (sector_id)),
 t as (select distinct doc_id, unnest(regexp_extract_all(text, '{TICKER}', 1)) as symbol from documents)
 select doc_id, symbol, sector_id, related from t join k using (symbol)""",
+    "scan_captures": """with k as (select epoch_us(ts) // 86400000000 as k, count(*) as n, min(epoch_us(ts)) * 1000 as first_ns from events group by 1)
+select 'day-' || k as file, case k % 5 when 2 then 'TRUNCATED' when 3 then 'BAD_HASH' else 'OK' end as state, n - case when k % 5 = 2 then 1 else 0 end as packets, first_ns from k""",
     "report_hashes": """select o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || case when o_orderstatus is null then 'null' else '"' || o_orderstatus || '"' end || '}') as sha256, true as authentic from orders""",
 }

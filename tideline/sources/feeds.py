@@ -123,6 +123,54 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(decode, "segment string, sequence long, body string, state string, chain string")
 
 
+#: A capture: magic, number of packets, packets of time and length, SHA-256 of all before it.
+_MAGIC, _COUNT, _PACKET = b"CAP1", "<I", "<QI"
+
+
+def capture_bytes(packets: list[tuple[int, bytes]]) -> bytes:
+    data = _MAGIC + struct.pack(_COUNT, len(packets)) + b"".join(struct.pack(_PACKET, t, len(b)) + b for t, b in packets)
+    return data + hashlib.sha256(data).digest()
+
+
+def capture(spark: SparkSession, folder: str) -> DataFrame:
+    """Packets of capture files: file, place, time_ns, body, state of the file.
+
+    State is OK, BAD_HASH (the footer isn't the hash of what is before it), TRUNCATED
+    (the file ends before its last packet or footer) or BAD_HEADER. Whole packets are
+    given in any case but the last; a file without one gives a row with nulls, so no
+    file goes missing. A file is decoded in one task and must fit into it.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"]):
+                data, name = bytes(data), path.rsplit("/", 1)[-1]
+                rows, state, head = [], "OK", len(_MAGIC) + struct.calcsize(_COUNT)
+                if data[: len(_MAGIC)] != _MAGIC or len(data) < head:
+                    state = "BAD_HEADER"
+                else:
+                    (n,) = struct.unpack_from(_COUNT, data, len(_MAGIC))
+                    at = head
+                    for k in range(n):
+                        if at + struct.calcsize(_PACKET) > len(data):
+                            state = "TRUNCATED"
+                            break
+                        t, size = struct.unpack_from(_PACKET, data, at)
+                        at += struct.calcsize(_PACKET)
+                        if at + size > len(data):
+                            state = "TRUNCATED"
+                            break
+                        rows.append((k, t, data[at : at + size].decode("utf-8", "replace")))
+                        at += size
+                    if state == "OK":
+                        footer = data[at:]
+                        state = "TRUNCATED" if len(footer) < 32 else "OK" if footer == hashlib.sha256(data[:at]).digest() else "BAD_HASH"
+                rows = [(name, *r, state) for r in rows] or [(name, None, None, None, state)]
+                yield pd.DataFrame(rows, columns=["file", "place", "time_ns", "body", "state"]).astype({"place": "Int64", "time_ns": "Int64"})
+
+    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(decode, "file string, place long, time_ns long, body string, state string")
+
+
 def verified_parquet(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
     """Parquet read by a stated schema, whose rows ascend strictly by ``order`` within ``key``; a breach fails the read."""
     from pyspark.sql import Window
@@ -204,7 +252,7 @@ def dated_universe(spark: SparkSession, first: str, last: str, symbols: DataFram
 
 def scan(spark: SparkSession, kind: str, path: str, **more) -> DataFrame:
     """The scan for a kind of data set."""
-    kinds = {"ndjson": ndjson, "pages": bar_pages, "facts": company_facts, "vintages": vintage_pages, "csv": strict_csv, "symbols": symbol_list, "journal": journal, "replay": replay_files, "columnar": columnar_json}
+    kinds = {"ndjson": ndjson, "pages": bar_pages, "facts": company_facts, "vintages": vintage_pages, "csv": strict_csv, "symbols": symbol_list, "journal": journal, "capture": capture, "replay": replay_files, "columnar": columnar_json}
     if kind not in kinds:
         raise ValueError(f"no scan for {kind!r}; there are {', '.join(sorted(kinds))}")
     return kinds[kind](spark, path, **more)

@@ -60,6 +60,7 @@ def fnv1a(texts: pd.Series) -> pd.Series:
     return out
 
 
+#: The multipliers and shifts are fixed values of a published 64-bit mixer.
 @F.pandas_udf(LongType())
 def counter_sample(seed: pd.Series, ordinal: pd.Series, upper: pd.Series) -> pd.Series:
     """A number in [0, upper) from a 64-bit counter-based generator: a function of seed and ordinal only."""

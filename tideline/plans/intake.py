@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import text as X
+from tideline.functions.hashing import counter_sample
 from tideline.operators import temporal as T
 from tideline.plans.pit import AT, _sectors
 from tideline.plans.problems import _P5
@@ -102,6 +103,42 @@ def scan_captures(spark: SparkSession, d: str) -> DataFrame:
     return feeds.scan(spark, "capture", p).groupBy("file", "state").agg(F.count("body").alias("packets"), F.min("time_ns").alias("first_ns"))
 
 
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A share of five in a hundred events, drawn by a generator that is a function of seed and number only: the same rows on any cluster."""
+    return table(spark, d, "events").select("event_id", counter_sample(F.lit(7), F.col("event_id"), F.lit(100)).alias("drawn")).where("drawn < 5")
+
+
+def scan_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Binary objects with sidecars, one per symbol and session of the bars, written in tasks, some altered; authenticated and replayed in order."""
+    p = _place(spark, "replay")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        import hashlib
+        import json
+
+        from pyarrow.fs import FileSystem
+
+        symbol, session = pdf["symbol"].iloc[0], pdf["session_id"].iloc[0]
+        data = b"".join(f"{i};".encode() for i in sorted(pdf["bar_id"]))
+        meta = {"symbol": symbol, "day": session[-10:], "sha256": hashlib.sha256(data if len(data) % 7 else b"").hexdigest()}
+        fs, path = FileSystem.from_uri(p)
+        fs.create_dir(path)
+        for name, content in ((f"{symbol}-{session}.bin", data), (f"{symbol}-{session}.meta.json", json.dumps(meta).encode())):
+            with fs.open_output_stream(f"{path}/{name}") as out:
+                out.write(content)
+        return pd.DataFrame({"n": [1]})
+
+    b = table(spark, d, "raw_bars").select("symbol", "session_id", "bar_id").where("symbol is not null and session_id is not null")
+    b.groupBy("symbol", "session_id").applyInPandas(write, "n long").count()
+    return feeds.scan(spark, "replay", p).select("symbol", "day", F.element_at(F.split("name", "/"), -1).alias("name"), F.octet_length("content").alias("bytes"), "authentic")
+
+
+def stream_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Users from whom nothing came for a day of event time when the stream's watermark had passed: an event-time timer per user."""
+    e = live.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return live.run_to_table(live.stale_keys(e, "user_id", 86_400_000), "stale")
+
+
 def report_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Orders as JSON documents with their own hash, written, read and checked again."""
     p = _place(spark, "reports")
@@ -111,12 +148,19 @@ def report_hashes(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.get_json_object("document", "$.o_orderkey").cast("long").alias("o_orderkey"), "sha256", (F.sha2("document", 256) == F.col("sha256")).alias("authentic"))
 
 
-QUERIES = {f.__name__: f for f in (authenticated_parquet, release_pages, exchange_events, stream_late_events, related_mentions, report_hashes, scan_captures)}
+QUERIES = {f.__name__: f for f in (authenticated_parquet, release_pages, exchange_events, stream_late_events, related_mentions, report_hashes, scan_captures, seeded_sample, scan_replay, stream_stale)}
 
 _X = f"""with e as (select id, (id * 1103515245 + 12345) % 2147483648 as x from range((select count(*) from events)) t(id)), s as (select *, x // 7 % 4 as venue, ({SCENARIOS})[x // 65536 % 13 + 1] as scenario from e),
 f as (select venue, scenario, id // 4 + case scenario when 'GAP' then 1 when 'DUPLICATE' then -1 when 'REORDER' then case when id % 2 = 0 then 1 else -1 end else 0 end as sequence, 9900 + x // 1024 % 201 + case when scenario = 'CROSS' then 500 else 0 end as price,
   1 + x // 16 % 100 * case when scenario = 'BURST' then 10 else 1 end as quantity from s)
 """
+
+
+def _U(hexadecimal: str) -> str:
+    return f"cast({int(hexadecimal, 16)} as uhugeint)"
+
+
+_W = f"cast({2**64} as uhugeint)"
 SQL = {
     "release_pages": "select o_custkey % 7 as release_id, strftime(o_orderdate, '%Y-%m') as month, count(*) as n, strftime(min(o_orderdate), '%Y-%m-%d') as first_date from orders group by 1, 2",
     "exchange_events": _X + "select venue, scenario, count(*) as n, cast(sum(price) as bigint) as price_sum, cast(sum(quantity) as bigint) as quantity, cast(sum(sequence) as bigint) as sequence_sum from f group by 1, 2",
@@ -129,5 +173,10 @@ t as (select distinct doc_id, unnest(regexp_extract_all(text, '{TICKER}', 1)) as
 select doc_id, symbol, sector_id, related from t join k using (symbol)""",
     "scan_captures": """with k as (select epoch_us(ts) // 86400000000 as k, count(*) as n, min(epoch_us(ts)) * 1000 as first_ns from events group by 1)
 select 'day-' || k as file, case k % 5 when 2 then 'TRUNCATED' when 3 then 'BAD_HASH' else 'OK' end as state, n - case when k % 5 = 2 then 1 else 0 end as packets, first_ns from k""",
+    "seeded_sample": f"""with a as (select event_id, (cast(7 as uhugeint) + cast(event_id + 1 as uhugeint) * {_U('9e3779b97f4a7c15')}) % {_W} as x from events), b as (select event_id, (xor(x, x >> 30) * {_U('bf58476d1ce4e5b9')}) % {_W} as x from a),
+c as (select event_id, (xor(x, x >> 27) * {_U('94d049bb133111eb')}) % {_W} as x from b) select event_id, cast(xor(x, x >> 31) % cast(100 as uhugeint) as bigint) as drawn from c where xor(x, x >> 31) % cast(100 as uhugeint) < 5""",
+    "scan_replay": """with g as (select symbol, session_id, cast(sum(len(cast(bar_id as varchar)) + 1) as integer) as bytes from raw_bars where symbol is not null and session_id is not null group by 1, 2)
+select symbol, right(session_id, 10) as day, symbol || '-' || session_id as name, bytes, bytes % 7 <> 0 as authentic from g""",
+    "stream_stale": "select user_id, epoch_us(max(ts)) // 1000 as last_ms from events group by 1 having max(ts) + interval 1 day <= (select max(ts) - interval 1 hour from events)",
     "report_hashes": """select o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || case when o_orderstatus is null then 'null' else '"' || o_orderstatus || '"' end || '}') as sha256, true as authentic from orders""",
 }

@@ -303,9 +303,50 @@ def result_batches(spark: SparkSession, d: str) -> DataFrame:
     return ordered_batches(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 500)
 
 
+class _Steps:
+    """A table function: the whole steps between two numbers, with their place."""
+
+    def eval(self, first: int, last: int, width: int):
+        if first is not None and last is not None and width:
+            for k, x in enumerate(range(first, last + 1, width)):
+                yield k, x
+
+
+def table_function(spark: SparkSession, d: str) -> DataFrame:
+    """A Python table function registered for SQL and called once per row (lateral join)."""
+    spark.udtf.register("tideline_steps", F.udtf(_Steps, returnType="place int, step long"))
+    table(spark, d, "part").createOrReplaceTempView("tideline_part")
+    return spark.sql("select p_partkey, place, step from tideline_part, lateral tideline_steps(cast(p_size as bigint), cast(p_size + p_partkey % 5 * 3 as bigint), 3L)")
+
+
+def aggregate_function(spark: SparkSession, d: str) -> DataFrame:
+    """A Python aggregate over the lines of an order (a handful; such a function holds its whole group): the longest streak of rising quantities."""
+
+    @F.pandas_udf("long")
+    def streak(size: pd.Series, price: pd.Series) -> int:
+        p = price[size.argsort(kind="stable")].to_numpy()
+        best = now = 1 if len(p) else 0
+        for a, b in zip(p, p[1:]):
+            now = now + 1 if b > a else 1
+            best = max(best, now)
+        return best
+
+    l = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).cast("long").alias("o"), F.col("l_quantity").cast("long").alias("c"))  # noqa: E741
+    return l.groupBy("l_orderkey").agg(streak("o", "c").alias("streak"))
+
+
+def approximate_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate distinct counts and medians per status, and whether they keep to their stated error."""
+    o = table(spark, d, "orders").withColumn("c", F.round(F.col("o_totalprice") * 100).cast("long"))
+    g = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"), F.approx_count_distinct("o_custkey", 0.02).alias("near"), F.percentile_approx("c", 0.5, 1000).alias("mid"))
+    rank = o.join(g.select("o_orderstatus", "mid"), "o_orderstatus").groupBy("o_orderstatus").agg(F.avg((F.col("c") <= F.col("mid")).cast("double")).alias("share"))
+    return g.join(rank, "o_orderstatus").select("o_orderstatus", "n", "customers", (F.abs(F.col("near") - F.col("customers")) <= 0.1 * F.col("customers")).alias("count_near"), (F.abs(F.col("share") - 0.5) <= 0.01).alias("median_near"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        table_function, aggregate_function, approximate_aggregates,
         gate_scores, expert_order, forecast_validation, model_predict, model_scores, trend_forecast, option_bounds, option_sensitivities, replay_schedule, fill_costs, aggressive_fills, rebuilt_positions,
         backtest_equity, clock_quality, theme_classes, document_types, news_pipeline, alias_filter, result_batches,
     )
@@ -333,6 +374,11 @@ SQL = {
     + f""", f as (select *, case when produced = 0 or 800 - produced < 0 or 800 - produced >= {MAX_AGE} then 0 else 1000000 - (800 - produced) * 1000000 // {MAX_AGE} end as freshness from x)
 select event_id, freshness, (confidence + calibration + quality + (1000000 - ood) + freshness) // 5 as rule_score,
   greatest(0, least(4000000, -500000 + confidence * 900000 // 1000000 - calibration * 200000 // 1000000 + quality * 300000 // 1000000 + freshness * 400000 // 1000000 + (1000000 - ood) * 250000 // 1000000)) as linear_score from f""",
+    "table_function": "select p_partkey, cast(place as integer) as place, p_size + 3 * place as step from (select p_partkey, p_size, unnest(range(0, p_partkey % 5 + 1)) as place from part)",
+    "aggregate_function": """with p as (select l_orderkey, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey as o, cast(l_quantity as bigint) as c from lineitem),
+q as (select *, case when c > lag(c) over w then 0 else 1 end as new_ from p window w as (partition by l_orderkey order by o)), r as (select *, sum(new_) over (partition by l_orderkey order by o) as run from q),
+s as (select l_orderkey, run, count(*) as n from r group by 1, 2) select l_orderkey, max(n) as streak from s group by 1""",
+    "approximate_aggregates": "select o_orderstatus, count(*) as n, count(distinct o_custkey) as customers, true as count_near, true as median_near from orders group by 1",
     "expert_order": X + "select user_id, event_id, cast(row_number() over (partition by user_id order by event_type, event_id) as integer) as place from (select user_id, event_type, max(event_id) as event_id from x group by 1, 2)",
     "forecast_validation": X
     + f""", y as (select event_id, event_id % 50 as horizon, event_id % 61 as as_of, produced, produced + event_id % 300 as expires, confidence * 2 - 1000000 as ret, calibration - 900000 as p10, calibration - 300000 as p50, quality as p90,

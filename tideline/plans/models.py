@@ -10,6 +10,7 @@ from tideline.functions import options as O
 from tideline.functions.ints import clamp, mul_div, trunc_div
 from tideline.operators import folds
 from tideline.operators.scoring import ordered_batches, score_batches
+from tideline.plans.bars import MIN, _minutes
 from tideline.plans.streams import _O, _REC, E, MICRO_HOUR, SPAN, _events
 from tideline.session import table
 
@@ -320,7 +321,7 @@ def table_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aggregate_function(spark: SparkSession, d: str) -> DataFrame:
-    """A Python aggregate over the lines of an order (a handful; such a function holds its whole group): the longest streak of rising quantities."""
+    """A Python aggregate over the minutes of a series (a session bounds them; such a function holds its whole group): the longest streak of rising closes."""
 
     @F.pandas_udf("long")
     def streak(size: pd.Series, price: pd.Series) -> int:
@@ -331,8 +332,7 @@ def aggregate_function(spark: SparkSession, d: str) -> DataFrame:
             best = max(best, now)
         return best
 
-    l = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).cast("long").alias("o"), F.col("l_quantity").cast("long").alias("c"))  # noqa: E741
-    return l.groupBy("l_orderkey").agg(streak("o", "c").alias("streak"))
+    return _minutes(spark, d).groupBy("symbol", "market_id", "session_id").agg(streak("m", "c_ticks").alias("streak"))
 
 
 def approximate_aggregates(spark: SparkSession, d: str) -> DataFrame:
@@ -375,9 +375,9 @@ SQL = {
 select event_id, freshness, (confidence + calibration + quality + (1000000 - ood) + freshness) // 5 as rule_score,
   greatest(0, least(4000000, -500000 + confidence * 900000 // 1000000 - calibration * 200000 // 1000000 + quality * 300000 // 1000000 + freshness * 400000 // 1000000 + (1000000 - ood) * 250000 // 1000000)) as linear_score from f""",
     "table_function": "select p_partkey, cast(place as integer) as place, p_size + 3 * place as step from (select p_partkey, p_size, unnest(range(0, p_partkey % 5 + 1)) as place from part)",
-    "aggregate_function": """with p as (select l_orderkey, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey as o, cast(l_quantity as bigint) as c from lineitem),
-q as (select *, case when c > lag(c) over w then 0 else 1 end as new_ from p window w as (partition by l_orderkey order by o)), r as (select *, sum(new_) over (partition by l_orderkey order by o) as run from q),
-s as (select l_orderkey, run, count(*) as n from r group by 1, 2) select l_orderkey, max(n) as streak from s group by 1""",
+    "aggregate_function": MIN
+    + """, q as (select *, case when c_ticks > lag(c_ticks) over w then 0 else 1 end as new_ from m window w as (partition by symbol, market_id, session_id order by m)), r as (select *, sum(new_) over (partition by symbol, market_id, session_id order by m) as run from q),
+s as (select symbol, market_id, session_id, run, count(*) as n from r group by all) select symbol, market_id, session_id, max(n) as streak from s group by all""",
     "approximate_aggregates": "select o_orderstatus, count(*) as n, count(distinct o_custkey) as customers, true as count_near, true as median_near from orders group by 1",
     "expert_order": X + "select user_id, event_id, cast(row_number() over (partition by user_id order by event_type, event_id) as integer) as place from (select user_id, event_type, max(event_id) as event_id from x group by 1, 2)",
     "forecast_validation": X

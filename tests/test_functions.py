@@ -209,6 +209,19 @@ def test_order_book_against_a_naive_one():
     assert errors >= {None, "BOOK_INVALID", "CROSSED", "ORDER_NOT_FOUND", "DUPLICATE_ORDER", "QUANTITY_MISMATCH", "LEVEL_NOT_FOUND", "INVALID_SHAPE"}
 
 
+def test_ratio_times(spark):
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([1, -1]) * rng.randint(0 if k % 2 == 0 else 1, 10 ** rng.randint(1, 9)) for k in range(4)) for _ in range(300)]
+    rows += [(2**62, 3, 9, 2**60), (None, 1, 1, 1), (1, 0, 1, 1), (2**61, 1, 8, 1), (0, 5, 3, -7)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    for r in df.withColumn("p", ints.ratio_times("a", "b", "c", "d")).collect():
+        if r.a is None or not r.b or not r.d or (r.a, r.c) == (2**61, 8):
+            assert r.p.num is None and r.p.den is None
+        else:
+            f = Fraction(r.a, r.b) * Fraction(r.c, r.d)
+            assert (r.p.num, r.p.den) == (f.numerator, f.denominator)
+
+
 def test_strategy_fold():
     step = folds.strategy_step(folds.MeanReversion)
     state, out = None, []

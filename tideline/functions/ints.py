@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 PPM = 1_000_000
 WIDE = "decimal(38,0)"
@@ -128,12 +128,26 @@ def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     return out.where(known.to_numpy())
 
 
-def ratio_times(num_a: Column, den_a: Column, num_b: Column, den_b: Column) -> tuple[Column, Column]:
-    """Product of two fractions in lowest terms; each is reduced, then they are cancelled crosswise, so that the parts stay small."""
-    g, h = gcd(num_a, den_a), gcd(num_b, den_b)
-    na, da, nb, db = trunc_div(num_a, g), trunc_div(den_a, g), trunc_div(num_b, h), trunc_div(den_b, h)
-    k, m = gcd(na, db), gcd(nb, da)
-    return trunc_div(na, k) * trunc_div(nb, m), trunc_div(da, m) * trunc_div(db, k)
+@F.pandas_udf(StructType([StructField("num", LongType()), StructField("den", LongType())]))
+def ratio_times(num_a: pd.Series, den_a: pd.Series, num_b: pd.Series, den_b: pd.Series) -> pd.DataFrame:
+    """Product of two fractions of bigints in lowest terms, with a denominator above zero.
+
+    Each fraction is reduced, then they are cancelled crosswise, so that the parts stay
+    as small as the result. Null for a null, a zero denominator, or a part beyond 64 bits.
+    """
+    known = (num_a.notna() & den_a.notna() & num_b.notna() & den_b.notna()).to_numpy()
+    a, b, c, d = (x.where(known, 1).astype("int64").to_numpy() for x in (num_a, den_a, num_b, den_b))
+    known &= (b != 0) & (d != 0)
+    b, d = np.where(b == 0, 1, b), np.where(d == 0, 1, d)
+    for _ in range(2):  # each on its own, then crosswise
+        g, h = np.gcd(a, b), np.gcd(c, d)
+        a, b, c, d = a // g, b // g, c // h, d // h
+        b, d = d, b
+    known &= (np.abs(a.astype(float) * c) < 2.0**62) & (np.abs(b.astype(float) * d) < 2.0**62)
+    with np.errstate(over="ignore"):
+        num, den = a * c, b * d
+    num, den = np.where(den < 0, -num, num), np.abs(den)
+    return pd.DataFrame({"num": pd.Series(num, dtype="Int64").where(known), "den": pd.Series(den, dtype="Int64").where(known)})
 
 
 #: exp-like table of the fixed-point logistic: its value in ppm at -8 .. 8 in steps of one.

@@ -369,8 +369,8 @@ def decimal_parts(spark: SparkSession, d: str) -> DataFrame:
 def rational_products(spark: SparkSession, d: str) -> DataFrame:
     """Products of ratios reduced to lowest terms: line quantities over their number, applied to the price toward zero."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("a"), (F.col("l_linenumber") * 6).cast("long").alias("b"))  # noqa: E741
-    num, den = ratio_times(F.col("a"), F.col("b"), F.lit(4).cast("long"), F.col("a") + 2)
-    return l.select("l_orderkey", "l_linenumber", num.cast("long").alias("num"), den.cast("long").alias("den"))
+    p = ratio_times(F.col("a"), F.col("b"), F.lit(4).cast("long"), F.col("a") + 2)
+    return l.select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", "p.num", "p.den")
 
 
 def event_flag_details(spark: SparkSession, d: str) -> DataFrame:

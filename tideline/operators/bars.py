@@ -21,9 +21,15 @@ BUCKETS = 8
 
 
 def ticks(price: Column | str, per_unit: int = 100) -> Column:
-    """A price in whole ticks; null where it lies between two. The price is taken as the decimal that it stands for, with nine places, and the test is exact."""
-    p = (F.col(price) if isinstance(price, str) else price).try_cast("decimal(28,9)") * per_unit
-    return F.when(p % 1 == 0, p.cast("long"))
+    """A price in whole ticks; null where it lies between two.
+
+    Exact: a double is a whole number of ticks if it is the double nearest to that
+    number over ``per_unit``, which is what the division gives. Null, NaN, and prices of
+    1e15 ticks or more give null.
+    """
+    p = F.col(price) if isinstance(price, str) else price
+    whole = F.rint(p * per_unit)
+    return F.when((F.abs(whole) < 1e15) & (whole / per_unit == p), whole.cast("long"))
 
 
 def canonicalise(raw: DataFrame) -> DataFrame:

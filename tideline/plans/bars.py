@@ -206,8 +206,7 @@ QUERIES = {
 
 
 def _tick(x: str) -> str:
-    p = f"try_cast({x} as decimal(28, 9)) * 100"
-    return f"case when {p} % 1 = 0 then cast({p} as bigint) end as {x}_ticks"
+    return f"case when abs(round({x} * 100)) < 1e15 and round({x} * 100) / 100 = {x} then cast(round({x} * 100) as bigint) end as {x}_ticks"
 
 
 CANON = f"""with k as (

@@ -407,3 +407,23 @@ def test_novelty_against_brute_force(spark):
         assert len(got) == len(rows) and {r.doc_id: r.novelty_ppm for r in got} == brute(capacity)
     assert brute(4096)[1100] == 1_000_000 - 5 * 1_000_000 // 7
     assert novelty(d.limit(0)).count() == 0
+
+
+def test_many_splits(spark):
+    """Products of ratios beyond 38 digits; the bucketed way for hot instruments gives the same."""
+    from tideline.plans.reference import adjusted_for_splits
+
+    rng = random.Random(6)
+    ratios = {"big": (4, 1), "thirds": (3, 2), "even": (2, 2), "halves": (2, 1), "mixed": None}
+    splits = [(i, 10 * k, *(r or (rng.choice([2, 3, 4]), rng.choice([1, 2])))) for i, r in ratios.items() for k in range(1, 151)] + [("alone", 5, 2, 1)]
+    prices = [(f"{i}-{k}-{j}", i, 10 * k + j, rng.choice([1, 5, 10**9, rng.randrange(1, 10**9)])) for i in ratios for k, j in [(0, 0), (1, -1), (1, 0), *((k, rng.randrange(10)) for k in range(60, 151))]] + [("none", "other", 0, 7)]
+    want = {}
+    for name, i, t, price in prices:
+        after = [Fraction(old, new) for s, at, new, old in splits if s == i and at > t]
+        if after:
+            want[name, price] = (len(after), round(math.prod(after, start=Fraction(price))))
+    p, s = spark.createDataFrame(prices, "record_id string, instrument_id string, t long, price long"), spark.createDataFrame(splits, "instrument_id string, t long, new int, old int")
+    for rows in (40, 1_000_000):
+        got = adjusted_for_splits(p, s, rows).collect()
+        assert {(r.record_id, r.price): (r.splits, r.adjusted) for r in got} == want and len(got) == len(want)
+    assert any(n > 100 and a > 10**5 for n, a in want.values()) and (150, 0) in want.values()

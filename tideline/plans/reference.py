@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.ints import half_even_div, mul_div, ratio_times, wide
+from tideline.functions.ints import WIDE, half_even_div, mul_div, ratio_times, wide
 from tideline.functions.times import DAY, MINUTE
 from tideline.operators import bars as B
 from tideline.operators import calendar as C
 from tideline.operators import temporal as T
+from tideline.operators.ranking import BUCKET_ROWS, bucket_bounds, running_total
 from tideline.plans.bars import CANON, HORIZONS, MIN, _LABELS, _minutes
 from tideline.plans.pit import AT, R, _records, _sectors
-from tideline.session import table
+from tideline.session import durable, table
 
 S = B.SERIES
 
@@ -134,24 +137,49 @@ def universe_bias(spark: SparkSession, d: str) -> DataFrame:
 # --- Corporate actions ---------------------------------------------------------
 
 
+#: Exponents of two and three in the terms of a split's ratio, which are 1 to 4.
+TWOS, THREES = (0, 1, 0, 2), (0, 0, 1, 0)
+#: A price is below 2^30 and no ratio is below 1, so beyond a product of 2^33 the price rounds to 0. Up to it there are at most 56 threes.
+NOTHING_LEFT, MOST_THREES = 33.0, 56
+
+
 def split_adjusted(spark: SparkSession, d: str) -> DataFrame:
     """Prices of an instrument's events on the share basis of a later instant.
 
     A corporate action's latest known version (by version) counts if it takes effect
     after the event and not after the instant; its ratio of new to old shares is made
     from its version and value. Prices are divided by the product of the ratios,
-    exactly, halves to even. An instrument's splits are few; their products are
-    formed per event from one sorted list.
+    exactly, halves to even, however many splits there are: the product is kept as
+    its exponents of two and three, which are running sums over the instrument's
+    actions and events, latest first.
     """
     r = _records(spark, d)
     known = T.latest(r.where(f"kind = 1 and available <= {AT} and instrument_id is not null"), ["logical_key"], [F.col("version"), F.col("record_id")], ["instrument_id", "valid_from", "version", "value"])
-    ratio = known.select("instrument_id", "valid_from", (F.abs(F.coalesce(F.col("value"), F.lit(0))) % 3 + 2).alias("new"), (F.col("version") % 2 + 1).cast("long").alias("old")).where(F.col("valid_from") <= AT)
-    actions = ratio.groupBy("instrument_id").agg(F.collect_list(F.struct("valid_from", "new", "old")).alias("actions"))
-    p = r.where(f"kind <> 1 and event_time_ns < {AT} and instrument_id is not null").select("record_id", "instrument_id", "event_time_ns", (F.pmod("event_time_ns", F.lit(10**9)) + 1).alias("price"))
-    j = p.join(actions, "instrument_id")
-    after = F.filter("actions", lambda a: a.valid_from > F.col("event_time_ns"))
-    product = lambda f: F.aggregate(after, wide(1), lambda acc, a: (acc * a[f]).cast("decimal(38,0)"))
-    return j.where(F.size(after) > 0).select("record_id", "price", F.size(after).alias("splits"), half_even_div(wide("price") * product("old"), product("new")).alias("adjusted"))
+    ratio = known.select("instrument_id", F.col("valid_from").alias("t"), (F.abs(F.coalesce(F.col("value"), F.lit(0))) % 3 + 2).cast("int").alias("new"), (F.col("version") % 2 + 1).cast("int").alias("old")).where(F.col("t") <= AT)
+    p = r.where(f"kind <> 1 and event_time_ns < {AT} and instrument_id is not null").select("record_id", "instrument_id", F.col("event_time_ns").alias("t"), (F.pmod("event_time_ns", F.lit(10**9)) + 1).alias("price"))
+    return adjusted_for_splits(p, ratio)
+
+
+def adjusted_for_splits(prices: DataFrame, splits: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Prices (record_id, instrument_id, t, price up to 1e9) over the ratios of later splits (instrument_id, t, new, old; terms 1 to 4, new >= old).
+
+    Prices without a later split are left out. Returns: record_id, price, splits, adjusted.
+    """
+    power = lambda of: F.element_at(F.array(*map(F.lit, of)), F.col("new")) - F.element_at(F.array(*map(F.lit, of)), F.col("old"))
+    none, zero = F.lit(None), F.lit(0)
+    #: The complement turns the order of time round; prices come before splits of the same instant.
+    asks = prices.select("instrument_id", F.bitwise_not("t").alias("back"), zero.alias("one"), zero.alias("twos"), zero.alias("threes"), "record_id", "price")
+    told = splits.select("instrument_id", F.bitwise_not("t").alias("back"), F.lit(1).alias("one"), power(TWOS).alias("twos"), power(THREES).alias("threes"), none.cast("string").alias("record_id"), none.cast("long").alias("price"))
+    both = durable(asks.unionByName(told), "splits")
+    bounds = bucket_bounds(both, ["instrument_id"], "back", bucket_rows)
+    for name in ("one", "twos", "threes"):
+        both = running_total(both, ["instrument_id"], "back", f"n_{name}", bounds, F.col(name), ["one"])
+    x = both.where("price is not null and n_one > 0")
+    left = F.col("n_twos") + F.col("n_threes") * math.log2(3) <= NOTHING_LEFT
+    two, three = (F.when(left, F.col(c)).otherwise(0) for c in ("n_twos", "n_threes"))
+    power_of = lambda base, n: F.element_at(F.array(*(F.lit(str(base**k)).cast(WIDE) for k in range(MOST_THREES + 1))), F.greatest(n, zero).cast("int") + 1)
+    adjusted = half_even_div(wide("price") * power_of(2, -two), power_of(2, two) * power_of(3, three))
+    return x.select("record_id", "price", F.col("n_one").cast("int").alias("splits"), F.when(left, adjusted).otherwise(zero).alias("adjusted"))
 
 
 # --- Calendars -----------------------------------------------------------------

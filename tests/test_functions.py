@@ -427,3 +427,31 @@ def test_many_splits(spark):
         got = adjusted_for_splits(p, s, rows).collect()
         assert {(r.record_id, r.price): (r.splits, r.adjusted) for r in got} == want and len(got) == len(want)
     assert any(n > 100 and a > 10**5 for n, a in want.values()) and (150, 0) in want.values()
+
+
+@pytest.fixture
+def steep_bars(spark, tmp_path):
+    """Twelve sessions whose returns have squares beyond 64 bits; the folder, returns by bar_id, and those of the training sessions."""
+    rng = random.Random(7)
+    rows, returns, train = [], {}, []
+    for day in range(1, 13):
+        closes = [rng.choice([1, 10**8, rng.randrange(1, 10**8)]) for _ in range(6)]
+        for m, c in enumerate(closes):
+            bar_id, x = day * 100 + m, c / 100
+            rows.append((bar_id, "A", "M", f"S-2024-01-{day:02}", f"2024-01-{day:02}T10:{m:02}:00Z", x, x, x, x, 5, "s", 1))
+            if m:
+                n, p = (c - closes[m - 1]) * 1_000_000, closes[m - 1]
+                returns[bar_id] = (abs(n) * 2 + p) // (p * 2) * (1 if n > 0 else -1)
+                train += [bar_id] if day <= 5 else []  # 70 % of the eight days beside the purges
+    schema = "bar_id long, symbol string, market_id string, session_id string, t string, o double, h double, l double, c double, v long, source_object_id string, local_receipt_time_ns long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/raw_bars.parquet")
+    return str(tmp_path), returns, [returns[i] for i in train]
+
+
+def test_training_statistics_beyond_64_bits(spark, steep_bars):
+    from tideline.plans.bars import train_normalization
+
+    folder, _, train = steep_bars
+    (r,) = train_normalization(spark, folder).collect()
+    assert (r.n, r.s, int(r.q)) == (len(train), sum(train), sum(x * x for x in train)) and r.q > 2**63
+    assert r.fit_through_ns == 1_704_449_100 * 10**9  # the last minute of January the fifth

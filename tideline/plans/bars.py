@@ -122,8 +122,13 @@ def split_plan_purged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_normalization(spark: SparkSession, d: str) -> DataFrame:
-    """Count, sum and sum of squares of one-minute returns over the training sessions."""
-    return _training_statistics(_returns(spark, d))
+    """Count, sum and sum of squares of one-minute returns over the training sessions.
+
+    ``q`` is a bigint while the sum of squares fits one, as in the SQL, and beyond
+    it decimal(38,0); its value is exact either way.
+    """
+    st = durable(_training_statistics(_returns(spark, d)), "statistics")
+    return st.withColumn("q", F.col("q").cast("long")) if st.where(F.col("q") > 2**63 - 1).isEmpty() else st
 
 
 def _returns(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +137,11 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _training_statistics(m: DataFrame) -> DataFrame:
+    """One row: n, s, q (decimal(38,0), as squares of returns outgrow 64 bits), fit_through_ns."""
     #: One row per trading day.
     plan = B.split_plan(m.select("trading_date").distinct(), "trading_date")
     t = m.join(plan, "trading_date").where("split = 'TRAIN' and r is not null")
-    return t.agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(wide("r") * wide("r")).cast("long").alias("q"), F.max("minute_ns").alias("fit_through_ns"))
+    return t.agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(wide("r") * wide("r")).alias("q"), F.max("minute_ns").alias("fit_through_ns"))
 
 
 def train_zscore(spark: SparkSession, d: str) -> DataFrame:

@@ -455,3 +455,14 @@ def test_training_statistics_beyond_64_bits(spark, steep_bars):
     (r,) = train_normalization(spark, folder).collect()
     assert (r.n, r.s, int(r.q)) == (len(train), sum(train), sum(x * x for x in train)) and r.q > 2**63
     assert r.fit_through_ns == 1_704_449_100 * 10**9  # the last minute of January the fifth
+
+
+def test_zscores_from_statistics_beyond_64_bits(spark, steep_bars):
+    from tideline.plans.bars import train_zscore
+
+    folder, returns, train = steep_bars
+    n, total = len(train), sum(train)
+    spread = math.isqrt(n * sum(x * x for x in train) - total * total)
+    tops = {i: (x * n - total) * 1_000_000 for i, x in returns.items()}
+    want = {i: (abs(t) * 2 + spread) // (spread * 2) * (1 if t > 0 else -1) for i, t in tops.items()}
+    assert {r.bar_id: r.z_ppm for r in train_zscore(spark, folder).collect()} == want

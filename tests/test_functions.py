@@ -466,3 +466,29 @@ def test_zscores_from_statistics_beyond_64_bits(spark, steep_bars):
     tops = {i: (x * n - total) * 1_000_000 for i, x in returns.items()}
     want = {i: (abs(t) * 2 + spread) // (spread * 2) * (1 if t > 0 else -1) for i, t in tops.items()}
     assert {r.bar_id: r.z_ppm for r in train_zscore(spark, folder).collect()} == want
+
+
+@pytest.mark.parametrize("jumps", [[(1, 4 * 10**12)] * 4, [(1, 9 * 10**12), (1, 9 * 10**12)], [(1, 9 * 10**14), (2, 3)], [(10**12, 10**12 + 10**6), (10**12, 10**12 + 10**6, 10**12)]])
+def test_zscores_of_any_size(spark, tmp_path, jumps):
+    """Sums of returns, their products, single returns and scores beyond 64 and 128 bits; the last session jumps too."""
+    from tideline.plans.bars import train_normalization, train_zscore
+
+    days = [*jumps, *[(100, 101, 99, 100)] * (12 - len(jumps)), (1, 9 * 10**14, 1)]
+    schema = "bar_id long, symbol string, market_id string, session_id string, t string, o double, h double, l double, c double, v long, source_object_id string, local_receipt_time_ns long"
+    rows, returns, train = [], {}, []
+    for day, closes in enumerate(days, 1):
+        for m, c in enumerate(closes):
+            rows.append((day * 100 + m, "A", "M", f"S-2024-01-{day:02}", f"2024-01-{day:02}T10:{m:02}:00Z", *[c / 100] * 4, 5, "s", 1))
+            if m:
+                n, p = (c - closes[m - 1]) * 1_000_000, closes[m - 1]
+                returns[day * 100 + m] = (abs(n) * 2 + p) // (p * 2) * (1 if n > 0 else -1)
+                train += [day * 100 + m] if day <= 6 else []  # 70 % of the nine days beside the purges
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/raw_bars.parquet")
+    n, total, squares = len(train), sum(returns[i] for i in train), sum(returns[i] ** 2 for i in train)
+    spread = math.isqrt(n * squares - total * total)
+    tops = {i: (x * n - total) * 1_000_000 for i, x in returns.items()}
+    want = {i: (abs(t) * 2 + spread) // (spread * 2) * (1 if t > 0 else -1) for i, t in tops.items()}
+    assert {r.bar_id: int(r.z_ppm) for r in train_zscore(spark, str(tmp_path)).collect()} == want
+    if squares < 10**38:
+        (r,) = train_normalization(spark, str(tmp_path)).collect()
+        assert (r.n, int(r.s), int(r.q)) == (n, total, squares)

@@ -7,6 +7,7 @@ a zero divisor. Four roundings are kept apart by name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -19,6 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 PPM = 1_000_000
 WIDE = "decimal(38,0)"
 ROOT_LIMIT = (2**62) ** 2  # the Newton step adds two numbers of the root's size
+LIMB = 10**11  # squares are summed by parts of this size
 
 
 def _c(x: Column | str | int) -> Column:
@@ -29,6 +31,11 @@ def wide(x: Column | str | int) -> Column:
     return _c(x).cast(WIDE)
 
 
+def big(x: int) -> Column:
+    """A literal of up to 38 digits."""
+    return F.lit(str(x)).cast(WIDE)
+
+
 def _div(n: Column, d: Column) -> Column:
     """Truncating division of wide integers, null for a zero divisor."""
     safe = F.when(d != 0, d)
@@ -61,6 +68,13 @@ def half_away_div(n: Column | str | int, d: Column | str | int) -> Column:
     return F.when((a < 0) != (b < 0), -q).otherwise(q)
 
 
+def wide_half_away_div(n: Column | str | int, d: Column | str | int) -> Column:
+    """``half_away_div`` as a wide integer of up to 32 digits."""
+    a, b = wide(n), wide(d)
+    q = wide_div(F.abs(a) * 2 + F.abs(b), F.abs(b) * 2)
+    return F.when((a < 0) != (b < 0), -q).otherwise(q)
+
+
 def half_even_div(n: Column | str | int, d: Column | str | int) -> Column:
     """Nearest quotient, halves to the even one."""
     a, b = wide(n), wide(d)
@@ -90,6 +104,12 @@ def return_ppm(current: Column | str, prior: Column | str) -> Column:
     return half_away_div((c - p) * PPM, p)
 
 
+def wide_return_ppm(current: Column | str, prior: Column | str) -> Column:
+    """``return_ppm`` as a wide integer: that of two bigints may be beyond 64 bits."""
+    c, p = wide(current), wide(prior)
+    return wide_half_away_div((c - p) * PPM, p)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once; an expression used n times would otherwise be copied n times."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -106,14 +126,36 @@ def isqrt(x: Column | str) -> Column:
         guess = F.floor(F.sqrt(v.cast("double"))).cast(WIDE)
         return let(guess, lambda g: let(F.when(g > 0, _div(g + _div(v, g), F.lit(2).cast(WIDE))).otherwise(g.cast("long")).cast("decimal(19,0)"), lambda h: settle(v, h)))
 
-    return let(wide(x), lambda v: F.when((v >= 0) & (v <= F.lit(str(ROOT_LIMIT)).cast(WIDE)), newton(v)))
+    return let(wide(x), lambda v: F.when((v >= 0) & (v <= big(ROOT_LIMIT)), newton(v)))
 
 
-def zscore_ppm(x: Column | str, n: Column, total: Column, squares: Column) -> Column:
-    """(x*n - sum) in ppm of isqrt(n * sum of squares - sum^2), halves away; zero spread gives 0, no rows null."""
-    a, s = wide(n), wide(total)
-    top = (wide(x) * a - s) * PPM
-    return F.when(a > 0, let(isqrt(a * wide(squares) - s * s), lambda spread: F.when(spread == 0, F.lit(0).cast("long")).otherwise(half_away_div(top, spread))))
+def square_sums(x: Column | str) -> list[Column]:
+    """Aggregates of integers of up to 22 digits, of which ``squares_total`` makes the sum of squares; that itself outgrows decimal(38,0)."""
+    hi, lo = wide(trunc_div(x, LIMB)), wide(x) % big(LIMB)
+    return [F.sum(hi * hi).alias("hi_hi"), F.sum(hi * lo).alias("hi_lo"), F.sum(lo * lo).alias("lo_lo")]
+
+
+def squares_total(hi_hi: Decimal | None, hi_lo: Decimal | None, lo_lo: Decimal | None) -> int:
+    """The sum of squares as a Python integer, 0 for no rows."""
+    return int(hi_hi or 0) * LIMB**2 + int(hi_lo or 0) * 2 * LIMB + int(lo_lo or 0)
+
+
+def fits_long(x: int) -> bool:
+    return -(2**63) <= x < 2**63
+
+
+def zscore_ppm(x: Column | str, n: int, total: int, squares: int, bounds: tuple[int, int]) -> Column:
+    """(x*n - sum) in ppm of isqrt(n * sum of squares - sum^2), halves away; zero spread gives 0, no rows null.
+
+    The statistics are Python integers, as their products outgrow 128 bits. ``bounds``
+    are the least and largest x: the score is a bigint if theirs fit one, else decimal(38,0).
+    """
+    spread = math.isqrt(n * squares - total * total)
+    if n == 0 or spread == 0:
+        return F.when(_c(x).isNotNull() & F.lit(n > 0), F.lit(0).cast("long"))
+    top = (wide(x) * big(n) - big(total)) * PPM
+    narrow = all(fits_long((abs(b * n - total) * PPM * 2 + spread) // (spread * 2)) for b in bounds)
+    return (half_away_div if narrow else wide_half_away_div)(top, big(spread))
 
 
 def clamp(x: Column | str, lo: int, hi: int) -> Column:

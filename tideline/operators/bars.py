@@ -82,10 +82,14 @@ def by_minute() -> Window:
     return Window.partitionBy(*SERIES).orderBy("m")
 
 
+def offset_close(k: int) -> Column:
+    """Close of the minute exactly k before, null if that minute is missing."""
+    return F.max("c_ticks").over(by_minute().rangeBetween(-k, -k))
+
+
 def offset_return(k: int) -> Column:
     """Return in ppm against the minute exactly k before, null if that minute is missing."""
-    prior = F.max("c_ticks").over(by_minute().rangeBetween(-k, -k))
-    return return_ppm("c_ticks", prior)
+    return return_ppm("c_ticks", offset_close(k))
 
 
 def with_islands(minutes: DataFrame) -> DataFrame:

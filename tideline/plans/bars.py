@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.hashing import economic_hash
-from tideline.functions.ints import half_away_div, wide, zscore_ppm
+from tideline.functions.ints import fits_long, half_away_div, square_sums, squares_total, wide, wide_return_ppm, zscore_ppm
 from tideline.operators import bars as B
 from tideline.operators.calendar import MINUTE_HORIZONS
 from tideline.session import durable, table
@@ -124,31 +126,41 @@ def split_plan_purged(spark: SparkSession, d: str) -> DataFrame:
 def train_normalization(spark: SparkSession, d: str) -> DataFrame:
     """Count, sum and sum of squares of one-minute returns over the training sessions.
 
-    ``q`` is a bigint while the sum of squares fits one, as in the SQL, and beyond
-    it decimal(38,0); its value is exact either way.
+    ``s`` and ``q`` are bigints while they fit one, as in the SQL, and beyond it
+    decimal(38,0); their values are exact either way. A ``q`` of more than 38 digits
+    is an error.
     """
-    st = durable(_training_statistics(_returns(spark, d)), "statistics")
-    return st.withColumn("q", F.col("q").cast("long")) if st.where(F.col("q") > 2**63 - 1).isEmpty() else st
+    n, s, q, fit = _training_statistics(_returns(spark, d))
+    kinds = ["long" if fits_long(x) else "decimal(38,0)" for x in (s, q)]
+    row = (n, *(None if n == 0 else x if kind == "long" else Decimal(x) for x, kind in zip((s, q), kinds)), fit)
+    return spark.createDataFrame([row], f"n long, s {kinds[0]}, q {kinds[1]}, fit_through_ns long")
 
 
 def _returns(spark: SparkSession, d: str) -> DataFrame:
-    """One-minute returns with their dates, worked out once."""
-    return durable(_minutes(spark, d).select("bar_id", "minute_ns", F.substring("session_id", -10, 10).alias("trading_date"), B.offset_return(1).alias("r")), "returns")
+    """One-minute returns with their dates, worked out once. Prices are below 1e15 ticks, so a return has up to 22 digits."""
+    m = _minutes(spark, d).withColumn("prior", B.offset_close(1))
+    return durable(m.select("bar_id", "minute_ns", F.substring("session_id", -10, 10).alias("trading_date"), wide_return_ppm("c_ticks", "prior").cast("decimal(22,0)").alias("r")), "returns")
 
 
-def _training_statistics(m: DataFrame) -> DataFrame:
-    """One row: n, s, q (decimal(38,0), as squares of returns outgrow 64 bits), fit_through_ns."""
+def _training_statistics(m: DataFrame) -> tuple[int, int, int, int | None]:
+    """n, s, q, fit_through_ns as Python integers, as squares of returns and their sums outgrow 128 bits."""
     #: One row per trading day.
     plan = B.split_plan(m.select("trading_date").distinct(), "trading_date")
     t = m.join(plan, "trading_date").where("split = 'TRAIN' and r is not null")
-    return t.agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(wide("r") * wide("r")).alias("q"), F.max("minute_ns").alias("fit_through_ns"))
+    row = t.agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.max("minute_ns").alias("fit"), *square_sums("r")).first()
+    return row.n, int(row.s or 0), squares_total(row.hi_hi, row.hi_lo, row.lo_lo), row.fit
 
 
 def train_zscore(spark: SparkSession, d: str) -> DataFrame:
-    """One-minute returns of every session, normalised by the training statistics (one row)."""
+    """One-minute returns of every session, normalised by the training statistics.
+
+    ``z_ppm`` is a bigint, as in the SQL, while all scores fit one, and beyond it
+    decimal(38,0); the scores are exact either way.
+    """
     m = _returns(spark, d)
-    stats = _training_statistics(m)
-    return m.where("r is not null").join(F.broadcast(stats.select("n", "s", "q")), how="cross").select("bar_id", zscore_ppm("r", F.col("n"), F.col("s"), F.col("q")).alias("z_ppm"))
+    n, s, q, _ = _training_statistics(m)
+    bounds = tuple(int(x or 0) for x in m.agg(F.min("r"), F.max("r")).first())
+    return m.where("r is not null").select("bar_id", zscore_ppm("r", n, s, q, bounds).alias("z_ppm"))
 
 
 def label_horizons(spark: SparkSession, d: str) -> DataFrame:
